@@ -43,3 +43,28 @@ def row_key(id_col: str, text_col: str) -> Column:
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns (doc_id, text) of any frame; other columns, whatever their names, play no part."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(node, component) of every node of ``edges(a, b)``: the smallest node reachable, by alternating large and small stars.
+
+    Each round is written to the shared folder. Edges are pairs of ids; loops are dropped, an empty input gives no rows.
+    """
+    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    last = None
+    for _ in range(rounds):
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = stored(hung.union(low.select("a", F.col("m").alias("b"))).distinct())
+        state = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop_stored(edges)
+        edges = small
+        if state == last:
+            break
+        last = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from skylattice.llm.byte_bpe import op8_byte_bpe
+from skylattice.llm.decontaminate import op5_decontaminate
+from skylattice.llm.language import op7_language
 from skylattice.llm.token_counts import op2_token_counts
+from skylattice.llm.warc import OP3_SQL, op3_warc
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op5_decontaminate, op7_language, op8_byte_bpe)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL}
