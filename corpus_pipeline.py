@@ -3,10 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from skylattice.llm import byte_bpe, common, decontaminate, language, minhash, suffix_array
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language the model knows; ``lang`` becomes the prediction where the label is missing.
+
+    Fitted on all labelled documents of the stage's input. ``und`` (null text, or no letter) goes.
+    """
+    model = language.fit(docs)
+    told = language.predict(docs, model, extra=["text", "lang", "source", "n_chars"])
+    return told.filter("lang_pred <> 'und'").select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, 0.8) stays: the one with the smallest doc_id.
+
+    Of rows that repeat an id, only those of the kept group's id stay.
+    """
+    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes recurring 400-byte strings out of the texts; documents with nothing left go. ``n_chars`` follows the text."""
+    cut = suffix_array.remove_repeats(docs, extra=["lang", "source"])
+    text = F.decode("kept", "utf-8")
+    # cuts may fall inside a character: its other bytes go too
+    cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.regexp_replace(text, "�", "")).otherwise(text))
+    return cut.filter("text <> ''").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, proven by decoding them: (doc_id, lang, source, n_chars, n_tokens, ids, exact)."""
+    both = byte_bpe.decode(byte_bpe.encode(docs)).select("doc_id", "ids", F.sha2("decoded", 256).alias("d"))
+    meta = docs.select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("t"))
+    return meta.join(both, "doc_id").select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("d") == F.col("t")).alias("exact"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", near_duplicates),
+    ("substrings", remove_substrings),
+    ("benchmark", remove_benchmark),
+    ("tokens", encode),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; every stage's rows are written to the shared folder."""
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return docs
