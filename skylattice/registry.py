@@ -2,5 +2,4 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from skylattice.plans.queries import ORACLES, QUERIES  # noqa: F401
