@@ -206,7 +206,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
                 i = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
                 hit = known[i] == t if len(known) else np.zeros(len(t), bool)
                 value = np.log10((c_of[i[hit]] + 0.5) / scale) if len(known) else np.zeros(0)
-                base = np.bincount(doc[hit], value, n)
+                base = np.bincount(doc[hit], value, n).astype(np.float64)
                 seen = np.bincount(doc[hit], minlength=n)
                 kinds, where = np.unique(t[~hit], return_inverse=True)
                 pair, freq = np.unique(doc[~hit] * max(1, len(kinds)) + where, return_counts=True)
@@ -265,7 +265,7 @@ def _one_pass(rows: DataFrame, blocks: DataFrame, n_blocks: int, scale: float) -
                 context[1:] = word[:-1]
                 context[at[:-1]] = start
                 p = probability(own[0].levels(bigrams(tok, at)), context, word, scale)
-                total = np.bincount(np.repeat(np.arange(hi - lo), np.diff(at)), np.log10(p), hi - lo)
+                total = np.bincount(np.repeat(np.arange(hi - lo), np.diff(at)), np.log10(p), hi - lo).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), pa.array(total)], ["k", "doc_id", "score"])
 
     return rows.mapInArrow(run, "k long, doc_id long, score double")
