@@ -88,39 +88,37 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
                 u = plan.units(data, off)
                 at, h = plan.anchors(u)
                 doc = np.searchsorted(u.off, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(k[lo:hi][doc]), pa.array((at - u.off[doc]).astype(np.int64)), pa.array(h.view(np.int64))], ["k", "at", "anchor"])
-
-    found = common.stored(docs.select("k", "text").mapInArrow(anchor, "k long, at long, anchor long"))
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    places = found.join(twice, "anchor").groupBy("k").agg(F.collect_set(F.struct("at", "anchor")).alias("x")).select("k", F.col("x.at").alias("at"), F.col("x.anchor").alias("anchor"))
+                a = np.maximum(u.off[doc], at - (plan.window - plan.anchor))
+                b = np.minimum(u.off[doc + 1], at + plan.window)
+                x = arrays.mix(arrays.span_hashes(u.hashes, a, b) + (at - a).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(k[lo:hi][doc]), pa.array((at - u.off[doc]).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(x.view(np.int64)), pa.array((at - a).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["k", "at", "anchor", "x", "before", "units"])
+
+    # every anchor, and a hash of its context; texts stay where they are
+    seats = common.stored(docs.select("k", "text").mapInArrow(anchor, "k long, at long, anchor long, x long, before int, units int"))
+    kinds = seats.groupBy("anchor", "x").agg(F.count("*").alias("copies"), F.min(F.struct("k", "at", "before", "units")).alias("r"))
+    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.min("copies").alias("fewest")).filter("size > 1 or fewest > 1")
+    kinds = common.stored(kinds.join(sizes, "anchor").select("anchor", "x", "copies", "r.*", "size", "fewest"))
+    # all windows of a context with copies recur; the bytes are needed where another context is of one place only
+    whole = kinds.filter("copies > 1").select("anchor", "x", F.lit(0).alias("a"), F.col("units").alias("b"), "before")
+    open_ = kinds.filter("size > 1 and fewest = 1")
+    fields = ["at", "anchor", "x", "before", "units", "copies", "size"]
+    places = open_.groupBy("k").agg(F.collect_list(F.struct(*fields)).alias("p"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, at, anchors = batch.column(0), batch.column(2), batch.column(3)
             for lo, hi, data, off in arrays.slices(batch.column(1)):
                 u = plan.units(data, off)
                 rows = []
                 for d in range(hi - lo):
-                    first, last, key = int(u.off[d]), int(u.off[d + 1]), k[lo + d].as_py()
-                    for p, h in zip(at[lo + d].as_py(), anchors[lo + d].as_py()):
-                        a = max(first, first + p - (plan.window - plan.anchor))
-                        b = min(last, first + p + plan.window)
-                        rows.append((h, first + p - a, b - a, u.content(a, b), key, p))
+                    first = int(u.off[d])
+                    for p in batch.column(2)[lo + d].as_py():
+                        a = first + p["at"] - p["before"]
+                        rows.append((p["anchor"], p["x"], p["before"], u.content(a, a + p["units"]), p["copies"], p["size"]))
                 if rows:
                     c = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int64())], ["anchor", "before", "units", "content", "k", "at"])
-
-    context = "anchor long, before int, units int, content binary, k long, at long"
-    cuts = docs.select("k", "text").join(places, "k").select("k", "text", "at", "anchor").mapInArrow(cut, context)
-    cuts = cuts.select(*[c.split()[0] for c in context.split(", ")], F.xxhash64("before", "content").alias("x"))
-    # where each context was: small rows; and each context once
-    cuts = common.stored(cuts)
-    seats = cuts.select("anchor", "x", "k", "at").distinct()
-    single = cuts.groupBy("anchor", "x", "before", "units", "content").agg(F.count("*").alias("copies"))
-    single = common.stored(single)
-    sizes = single.groupBy("anchor").agg(F.count("*").alias("size"))
-    sized = single.join(sizes, "anchor")
-    alone = sized.filter("size = 1 and copies > 1").select("anchor", "x", F.lit(0).alias("a"), F.col("units").alias("b"), "before")
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int64())], ["anchor", "x", "before", "content", "copies", "size"])
+
+    cuts = docs.select("k", "text").join(places, "k").select("k", "text", "p").mapInArrow(cut, "anchor long, x long, before int, content binary, copies long, size long")
 
     def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[list[tuple]] = []
@@ -129,7 +127,7 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
         def out():
             rows = []
             for group, spans in zip(groups, detect([[g[2:] for g in group] for group in groups])):
-                rows += [(g[0], g[1], *s, g[3]) for g, own in zip(group, spans) for s in own]
+                rows += [(g[0], g[1], *s, g[3]) for g, own in zip(group, spans) if g[4] == 1 for s in own]
             c = list(zip(*rows)) if rows else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32())], ["anchor", "x", "a", "b", "before"])
 
@@ -147,8 +145,14 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
             yield out()
 
     result = "anchor long, x long, a int, b int, before int"
-    near = sized.filter(f"size > 1 and size <= {GROUP}").select("anchor", "x", "before", "content", "copies").sortWithinPartitions("anchor").mapInArrow(recur, result)
-    hit = alone.union(near).union(_crowded(sized.filter(f"size > {GROUP}"), plan, result))
+    crowded = open_.filter(f"size > {GROUP}").limit(1).count() > 0
+    if crowded:
+        cuts = common.stored(cuts)
+    near = cuts.filter(f"size <= {GROUP}").select("anchor", "x", "before", "content", "copies").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(recur, result)
+    hit = whole.union(near)
+    if crowded:
+        hit = hit.union(_crowded(cuts.filter(f"size > {GROUP}"), plan, result))
+    hit = hit.select("anchor", "x", "a", "b")
     spans = seats.join(hit, ["anchor", "x"]).select("k", (F.col("at") - F.col("before") + F.col("a")).alias("a"), (F.col("at") - F.col("before") + F.col("b")).alias("b"))
     return spans.groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 

@@ -19,23 +19,30 @@ WINDOW = 400
 ANCHOR = 32
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of the suffixes of non-negative integers by Larsson-Sadakane refinement.
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(order, ranks) of the suffixes of non-negative integers by Larsson-Sadakane refinement.
 
     Groups of suffixes with a common prefix are sorted by the rank ``h`` places on, only as long as they have more
-    than one member; ``h`` doubles.
+    than one member; ``h`` doubles. ``ranks`` has (h, rank) of each step: equal ranks are h equal symbols.
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(text, kind="stable")
-    value = text[order]
+        return np.zeros(0, np.int64), []
+    # the first ranks are those of as many symbols as fit a word
+    bits = int(text.max() + 1).bit_length()
+    h = max(1, 62 // bits)
+    word, wide = np.zeros(n, np.int64), np.append(text + 1, np.zeros(h, np.int64))
+    for i in range(h):
+        word = (word << bits) + wide[i : n + i]
+    order = np.argsort(word)
+    value = word[order]
     head = np.ones(n, bool)
     head[1:] = value[1:] != value[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = 1
+    ranks = []
     while h < n:
+        ranks.append((h, rank.copy()))
         tail = np.append(head[1:], True)
         open_ = np.flatnonzero(~(head & tail))  # places in groups of several
         if not len(open_):
@@ -43,7 +50,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = order[open_]
         next_ = np.where(s + h < n, rank[np.minimum(s + h, n - 1)] + 1, 0)
         key = rank[s] * (n + 1) + next_
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[open_] = s[by]
         key = key[by]
         new = np.ones(len(key), bool)
@@ -52,20 +59,21 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group = np.maximum.accumulate(np.where(new, open_, 0))
         rank[order[open_]] = group
         h *= 2
-    return order, rank
+    return order, ranks
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, ranks: list[tuple[int, np.ndarray]], starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
     """Kasai: length (up to ``most``) that each suffix shares with the one before it in ``order``, by suffix.
 
     A suffix shares at least one less than the suffix one place to its left does. The blocks ``starts:ends`` of the
-    text are walked side by side, each from left to right; separators between them are all different.
+    text are walked side by side, each from left to right; separators between them are all different. What is to be
+    compared anew is compared by the ranks of the refinement, the longest prefixes first.
     """
     n = len(text)
     prev = np.full(n, -1, np.int64)
     prev[order[1:]] = order[:-1]
     out = np.zeros(n, np.int64)
-    padded = np.append(text, -1)
+    strides = [(d, np.append(r, -1)) for d, r in reversed(ranks) if 1 < d <= most] + [(1, np.append(text, -1))]
     length = np.zeros(len(starts), np.int64)
     by_size = np.argsort(starts - ends, kind="stable")
     starts, size = starts[by_size], (ends - starts)[by_size]
@@ -74,14 +82,16 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
         i = starts[:live] + step
         j = prev[i]
         h = np.where(j >= 0, np.maximum(length[:live] - 1, 0), 0)
-        run = np.flatnonzero((j >= 0) & (h < most))
-        while len(run):
-            a, b = i[run] + h[run], j[run] + h[run]
-            ok = (a < n) & (b < n)
-            ok &= padded[np.minimum(a, n)] == padded[np.minimum(b, n)]
-            run = run[ok]
-            h[run] += 1
-            run = run[h[run] < most]
+        for depth, rank in strides:
+            run = np.flatnonzero((j >= 0) & (h < most))
+            while len(run):
+                a, b = i[run] + h[run], j[run] + h[run]
+                ok = (a < n) & (b < n)
+                ok &= rank[np.minimum(a, n)] == rank[np.minimum(b, n)]
+                run = run[ok]
+                h[run] += depth
+                run = run[h[run] < most]
+        h = np.minimum(h, most)
         length[:live] = h
         out[i] = h
     return out
@@ -97,8 +107,8 @@ def recurring(groups: list[list[tuple[bytes, int, int]]], window: int = WINDOW)
     inside[starts + size] = False
     text[inside] = np.frombuffer(b"".join(c[0] for c in contexts), np.uint8)
     text[~inside] = 256 + np.arange(len(size))
-    order, _ = suffix_array(text)
-    shared = common_prefixes(text, order, starts, starts + size, window)
+    order, ranks = suffix_array(text)
+    shared = common_prefixes(text, order, ranks, starts, starts + size, window)
     # neighbours that share the whole window are of one class; a window recurs if its class has another context's
     # window of the same anchor at the same distance
     kind = np.empty(len(text), np.int64)

@@ -58,10 +58,10 @@ def test_suffix_array_kernel():
     rng = np.random.default_rng(3)
     for _ in range(50):
         text = rng.integers(0, 3, rng.integers(1, 60))
-        order, _ = suffix_array.suffix_array(text)
+        order, ranks = suffix_array.suffix_array(text)
         want = sorted(range(len(text)), key=lambda i: tuple(text[i:]))
         assert order.tolist() == want
-        shared = suffix_array.common_prefixes(text, order, np.array([0]), np.array([len(text)]), 1000)
+        shared = suffix_array.common_prefixes(text, order, ranks, np.array([0]), np.array([len(text)]), 1000)
         for a, b in zip(want, want[1:]):
             n = 0
             while max(a, b) + n < len(text) and text[a + n] == text[b + n]:
