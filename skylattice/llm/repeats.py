@@ -21,7 +21,7 @@ from skylattice.llm import arrays, common
 #: Distinct contexts of one anchor that go to one task; the windows of larger groups are counted by fingerprint.
 GROUP = 2000
 #: Context bytes that a task handles at once, besides whole groups.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 
 
 class ByteUnits:

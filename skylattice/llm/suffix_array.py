@@ -42,7 +42,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarr
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     ranks = []
     while h < n:
-        ranks.append((h, rank.copy()))
+        ranks.append((h, rank.astype(np.int32)))
         tail = np.append(head[1:], True)
         open_ = np.flatnonzero(~(head & tail))  # places in groups of several
         if not len(open_):
