@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from skylattice.llm import arrays, common, repeats
 
 WINDOW = 35
-ANCHOR = 8
+ANCHOR = 14
 
 
 def passages(groups: list[list[tuple[bytes, int, int]]], window: int) -> set[bytes]:

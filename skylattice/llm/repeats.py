@@ -21,7 +21,7 @@ from skylattice.llm import arrays, common
 #: Distinct contexts of one anchor that go to one task; the windows of larger groups are counted by fingerprint.
 GROUP = 2000
 #: Context bytes that a task handles at once, besides whole groups.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 700_000
 
 
 class ByteUnits:
@@ -60,17 +60,17 @@ class Plan:
         g = arrays.kgrams(u.hashes, self.anchor)
         if not len(g):
             return np.zeros(0, np.int64), g
-        inside = np.searchsorted(u.off, np.arange(len(g)), "right") == np.searchsorted(u.off, np.arange(len(g)) + self.anchor - 1, "right")
-        # documents shorter than a window have none
+        # where the last anchor of each place's document may start; documents shorter than a window have none
         size = np.diff(u.off)
-        doc = np.searchsorted(u.off, np.arange(len(g)), "right") - 1
-        inside &= size[doc] >= self.window
-        key = (g >> np.uint64(32) << np.uint64(32)) + np.arange(len(g), dtype=np.uint64)
-        key[~inside] = ~np.uint64(0)
+        last = np.repeat(np.where(size >= self.window, u.off[1:] - self.anchor, -1), size)[: len(g)]
+        here = np.arange(len(g))
+        key = (g >> np.uint64(32) << np.uint64(32)) + here.astype(np.uint64)
+        key[here > last] = ~np.uint64(0)
         w = self.window - self.anchor + 1
-        at = np.unique(arrays.sliding_min(key, min(w, len(key))) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        at = at[at < len(g)]
-        at = at[inside[at]]
+        at = arrays.sliding_min(key, min(w, len(key))) & np.uint64(0xFFFFFFFF)
+        at = at[at < len(g)].astype(np.int64)
+        # the smallest of a window never lies before that of an earlier one
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
         return at, g[at]
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skylattice.llm import arrays, common, repeats
 
 WINDOW = 400
-ANCHOR = 32
+ANCHOR = 120
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -28,36 +28,42 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarr
     n = len(text)
     if not n:
         return np.zeros(0, np.int64), []
-    # the first ranks are those of as many symbols as fit a word
+    wide = n.bit_length()
+    mask = np.int64((1 << wide) - 1)
+    # the first ranks are those of as many symbols as fit a word beside the place
     bits = int(text.max() + 1).bit_length()
-    h = max(1, 62 // bits)
-    word, wide = np.zeros(n, np.int64), np.append(text + 1, np.zeros(h, np.int64))
+    h = max(1, (63 - wide) // bits)
+    word, padded = np.zeros(n, np.int64), np.append(text + 1, np.zeros(h, np.int64))
     for i in range(h):
-        word = (word << bits) + wide[i : n + i]
-    order = np.argsort(word)
-    value = word[order]
+        word = (word << bits) + padded[i : n + i]
+    word = np.sort((word << wide) + np.arange(n))
+    order, value = word & mask, word >> wide
     head = np.ones(n, bool)
     head[1:] = value[1:] != value[:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    ranks = []
+    # ranks count from 1; beyond the text they are 0
+    rank = np.zeros(n + 1, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0))
+    ranks, open_ = [], np.arange(n)
     while h < n:
-        ranks.append((h, rank.astype(np.int32)))
-        tail = np.append(head[1:], True)
-        open_ = np.flatnonzero(~(head & tail))  # places in groups of several
+        ranks.append((h, rank[:n].copy()))
+        own = head[open_]
+        # places in groups of several
+        open_ = open_[~(own & np.append(own[1:], True))]
         if not len(open_):
             break
         s = order[open_]
-        next_ = np.where(s + h < n, rank[np.minimum(s + h, n - 1)] + 1, 0)
-        key = rank[s] * (n + 1) + next_
-        by = np.argsort(key)
-        order[open_] = s[by]
-        key = key[by]
+        key = (rank[s].astype(np.int64) << wide) + rank[np.minimum(s + h, n)]
+        if 3 * wide <= 63:  # the place fits beside both ranks: plain sorting does
+            key = np.sort((key << wide) + s)
+            s, key = key & mask, key >> wide
+        else:
+            by = np.argsort(key)
+            s, key = s[by], key[by]
+        order[open_] = s
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         head[open_] = new
-        group = np.maximum.accumulate(np.where(new, open_, 0))
-        rank[order[open_]] = group
+        rank[s] = np.maximum.accumulate(np.where(new, open_ + 1, 0))
         h *= 2
     return order, ranks
 
@@ -70,28 +76,32 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, ranks: list[tuple[int,
     compared anew is compared by the ranks of the refinement, the longest prefixes first.
     """
     n = len(text)
-    prev = np.full(n, -1, np.int64)
+    prev = np.full(n, -1, np.int32)
     prev[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
-    strides = [(d, np.append(r, -1)) for d, r in reversed(ranks) if 1 < d <= most] + [(1, np.append(text, -1))]
-    length = np.zeros(len(starts), np.int64)
+    out = np.zeros(n, np.int32)
+    steps = [(d, r) for d, r in ranks if 1 < d <= most][::-1][::2] + [(1, text.astype(np.int32))]
+    # past the text every place differs from every other
+    past = -1 - np.arange(most + max(d for d, _ in steps) + 1, dtype=np.int32)
+    strides = [(d, np.append(r, past)) for d, r in steps]
+    length = np.zeros(len(starts), np.int32)
     by_size = np.argsort(starts - ends, kind="stable")
-    starts, size = starts[by_size], (ends - starts)[by_size]
+    starts, size = starts[by_size].astype(np.int32), (ends - starts)[by_size]
     for step in range(int(size.max(initial=0))):
         live = int(np.searchsorted(-size, -step, "left"))  # blocks longer than step
-        i = starts[:live] + step
+        i = starts[:live] + np.int32(step)
         j = prev[i]
-        h = np.where(j >= 0, np.maximum(length[:live] - 1, 0), 0)
+        h = np.maximum(length[:live] - 1, 0)
+        h[j < 0] = 0
+        live_pairs = np.flatnonzero(j >= 0)
         for depth, rank in strides:
-            run = np.flatnonzero((j >= 0) & (h < most))
+            run = live_pairs
             while len(run):
-                a, b = i[run] + h[run], j[run] + h[run]
-                ok = (a < n) & (b < n)
-                ok &= rank[np.minimum(a, n)] == rank[np.minimum(b, n)]
-                run = run[ok]
+                own = h[run]
+                run = run[rank[i[run] + own] == rank[j[run] + own]]
                 h[run] += depth
                 run = run[h[run] < most]
-        h = np.minimum(h, most)
+            live_pairs = live_pairs[h[live_pairs] < most]
+        np.minimum(h, most, out=h)
         length[:live] = h
         out[i] = h
     return out
@@ -108,7 +118,8 @@ def recurring(groups: list[list[tuple[bytes, int, int]]], window: int = WINDOW)
     text[inside] = np.frombuffer(b"".join(c[0] for c in contexts), np.uint8)
     text[~inside] = 256 + np.arange(len(size))
     order, ranks = suffix_array(text)
-    shared = common_prefixes(text, order, ranks, starts, starts + size, window)
+    # only the starts of windows are walked: no other place shares a window with them
+    shared = common_prefixes(text, order, ranks, starts, starts + np.maximum(0, size - window + 1), window)
     # neighbours that share the whole window are of one class; a window recurs if its class has another context's
     # window of the same anchor at the same distance
     kind = np.empty(len(text), np.int64)
