@@ -95,9 +95,10 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
 
     # every anchor, and a hash of its context; texts stay where they are
     seats = common.stored(docs.select("k", "text").mapInArrow(anchor, "k long, at long, anchor long, x long, before int, units int"))
-    kinds = seats.groupBy("anchor", "x").agg(F.count("*").alias("copies"), F.min(F.struct("k", "at", "before", "units")).alias("r"))
+    # contexts of one hash are equal: the place of any of them serves
+    kinds = seats.groupBy("anchor", "x").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("k", "at", "before", "units")])
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.min("copies").alias("fewest")).filter("size > 1 or fewest > 1")
-    kinds = common.stored(kinds.join(sizes, "anchor").select("anchor", "x", "copies", "r.*", "size", "fewest"))
+    kinds = common.stored(kinds.join(sizes, "anchor").select("anchor", "x", "copies", "k", "at", "before", "units", "size", "fewest"))
     # all windows of a context with copies recur; the bytes are needed where another context is of one place only
     whole = kinds.filter("copies > 1").select("anchor", "x", F.lit(0).alias("a"), F.col("units").alias("b"), "before")
     open_ = kinds.filter("size > 1 and fewest = 1")
@@ -151,28 +152,33 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
     near = cuts.filter(f"size <= {GROUP}").select("anchor", "x", "before", "content", "copies").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(recur, result)
     hit = whole.union(near)
     if crowded:
-        hit = hit.union(_crowded(cuts.filter(f"size > {GROUP}"), plan, result))
+        hit = hit.union(_crowded(cuts.filter(f"size > {GROUP}"), open_.filter(f"size > {GROUP}"), plan))
     hit = hit.select("anchor", "x", "a", "b")
     spans = seats.join(hit, ["anchor", "x"]).select("k", (F.col("at") - F.col("before") + F.col("a")).alias("a"), (F.col("at") - F.col("before") + F.col("b")).alias("b"))
     return spans.groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def _crowded(sized: DataFrame, plan: Plan, result: str) -> DataFrame:
-    """The same for anchors with too many contexts for one task: windows are counted by a fingerprint over all tasks."""
+def _crowded(cuts: DataFrame, contexts: DataFrame, plan: Plan) -> DataFrame:
+    """The same for anchors with too many contexts for one task: windows are counted by a fingerprint over all tasks.
 
-    def windows(batches):
+    Only windows of one place are told to their context, which keeps the others; windows that recur are summed and gone.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, content in enumerate(batch.column(3).to_pylist()):
+            for anchor, x, before, content, copies in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = np.frombuffer(content, np.uint8)
                 f = arrays.kgrams(plan.units(raw, np.array([0, len(raw)])).hashes, plan.window)
-                one = batch.slice(i, 1)
-                n = len(f)
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(n, one.column(c)[0].as_py()), t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()), (4, pa.int64()))], pa.array(np.arange(n), pa.int32()), pa.array(f.view(np.int64))], ["anchor", "x", "before", "copies", "s", "f"])
-
-    every = sized.select("anchor", "x", "before", "content", "copies").mapInArrow(windows, "anchor long, x long, before int, copies long, s int, f long")
-    every = every.withColumn("d", F.col("before") - F.col("s"))
-    twice = every.groupBy("anchor", "d", "f").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor", "d", "f")
-    return every.join(twice, ["anchor", "d", "f"]).groupBy("anchor", "x", "before").agg(F.min("s").alias("a"), (F.max("s") + plan.window).cast("int").alias("b")).select(*[c.split()[0] for c in result.split(", ")])
+                s = np.arange(len(f), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), anchor)), pa.array(np.full(len(f), x)), pa.array(np.full(len(f), copies)), pa.array(s), pa.array(before - s), pa.array(f.view(np.int64))], ["anchor", "x", "copies", "s", "d", "f"])
+
+    every = cuts.select("anchor", "x", "before", "content", "copies").mapInArrow(windows, "anchor long, x long, copies long, s int, d int, f long")
+    alone = every.groupBy("anchor", "d", "f").agg(F.sum("copies").alias("n"), F.min("x").alias("x"), F.min("s").alias("s")).filter("n = 1")
+    alone = alone.groupBy("anchor", "x").agg(F.collect_list("s").alias("alone"))
+    left = F.array_except(F.sequence(F.lit(0), F.col("units") - plan.window), F.coalesce("alone", F.array().cast("array<int>")))
+    single = contexts.filter(f"copies = 1 and units >= {plan.window}").select("anchor", "x", "before", "units")
+    held = single.join(alone, ["anchor", "x"], "left").withColumn("left", left).filter("size(left) > 0")
+    return held.select("anchor", "x", F.array_min("left").alias("a"), (F.array_max("left") + plan.window).alias("b"), "before")
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
