@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Encoding runs a pre-token's merges through a queue of buckets, one per merge rank. A bucket holds places in
-the linked list of parts. Three levels of bitmaps tell which buckets have entries; find-first-set on each
+the linked list of parts. Two levels of bitmaps tell which buckets have entries; find-first-set on each
 level yields the lowest rank in constant time, whatever the length of the pre-token. Entries whose place was
 merged away or has another rank by now are skipped when they surface. Within a rank the leftmost place goes
-first, as the usual encoder has it.
+first, as the usual encoder has it; a merge that makes a pair of lower rank interrupts the bucket.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +26,12 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Entries that a worker's memo of pre-tokens holds at most; a bound on memory, not on results.
 MEMO_ENTRIES = 300_000
 MEMO_LENGTH = 64
+#: Bits of a rank that pick the bit in a word of the lower bitmap.
+WORD = 8
+WORD_MASK = (1 << WORD) - 1
+ID_BITS = 32
+#: Ids decoded at a time.
+DECODE_IDS = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,41 +46,46 @@ def encoder(path: str) -> Encoder:
 
 
 class RankQueue:
-    """Places by rank; ``pop`` gives the lowest rank, and its leftmost place."""
+    """Places by rank; ``take`` gives the lowest rank and all its places, leftmost first."""
+
+    __slots__ = ("top", "low", "buckets")
 
     def __init__(self):
-        self.top, self.middle, self.low, self.buckets = 0, {}, {}, {}
+        self.top, self.low, self.buckets = 0, {}, {}
 
     def push(self, rank: int, place: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, place)
+        if bucket is not None:
+            bucket.append(place)
             return
         self.buckets[rank] = [place]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, place); (-1, -1) if there is none."""
+        a = rank >> WORD
+        word = self.low.get(a)
+        if word is None:
+            self.top |= 1 << a
+            self.low[a] = 1 << (rank & WORD_MASK)
+        else:
+            self.low[a] = word | 1 << (rank & WORD_MASK)
+
+    def take(self) -> tuple[int, list[int]]:
+        """(rank, places); (-1, []) if there is none."""
         top = self.top
         if not top:
-            return -1, -1
-        b = (top & -top).bit_length() - 1
-        word = self.middle[b]
-        a = (b << 6) + (word & -word).bit_length() - 1
+            return -1, []
+        a = (top & -top).bit_length() - 1
         word = self.low[a]
-        rank = (a << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            self.low[a] &= self.low[a] - 1
-            if not self.low[a]:
-                self.middle[b] &= self.middle[b] - 1
-                if not self.middle[b]:
-                    self.top &= self.top - 1
-        return rank, place
+        bit = word & -word
+        rank = (a << WORD) + bit.bit_length() - 1
+        word ^= bit
+        if word:
+            self.low[a] = word
+        else:
+            del self.low[a]
+            self.top = top & (top - 1)
+        places = self.buckets.pop(rank)
+        if len(places) > 1:
+            places.sort()
+        return rank, places
 
 
 class Encoder:
@@ -82,51 +93,69 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = [b""] * (max(ranks.values()) + 1)
+        self.of_byte = [ranks[bytes([i])] for i in range(256)]
+        # rank of the token that two tokens make, for every way to cut a token in two
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << ID_BITS | right] = rank
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+        self.token_size = np.array([len(t) for t in tokens])
+        self.token_first = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.memo: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        get = self.ranks.get
-        whole = get(piece)
+        """Ids of one pre-token. A merged part's id is the rank of its merge."""
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        get, n = self.pairs.get, len(piece)
+        of_byte = self.of_byte
+        parts = [of_byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         current, queue = [-1] * n, RankQueue()
+        push = queue.push
         for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
+            rank = get(parts[i] << ID_BITS | parts[i + 1], -1)
+            if rank >= 0:
                 current[i] = rank
-                queue.push(rank, i)
+                push(rank, i)
         while True:
-            rank, i = queue.pop()
+            rank, places = queue.take()
             if rank < 0:
                 break
-            if current[i] != rank:
-                continue  # stale
-            j = after[i]
-            parts[i] += parts[j]
-            parts[j], current[j] = None, -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                new = get(parts[i] + parts[k])
-                current[i] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, i)
-            else:
-                current[i] = -1
-            h = before[i]
-            if h >= 0:
-                new = get(parts[h] + parts[i])
-                current[h] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, h)
-        return [self.ranks[p] for p in parts if p is not None]
+            for at, i in enumerate(places):
+                if current[i] != rank:
+                    continue  # stale
+                j = after[i]
+                parts[i] = rank
+                parts[j] = current[j] = -1
+                k = after[i] = after[j]
+                lower = False
+                new = -1
+                if k < n:
+                    before[k] = i
+                    new = get(rank << ID_BITS | parts[k], -1)
+                    if new >= 0:
+                        push(new, i)
+                        lower = new < rank
+                current[i] = new
+                h = before[i]
+                if h >= 0:
+                    new = current[h] = get(parts[h] << ID_BITS | rank, -1)
+                    if new >= 0:
+                        push(new, h)
+                        lower |= new < rank
+                if lower:  # a lower rank goes before the other places of this one
+                    for other in places[at + 1 :]:
+                        push(rank, other)
+                    break
+        return [p for p in parts if p >= 0]
 
     def piece_ids(self, piece: str) -> list[int]:
         ids = self.memo.get(piece)
@@ -156,8 +185,9 @@ class Encoder:
         np.cumsum(count, out=total[1:])
         return flat[arrays.ragged(first[place], count)], total[np.searchsorted(start, off)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, end to end."""
+        return self.token_bytes[arrays.ragged(self.token_first[ids], self.token_size[ids])]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -188,7 +218,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                data = [None if x is None else own.decode(x) for x in part.column(1).to_pylist()]
+                ids = part.column(1)
+                count = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+                flat, at, data = ids.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(count)), []
+                for null, i, j in zip(ids.is_null().to_pylist(), at[:-1], at[1:]):
+                    data.append(None if null else b"".join(own.decode(flat[x : min(j, x + DECODE_IDS)]).tobytes() for x in range(i, j, DECODE_IDS)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
