@@ -50,8 +50,19 @@ class RankQueue:
 
     __slots__ = ("top", "low", "buckets")
 
-    def __init__(self):
-        self.top, self.low, self.buckets = 0, {}, {}
+    def __init__(self, ranks: list[int]):
+        """Each place with its rank in ``ranks``, if that is not -1."""
+        top, low, buckets = 0, {}, {}
+        for place, rank in enumerate(ranks):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(place)
+                else:
+                    buckets[rank] = [place]
+                    a = rank >> WORD
+                    top |= 1 << a
+                    low[a] = low.get(a, 0) | 1 << (rank & WORD_MASK)
+        self.top, self.low, self.buckets = top, low, buckets
 
     def push(self, rank: int, place: int) -> None:
         bucket = self.buckets.get(rank)
@@ -101,6 +112,7 @@ class Encoder:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << ID_BITS | right] = rank
+        self.of_bytes = [self.pairs.get(a << ID_BITS | b, -1) for a in self.of_byte for b in self.of_byte]
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -118,15 +130,13 @@ class Encoder:
         of_byte = self.of_byte
         parts = [of_byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        current, queue = [-1] * n, RankQueue()
-        push = queue.push
-        for i in range(n - 1):
-            rank = get(parts[i] << ID_BITS | parts[i + 1], -1)
-            if rank >= 0:
-                current[i] = rank
-                push(rank, i)
+        of_bytes = self.of_bytes
+        current = [of_bytes[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        current.append(-1)
+        queue = RankQueue(current)
+        push, take = queue.push, queue.take
         while True:
-            rank, places = queue.take()
+            rank, places = take()
             if rank < 0:
                 break
             for at, i in enumerate(places):
