@@ -32,10 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes recurring 400-byte strings out of the texts; documents with nothing left go. ``n_chars`` follows the text."""
-    cut = suffix_array.remove_repeats(docs, extra=["lang", "source"])
-    text = F.decode("kept", "utf-8")
     # cuts may fall inside a character: its other bytes go too
-    cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.regexp_replace(text, "�", "")).otherwise(text))
+    cut = suffix_array.remove_repeats(docs, extra=["lang", "source"], as_text=True).withColumnRenamed("kept", "text")
     return cut.filter("text <> ''").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

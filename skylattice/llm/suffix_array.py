@@ -143,12 +143,13 @@ def recurring(groups: list[list[tuple[bytes, int, int]]], window: int = WINDOW)
     return [[next(it) for _ in g] for g in groups]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, extra: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, extra: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """(doc_id, *extra, n_bytes, n_removed, spans, kept binary) of each row: UTF-8 bytes covered by a recurring window go.
 
     All occurrences go, the first too, judged on the input. Matches end at document borders. Null texts are empty; texts
     shorter than a window stay whole. A row given twice repeats itself, and so loses all its windows. ``spans`` are the
-    maximal removed runs (from, to) in bytes; cuts may fall inside a character.
+    maximal removed runs (from, to) in bytes; cuts may fall inside a character. With ``as_text``, ``kept`` is a string, and
+    the other bytes of a character that a cut falls into go too (``n_removed`` does not count them).
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), *[docs[c] for c in extra or []], docs[text_col].cast("string").alias("text")).withColumn("k", common.row_key("doc_id", "text"))
     found = repeats.find_spans(rows.select("k", "text"), repeats.Plan(repeats.ByteUnits, window, min(ANCHOR, window)), lambda g: recurring(g, window))
@@ -158,19 +159,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for lo, hi, data, off in arrays.slices(batch.column(at)):
-                runs, kept = [], []
+                runs, kept, size = [], [], []
                 for d in range(hi - lo):
                     raw, spans = data[off[d] : off[d + 1]], batch.column(at + 1)[lo + d].as_py()
                     own = repeats.merged([(s["a"], s["b"]) for s in spans or ()], len(raw))
                     runs.append([{"a": a, "b": b} for a, b in own])
                     edge = [0, *[x for r in own for x in r], len(raw)]
-                    kept.append(b"".join(raw[a:b].tobytes() for a, b in zip(edge[::2], edge[1::2])))
+                    left = [raw[a:b].tobytes() for a, b in zip(edge[::2], edge[1::2])]
+                    size.append(sum(map(len, left)))
+                    # piece by piece: bytes from both sides of a cut must not meet as a character of neither
+                    kept.append("".join(x.decode("utf-8", "ignore") for x in left) if as_text else b"".join(left))
                 n = np.diff(off)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in range(at)], pa.array(n), pa.array(n - np.array([len(x) for x in kept], np.int64)), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in range(at)], pa.array(n), pa.array(n - np.array(size, np.int64)), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())], [*names, "n_bytes", "n_removed", "spans", "kept"])
 
     wide = rows.join(found, "k", "left").select(*names, "text", "spans")
     own = wide.drop("text", "spans").schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + ["n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + ["n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept " + ("string" if as_text else "binary")])
     return wide.mapInArrow(cut, schema)
 
 
