@@ -10,6 +10,8 @@ from skylattice.functions.geo import city_key, haversine, leg_status
 CIRCUITY = 2.5
 WINDOW_MINUTES = 12 * 60
 DEFAULT_MCT = 180
+#: Fields of a rule that say what it holds for.
+SCOPE = ["status", "arrival_station", "arrival_carrier", "departure_carrier", "number_from", "number_to"]
 
 
 def siblings(airports: DataFrame) -> DataFrame:
@@ -63,29 +65,40 @@ def itineraries_1(flights: DataFrame, airports: DataFrame, minimum: int = DEFAUL
     return met.withColumn("travel", F.expr("timestampdiff(MINUTE, dep, arr2)")).withColumn("transfer", F.expr("timestampdiff(MINUTE, arr, dep2)")).withColumn("flown", F.col("block") + F.col("block2"))
 
 
+def live_rules(rules: DataFrame) -> DataFrame:
+    """Rules that give minutes: no suppressions, and none that a suppression of the same scope takes away."""
+    off = rules.filter("suppression").select(*[F.col(x).alias("_" + x) for x in SCOPE])
+    return rules.filter("not suppression").join(off, [F.col(x).eqNullSafe(F.col("_" + x)) for x in SCOPE], "left_anti")
+
+
 def connection_minutes(met: DataFrame, rules: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT) -> DataFrame:
     """Adds ``mct``: the minutes of the most specific matching rule, ``default`` without one. Null rule fields match all.
 
     A suppression takes away the rules of its own scope. Specificity: station, then flight number, then carrier; then the
-    number of fields; then file order. ``rules`` is a small table by its kind.
+    number of fields; then file order. Rules are met by equality of status, station and carriers; only number ranges are compared.
     """
     land = airports.select("code", "country")
     c = met
     for col, name in (("origin", "k1"), ("dest", "k2"), ("origin2", "k3"), ("dest2", "k4")):
         c = c.join(F.broadcast(land.select(F.col("code").alias(col), F.col("country").alias(name))), col, "left")
     c = c.withColumn("status", F.concat(leg_status(F.col("k1"), F.col("k2")), leg_status(F.col("k3"), F.col("k4")))).drop("k1", "k2", "k3", "k4")
-    scope = ["status", "arrival_station", "arrival_carrier", "departure_carrier", "number_from", "number_to"]
-    off = rules.filter("suppression").select(*[F.col(x).alias("_" + x) for x in scope])
-    same = [F.col(x).eqNullSafe(F.col("_" + x)) for x in scope]
-    live = rules.filter("not suppression").join(off, same, "left_anti")
+    live = live_rules(rules)
     has = lambda x: F.col(x).isNotNull().cast("int")
     live = live.withColumn("spec", F.struct(has("arrival_station"), has("number_from"), F.greatest(has("arrival_carrier"), has("departure_carrier")), (has("arrival_station") + has("arrival_carrier") + has("departure_carrier") + 2 * has("number_from")).alias("fields"), (-F.col("rule_pos")).alias("pos")))
+    # of rules of one scope only the first can win
+    live = live.groupBy(*SCOPE).agg(F.max_by("minutes", "spec").alias("minutes"), F.max("spec").alias("spec"))
     keys = ["status", "dest", "company", "company2", "number"]
     # rules are resolved once per distinct signature, not per connection
     kinds = c.select(*keys).distinct()
+    # a signature goes once for each choice of bound fields, so that it meets its rules by equality
+    bound = [("arrival_station", "dest"), ("arrival_carrier", "company"), ("departure_carrier", "company2")]
+    choices = F.explode(F.sequence(F.lit(0), F.lit((1 << len(bound)) - 1)))
+    asked = kinds.withColumn("_choice", choices).select(*keys, *[F.when(F.col("_choice").bitwiseAND(F.lit(1 << i)) != 0, F.col(col)).alias("_" + field) for i, (field, col) in enumerate(bound)])
     r = live.withColumnRenamed("status", "rule_status")
-    fits = (F.col("status") == F.col("rule_status")) & (F.col("arrival_station").isNull() | (F.col("arrival_station") == F.col("dest"))) & (F.col("arrival_carrier").isNull() | (F.col("arrival_carrier") == F.col("company"))) & (F.col("departure_carrier").isNull() | (F.col("departure_carrier") == F.col("company2"))) & (F.col("number_from").isNull() | F.col("number").try_cast("int").between(F.col("number_from"), F.col("number_to")))
-    best = kinds.join(F.broadcast(r), fits).groupBy(*keys).agg(F.max_by("minutes", "spec").alias("m"))
+    fits = (F.col("status") == F.col("rule_status")) & (F.col("number_from").isNull() | F.col("number").try_cast("int").between(F.col("number_from"), F.col("number_to")))
+    for field, _ in bound:
+        fits &= F.col("_" + field).eqNullSafe(F.col(field))
+    best = asked.join(r, fits).groupBy(*keys).agg(F.max_by("minutes", "spec").alias("m"))
     best = best.select(*[F.col(x).alias("_" + x) for x in keys], "m")
     on = [F.col(x).eqNullSafe(F.col("_" + x)) for x in keys]
     return c.join(best, on, "left").withColumn("mct", F.coalesce("m", F.lit(default))).drop("m", "status", *["_" + x for x in keys])

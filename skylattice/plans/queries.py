@@ -118,7 +118,8 @@ SELECT {', '.join('m.' + c for c in PAIR)}, CAST(coalesce(best.minutes, 180) AS
 LEFT JOIN best ON best.rn = 1 AND best.company = m.company AND best.number = m.number AND best.company2 = m.company2 AND best.dest = m.dest AND best.status = (CASE WHEN a.country = b.country THEN 'D' ELSE 'I' END) || (CASE WHEN c.country = d.country THEN 'D' ELSE 'I' END)""")
 def mct_match(spark, sf):
     f, a = derived.flights(spark, sf), derived.airports(spark, sf)
-    return network.connection_minutes(network.connections(f, f, network.siblings(a)), derived.rules(spark, sf), a).select(*PAIR, "mct")
+    # the SQL states rules of the first parts only
+    return network.connection_minutes(network.connections(f, f, network.siblings(a)), derived.rules(spark, sf, below=400), a).select(*PAIR, "mct")
 
 
 @query("SELECT 'C' || (p_partkey % 7) AS submitter, string_agg(DISTINCT 'C' || (p_size % 7), '|' ORDER BY 'C' || (p_size % 7)) AS partners FROM part GROUP BY 1")

@@ -36,9 +36,11 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.to_date("o_orderdate").alias("start_date"), F.expr("date_add(to_date(o_orderdate), 27)").alias("end_date"), F.expr("array_join(transform(filter(sequence(0, 6), i -> (1 + o_orderkey % 127) & shiftleft(1L, i) <> 0), i -> cast(i + 1 as string)), '')").alias("days"), F.expr("cast(1 + o_orderkey % 2 as int)").alias("frequency"))
 
 
-def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connection-time rules; a null field matches everything. At most 399 rows at every size."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 400")
+def rules(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
+    """Connection-time rules, one per part; a null field matches everything. ``below`` keeps the parts under that key only."""
+    p = table(spark, sf_dir, "part")
+    if below is not None:
+        p = p.filter(F.col("p_partkey") < below)
     nul = lambda test, value: F.expr(f"case when {test} then {value} end")
     return p.select(F.col("p_partkey").alias("rule_pos"), F.expr("element_at(array('DD', 'DI', 'ID', 'II'), cast(p_partkey % 4 + 1 as int))").alias("status"), F.when(F.expr("p_partkey % 3 = 0"), code("p_partkey % 25")).alias("arrival_station"), nul("p_partkey % 5 = 0", "concat('C', p_partkey % 7)").alias("arrival_carrier"), nul("p_partkey % 7 = 0", "concat('C', p_size % 7)").alias("departure_carrier"), nul("p_partkey % 11 = 0", "cast(p_size as int)").alias("number_from"), nul("p_partkey % 11 = 0", "cast(p_size + 40 as int)").alias("number_to"), F.expr("p_partkey % 13 = 0").alias("suppression"), F.expr("cast(30 + 5 * (p_size % 40) as int)").alias("minutes"))
 
