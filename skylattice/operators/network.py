@@ -56,12 +56,29 @@ def connections(first: DataFrame, second: DataFrame, pairs: DataFrame, minimum:
     return met.filter((F.col("dep2") >= late("arr", minimum)) & (F.col("dep2") <= late("arr", window)) & ((F.col("company") != F.col("company2")) | (F.col("number") != F.col("number2"))))
 
 
-def itineraries_1(flights: DataFrame, airports: DataFrame, minimum: int = DEFAULT_MCT) -> DataFrame:
-    """Itineraries of two flights along simple low-circuity paths, with their measures in minutes."""
+def connections_by_rules(first: DataFrame, second: DataFrame, pairs: DataFrame, rules: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, window: int = WINDOW_MINUTES) -> DataFrame:
+    """Connections that leave no sooner than their own minimum ``mct`` after the arrival, and within the window."""
+    least = live_rules(rules).agg(F.min("minutes")).first()[0]
+    met = connections(first, second, pairs, default if least is None else min(least, default), window)
+    return connection_minutes(met, rules, airports, default).filter("dep2 >= arr + make_dt_interval(0, 0, mct)")
+
+
+def itineraries_0(flights: DataFrame, airports: DataFrame) -> DataFrame:
+    """Itineraries of one flight between two known airports, with their measures in minutes."""
+    known = edges(flights, airports).filter("distance > 1e-9").select("origin", "dest")
+    return flights.join(known, ["origin", "dest"]).withColumn("travel", F.expr("timestampdiff(MINUTE, dep, arr)")).withColumn("flown", F.col("block"))
+
+
+def itineraries_1(flights: DataFrame, airports: DataFrame, minimum: int = DEFAULT_MCT, rules: DataFrame | None = None) -> DataFrame:
+    """Itineraries of two flights along simple low-circuity paths, with their measures in minutes.
+
+    With ``rules`` each connection keeps its own minimum, and ``minimum`` where no rule matches.
+    """
     pairs = siblings(airports)
     # airports are a dimension: paths are bounded by their number, not by the flights'
     path = paths_2(edges(flights, airports), pairs, airports).select(F.col("a").alias("origin"), F.col("b").alias("dest"), F.col("c").alias("origin2"), F.col("d").alias("dest2"), F.round("circuity", 6).alias("circuity"))
-    met = connections(flights, flights, pairs, minimum).join(path, ["origin", "dest", "origin2", "dest2"])
+    met = connections(flights, flights, pairs, minimum) if rules is None else connections_by_rules(flights, flights, pairs, rules, airports, minimum)
+    met = met.join(path, ["origin", "dest", "origin2", "dest2"])
     return met.withColumn("travel", F.expr("timestampdiff(MINUTE, dep, arr2)")).withColumn("transfer", F.expr("timestampdiff(MINUTE, arr, dep2)")).withColumn("flown", F.col("block") + F.col("block2"))
 
 

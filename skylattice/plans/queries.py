@@ -33,6 +33,22 @@ MET = """met AS (SELECT x.company, x.number, x.origin, x.dest, x.dep, x.arr, x.b
  FROM (SELECT flights.*, sibling, unnest(generate_series(CAST(CAST(arr + INTERVAL 180 MINUTE AS DATE) AS TIMESTAMP), CAST(CAST(arr + INTERVAL 720 MINUTE AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM flights JOIN sib ON code = dest) x
  JOIN (SELECT *, CAST(CAST(dep AS DATE) AS TIMESTAMP) AS day FROM flights) y ON y.origin = x.sibling AND y.day = x.day
  WHERE y.dep BETWEEN x.arr + INTERVAL 180 MINUTE AND x.arr + INTERVAL 720 MINUTE AND (x.company <> y.company OR x.number <> y.number))"""
+# every connection of 0 to 720 minutes, the rules of all parts, and of the connections those that keep their own minimum
+TIMED = """cand AS MATERIALIZED (SELECT x.company, x.number, x.origin, x.dest, x.dep, x.arr, x.block, y.company AS company2, y.number AS number2, y.origin AS origin2, y.dest AS dest2, y.dep AS dep2, y.arr AS arr2, y.block AS block2,
+ (CASE WHEN a.country = b.country THEN 'D' ELSE 'I' END) || (CASE WHEN c.country = d.country THEN 'D' ELSE 'I' END) AS status
+ FROM (SELECT flights.*, sibling, unnest(generate_series(CAST(CAST(arr AS DATE) AS TIMESTAMP), CAST(CAST(arr + INTERVAL 720 MINUTE AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM flights JOIN sib ON code = dest) x
+ JOIN (SELECT *, CAST(CAST(dep AS DATE) AS TIMESTAMP) AS day FROM flights) y ON y.origin = x.sibling AND y.day = x.day
+ JOIN airports a ON a.code = x.origin JOIN airports b ON b.code = x.dest JOIN airports c ON c.code = y.origin JOIN airports d ON d.code = y.dest
+ WHERE y.dep BETWEEN x.arr AND x.arr + INTERVAL 720 MINUTE AND (x.company <> y.company OR x.number <> y.number)),
+rules AS MATERIALIZED (SELECT p_partkey AS rule_pos, ['DD', 'DI', 'ID', 'II'][CAST(p_partkey % 4 + 1 AS INT)] AS status,
+ CASE WHEN p_partkey % 3 = 0 THEN chr(CAST(65 + (p_partkey % 25) // 5 AS INT)) || chr(CAST(65 + (p_partkey % 25) % 5 AS INT)) || 'X' END AS st, CASE WHEN p_partkey % 5 = 0 THEN 'C' || (p_partkey % 7) END AS ac, CASE WHEN p_partkey % 7 = 0 THEN 'C' || (p_size % 7) END AS dc,
+ CASE WHEN p_partkey % 11 = 0 THEN p_size END AS nf, CASE WHEN p_partkey % 11 = 0 THEN p_size + 40 END AS nt, p_partkey % 13 = 0 AS off, 30 + 5 * (p_size % 40) AS minutes FROM part),
+live AS MATERIALIZED (SELECT * FROM rules r WHERE NOT off AND NOT EXISTS (SELECT 1 FROM rules s WHERE s.off AND s.status = r.status AND s.st IS NOT DISTINCT FROM r.st AND s.ac IS NOT DISTINCT FROM r.ac AND s.dc IS NOT DISTINCT FROM r.dc AND s.nf IS NOT DISTINCT FROM r.nf AND s.nt IS NOT DISTINCT FROM r.nt)),
+kinds AS MATERIALIZED (SELECT DISTINCT company, number, company2, dest, status FROM cand),
+best AS MATERIALIZED (SELECT k.*, minutes, row_number() OVER (PARTITION BY k.company, k.number, k.company2, k.dest, k.status ORDER BY (st IS NOT NULL) DESC, (nf IS NOT NULL) DESC, (ac IS NOT NULL OR dc IS NOT NULL) DESC,
+ (st IS NOT NULL)::INT + (ac IS NOT NULL)::INT + (dc IS NOT NULL)::INT + 2 * (nf IS NOT NULL)::INT DESC, rule_pos) AS rn FROM kinds k JOIN live r ON r.status = k.status AND (st IS NULL OR st = dest) AND (ac IS NULL OR ac = company) AND (dc IS NULL OR dc = company2) AND (nf IS NULL OR CAST(number AS INT) BETWEEN nf AND nt)),
+timed AS (SELECT m.*, CAST(coalesce(best.minutes, 180) AS INT) AS mct FROM cand m LEFT JOIN best ON best.rn = 1 AND best.company = m.company AND best.number = m.number AND best.company2 = m.company2 AND best.dest = m.dest AND best.status = m.status
+ WHERE m.dep2 >= m.arr + to_minutes(coalesce(best.minutes, 180)))"""
 PAIR = ["company", "number", "origin", "dest", "dep", "company2", "number2", "origin2", "dest2", "dep2"]
 
 QUERIES: dict = {}
@@ -122,6 +138,22 @@ def mct_match(spark, sf):
     return network.connection_minutes(network.connections(f, f, network.siblings(a)), derived.rules(spark, sf, below=400), a).select(*PAIR, "mct")
 
 
+@query(f"WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {TIMED} SELECT {', '.join(PAIR)}, mct FROM timed")
+def connections_mct(spark, sf):
+    f, a = derived.flights(spark, sf), derived.airports(spark, sf)
+    return network.connections_by_rules(f, f, network.siblings(a), derived.rules(spark, sf), a).select(*PAIR, "mct")
+
+
+@query(f"WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {PATHS}, {TIMED} SELECT {', '.join(PAIR)}, mct, round(circuity, 6) AS circuity, date_diff('minute', dep, arr2) AS travel, date_diff('minute', arr, dep2) AS transfer, block + block2 AS flown FROM timed JOIN paths ON a = origin AND b = dest AND c = origin2 AND d = dest2 WHERE circuity <= 2.5")
+def itin_1stop_mct(spark, sf):
+    return network.itineraries_1(derived.flights(spark, sf), derived.airports(spark, sf), rules=derived.rules(spark, sf)).select(*PAIR, "mct", "circuity", "travel", "transfer", "flown")
+
+
+@query(f"WITH {AIRPORTS}, {FLIGHTS} SELECT company, number, origin, dest, dep, arr, date_diff('minute', dep, arr) AS travel, block AS flown FROM flights JOIN airports a ON a.code = origin JOIN airports b ON b.code = dest WHERE a.lat <> b.lat OR a.lon <> b.lon")
+def itin_direct(spark, sf):
+    return network.itineraries_0(derived.flights(spark, sf), derived.airports(spark, sf)).select("company", "number", "origin", "dest", "dep", "arr", "travel", "flown")
+
+
 @query("SELECT 'C' || (p_partkey % 7) AS submitter, string_agg(DISTINCT 'C' || (p_size % 7), '|' ORDER BY 'C' || (p_size % 7)) AS partners FROM part GROUP BY 1")
 def filter_merge(spark, sf):
     return derived.filters(spark, sf).groupBy("submitter").agg(F.array_join(F.array_sort(F.collect_set("partner")), "|").alias("partners"))

@@ -32,3 +32,18 @@ def test_minutes_of_all_rules(spark):
     own = rules.collect()
     want = sorted((*r, minutes_of(own, country, r[1], r[2], r[3], r[0], r[4], r[5], r[6])) for r in rows)
     assert sorted(map(tuple, told.select(*met.columns, "mct").collect())) == want
+
+
+def test_connections_keep_their_own_minimum(spark):
+    from datetime import datetime, timedelta
+
+    noon = datetime(2026, 3, 1, 12)
+    airports = spark.createDataFrame([(c, c, c, float(i), float(i)) for i, c in enumerate(("AAX", "BBX", "CCX"))], "code string, country string, city string, latitude double, longitude double")
+    fly = lambda company, number, a, b, dep: (company, number, a, b, dep, dep + timedelta(hours=1), 60)
+    first = [fly("C0", "1", "AAX", "BBX", noon), fly("C1", "1", "AAX", "BBX", noon), fly("C2", "1", "AAX", "BBX", noon)]
+    second = [fly("C9", str(m), "BBX", "CCX", noon + timedelta(hours=1, minutes=m)) for m in (39, 40, 179, 180, 220, 224, 225, 720, 721)]
+    flights = "company string, number string, origin string, dest string, dep timestamp, arr timestamp, block int"
+    rules = spark.createDataFrame([(1, "II", None, "C0", None, None, None, False, 40), (2, "II", None, "C1", None, None, None, False, 225)], "rule_pos int, status string, arrival_station string, arrival_carrier string, departure_carrier string, number_from int, number_to int, suppression boolean, minutes int")
+    met = network.connections_by_rules(spark.createDataFrame(first, flights), spark.createDataFrame(second, flights), network.siblings(airports), rules, airports)
+    got = {(r.company, int(r.number2)) for r in met.collect()}
+    assert got == {("C0", m) for m in (40, 179, 180, 220, 224, 225, 720)} | {("C1", m) for m in (225, 720)} | {("C2", m) for m in (180, 220, 224, 225, 720)}
