@@ -153,19 +153,22 @@ def _crowded(members: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return left.join(right, near).select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keyed_rows: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row: groups linked by Jaccard similarity of distinct word shingles.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; fewer words than a shingle has are one shingle. Texts that are
     null, empty or blank link with nothing. Documents of equal sets form a class that goes on as one. In each bucket
     all classes are compared with the smallest; then classes that are still in different groups with each other.
     Groups, not all pairs, are the result. Repeated rows give a row each. Rows with a null id link with nothing.
+    With ``keyed_rows`` a row goes by its key ``k`` (see ``common.row_key``; the last column): texts that share an id are
+    no group for that, rows with a null id take part, and one row of a group is kept, of a null id only if all have one.
     """
     spark = docs.sparkSession
     docs = common.documents(docs, id_col, text_col)
     rows = common.stored(_summary(docs, words))
-    full = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = common.stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "k", "keys")).alias("x")).select("s1", "s2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("c"), F.col("x.k").alias("k"), F.col("x.keys").alias("keys")))
+    whole = "n_shingles > 0" if keyed_rows else "n_shingles > 0 and doc_id is not null"
+    full = rows.filter(whole)
+    classes = common.stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k", "keys")).alias("x")).select("s1", "s2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("c"), F.col("x.k").alias("k"), F.col("x.keys").alias("keys")))
     # one id may stand for two classes if ids repeat: such classes are one group from the start, and the second goes by its key
     buckets = classes.select("c", "k", "n", F.explode("keys").alias("bucket"))
     pivot = buckets.groupBy("bucket").agg(F.min(F.struct("c", "k", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
@@ -189,9 +192,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.union(_crowded(crowded, texts, words, percent)).distinct()
     pairs = common.stored(pairs.join(star, ["a", "b"], "left_anti"))
     more = common.stored(confirm(pairs, texts, words, percent))
-    group = common.components(links.union(more).union(_same_id(classes)))
+    links = links.union(more)
+    group = common.components(links if keyed_rows else links.union(_same_id(classes)))
     # the smallest doc_id of a group stands for it
-    member = classes.join(group, classes.k == group.node, "left").select("s1", "s2", F.col("n").alias("n_shingles"), "c", F.coalesce("component", "k").alias("g"))
+    member = classes.join(group, classes.k == group.node, "left").select("s1", "s2", F.col("n").alias("n_shingles"), "c", "k", F.coalesce("component", "k").alias("g"))
+    if keyed_rows:
+        names = member.groupBy("g").agg(F.min(F.struct(F.col("c").isNull().alias("unnamed"), "c", "k")).alias("x")).select("g", F.col("x.c").alias("component_id"), F.col("x.k").alias("first"))
+        named = member.join(names, "g").select("s1", "s2", "n_shingles", "component_id", "first")
+        out = full.select("doc_id", "n_shingles", "s1", "s2", "k").join(named, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", (F.col("k") == F.col("first")).alias("kept"), "k")
+        return out.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True), "k"))
     names = member.groupBy("g").agg(F.min("c").alias("component_id"))
     named = member.join(names, "g").select("s1", "s2", "n_shingles", "component_id")
     out = full.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")

@@ -32,3 +32,24 @@ def test_substrings_cut_inside_characters(spark):
     want = {d: t for d, t in kept_texts(texts).items() if t}
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
     assert want[1] == "front  one \ufffd end"
+
+
+def test_null_and_repeated_ids_and_no_labels(spark):
+    text = lambda seed: " ".join(f"{'abcdefg'[(i * seed) % 7]}{i * seed % 997}" for i in range(60))
+    one, two, three, four = text(3), text(11), text(101), text(211)
+    # texts one and two share an id; text one is also that of a smaller id; nulls: a copy, and texts that no other row has
+    rows = [(5, one), (5, two), (3, one), (9, two + " end"), (None, one), (None, three), (None, four), (12, four), (7, "123 456"), (8, None)]
+    docs = spark.createDataFrame([(d, t, None, "web", len(t or "")) for d, t in rows], SCHEMA)
+    clean = pipeline.identify_language(spark, docs, "")
+    assert {(r.doc_id, r.text) for r in clean.collect()} == {r for r in rows if r[0] not in (7, 8)}
+    kept = pipeline.near_duplicates(spark, clean, "")
+    want = {(3, one), (5, two), (None, three), (12, four)}
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert set(got) == want and len(got) == len(want)
+    at = f"{spark.conf.get('spark.sql.warehouse.dir')}/items"
+    spark.createDataFrame([(1, two), (2, three)], "item_id long, text string").write.mode("overwrite").parquet(f"{at}/benchmark.parquet")
+    mixed = spark.createDataFrame([(d, t, "en", "web", len(t)) for d, t in ((5, one), (5, two), (None, three), (None, four))], SCHEMA)
+    left = pipeline.remove_benchmark(spark, mixed, at)
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(5, one), (None, four)}
+    told = pipeline.encode(spark, mixed.union(mixed.filter("doc_id is null")), "").collect()
+    assert sorted(str(r.doc_id) for r in told) == ["5", "5", "None", "None", "None", "None"] and all(r.exact for r in told)
