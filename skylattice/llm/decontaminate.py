@@ -3,7 +3,7 @@
 Windows have as many words as the item. Two multisets of the same size are 0.8 alike only if they share 8/9 of
 their shingles, so windows with fewer shingles of the benchmark than that are passed over unseen. The others
 are fingerprinted; an index of fingerprint blocks gives all items of that length within the radius; weighted
-Jaccard on the full multisets decides.
+Jaccard on the full multisets decides. A document with fewer words than the item is its own only window.
 """
 
 from __future__ import annotations
@@ -115,11 +115,12 @@ class Benchmark:
                 hits[w] = np.concatenate([[0], np.cumsum(hit)])
         for n in self.lengths:
             w = min(n, SHINGLE)
-            if w not in hits or len(words) < n:
+            if w not in hits:
                 continue
-            size = n - w + 1
+            whole = n - w + 1
+            size = min(whole, len(words) - w + 1)
             inside = hits[w][size:] - hits[w][:-size]
-            for start in np.flatnonzero(inside * (1 + SIMILARITY) >= 2 * SIMILARITY * size - 1e-9).tolist():
+            for start in np.flatnonzero(inside * (1 + SIMILARITY) >= SIMILARITY * (whole + size) - 1e-9).tolist():
                 g = grams[w][start : start + size]
                 own = None
                 for i in self.index[n].within(simhash(g)):
@@ -135,7 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, similarity, first_word, n_words): each item that a document holds, at its best window.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; similarity is weighted Jaccard of five-word shingles, 0.8
-    or more (an item of fewer words is one shingle). Ties go to the first window. Null and empty texts or items
+    or more (an item of fewer words is one shingle). A document shorter than the item is compared as a whole; ``n_words``
+    are those of the window. Ties go to the first window. Null and empty texts or items
     match nothing; repeated rows give a row each; items of equal text are each reported. The corpus is not shuffled.
     """
     spark = docs.sparkSession
@@ -160,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     rows = []
                     for d in range(hi - lo):
                         for item, (s, start) in sorted(bench.search(h[words.off[d] : words.off[d + 1]]).items()):
-                            rows.append((batch.column(0)[lo + d].as_py(), bench.ids[item], s, start, bench.n_words[item]))
+                            rows.append((batch.column(0)[lo + d].as_py(), bench.ids[item], s, start, min(bench.n_words[item], int(words.off[d + 1] - words.off[d]))))
                     if rows:
                         c = list(zip(*rows))
                         yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], ["doc_id", "item_id", "similarity", "first_word", "n_words"])

@@ -53,3 +53,17 @@ def test_null_and_repeated_ids_and_no_labels(spark):
     assert {(r.doc_id, r.text) for r in left.collect()} == {(5, one), (None, four)}
     told = pipeline.encode(spark, mixed.union(mixed.filter("doc_id is null")), "").collect()
     assert sorted(str(r.doc_id) for r in told) == ["5", "5", "None", "None", "None", "None"] and all(r.exact for r in told)
+
+
+def test_documents_shorter_than_the_item(spark):
+    from skylattice.llm import decontaminate
+
+    item = [f"w{i}" for i in range(38)]
+    shingle = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    rows = [(n, item[:n]) for n in range(1, 39)] + [(100 + n, item[n:]) for n in range(1, 38)] + [(200, item[:20] + ["new"] + item[20:36])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    own = shingle(item)
+    alike = {d: sum((own & shingle(w)).values()) / sum((own | shingle(w)).values()) for d, w in rows}
+    assert {r.doc_id: (round(r.similarity, 9), r.n_words) for r in got} == {d: (round(alike[d], 9), len(w)) for d, w in rows if alike[d] >= 0.8}
+    assert 36 in {r.doc_id for r in got}
