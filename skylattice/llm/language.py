@@ -17,7 +17,7 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr"),
 }
-#: Labelled rows fitted per language at most; the rows with the smallest hash of their text are taken.
+#: Different labelled texts fitted per language at most; those with the smallest hash are taken.
 ROWS_PER_LANGUAGE = 1500
 BUCKETS = 4096
 EPOCHS = 60
@@ -118,7 +118,7 @@ class Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     """A model of the languages of ``labelled``; None without labelled text. Rows with a null text or label play no part.
 
-    Up to ``rows`` whole texts per language are fitted, on the driver; they become features on the executors.
+    Up to ``rows`` different whole texts per language are fitted, copies once, on the driver; they become features on the executors.
     """
     labelled = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).filter("text is not null and lang is not null")
     langs = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").collect()]
@@ -133,7 +133,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
 
     x, y = [], []
     for lang in langs:
-        part = labelled.filter(F.col("lang") == lang).withColumn("h", F.xxhash64("text")).orderBy("h").limit(rows).select("text", "lang")
+        part = labelled.filter(F.col("lang") == lang).withColumn("h", F.xxhash64("text"))
+        # the hashes first, so that only texts that are taken are shuffled
+        last = part.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+        part = part.filter(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").limit(rows).select("text", "lang")
         got = part.mapInArrow(run, "lang string, x array<float>").toArrow()
         x.append(np.frombuffer(got["x"].combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, BUCKETS))
         y += [lang] * got.num_rows

@@ -67,3 +67,15 @@ def test_documents_shorter_than_the_item(spark):
     alike = {d: sum((own & shingle(w)).values()) / sum((own | shingle(w)).values()) for d, w in rows}
     assert {r.doc_id: (round(r.similarity, 9), r.n_words) for r in got} == {d: (round(alike[d], 9), len(w)) for d, w in rows if alike[d] >= 0.8}
     assert 36 in {r.doc_id for r in got}
+
+
+def test_language_fits_different_texts(spark, monkeypatch):
+    from skylattice.llm import language
+
+    texts = [f"text number {i} of a language" for i in range(30)]
+    rows = [(t, "en") for t in texts for _ in range(50)] + [("ein anderer Satz", "de")]
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda x, y: seen.append((x, y)))
+    language.fit(spark.createDataFrame(rows, "text string, lang string"), rows=20)
+    x, y = seen[0]
+    assert Counter(y) == {"en": 20, "de": 1} and len({v.tobytes() for v in x}) == 21
