@@ -141,20 +141,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     match nothing; repeated rows give a row each; items of equal text are each reported. The corpus is not shuffled.
     """
     spark = docs.sparkSession
-    items = common.stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null"))
+    items = common.stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("copies")))
     passes = -(-items.count() // ITEMS_PER_PASS)
     docs = common.documents(docs, id_col, text_col)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
     def one(part: DataFrame) -> DataFrame:
-        # bounded: ITEMS_PER_PASS items
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.orderBy("item_id", "text").limit(2 * ITEMS_PER_PASS).collect()])
+        # different items are dealt evenly: about ITEMS_PER_PASS of them
+        told = part.orderBy("item_id", "text").limit(2 * ITEMS_PER_PASS + 1).collect()
+        if len(told) > 2 * ITEMS_PER_PASS:
+            raise RuntimeError(f"a pass has more than {2 * ITEMS_PER_PASS} items")
+        shared = spark.sparkContext.broadcast(([(r[0], r[1]) for r in told], [r[2] for r in told]))
         own: list[Benchmark] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not own:
-                own.append(Benchmark(shared.value))
-            bench = own[0]
+                own.append(Benchmark(shared.value[0]))
+            bench, copies = own[0], shared.value[1]
             for batch in batches:
                 for lo, hi, data, off in arrays.slices(batch.column(1)):
                     words = arrays.Words(data, off)
@@ -162,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     rows = []
                     for d in range(hi - lo):
                         for item, (s, start) in sorted(bench.search(h[words.off[d] : words.off[d + 1]]).items()):
-                            rows.append((batch.column(0)[lo + d].as_py(), bench.ids[item], s, start, min(bench.n_words[item], int(words.off[d + 1] - words.off[d]))))
+                            rows += copies[item] * [(batch.column(0)[lo + d].as_py(), bench.ids[item], s, start, min(bench.n_words[item], int(words.off[d + 1] - words.off[d])))]
                     if rows:
                         c = list(zip(*rows))
                         yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], ["doc_id", "item_id", "similarity", "first_word", "n_words"])

@@ -79,3 +79,14 @@ def test_language_fits_different_texts(spark, monkeypatch):
     language.fit(spark.createDataFrame(rows, "text string, lang string"), rows=20)
     x, y = seen[0]
     assert Counter(y) == {"en": 20, "de": 1} and len({v.tobytes() for v in x}) == 21
+
+
+def test_copies_of_an_item_take_no_place_of_others(spark, monkeypatch):
+    from skylattice.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 5)
+    texts = {i: " ".join(f"i{i}w{j}" for j in range(12)) for i in range(4)}
+    items = spark.createDataFrame([(0, texts[0])] * 40 + [(i, texts[i]) for i in (1, 2, 3)], "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == {(0, 0): 40, (1, 1): 1, (2, 2): 1, (3, 3): 1}
