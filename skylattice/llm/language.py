@@ -140,7 +140,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
         got = part.mapInArrow(run, "lang string, x array<float>").toArrow()
         x.append(np.frombuffer(got["x"].combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, BUCKETS))
         y += [lang] * got.num_rows
-    return Model(np.concatenate(x).astype(np.float64), y)
+    x = np.concatenate(x, dtype=np.float64)
+    return Model(x, y)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
