@@ -17,8 +17,10 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr"),
 }
-#: Different labelled texts fitted per language at most; those with the smallest hash are taken.
+#: Different labelled texts fitted per language, about: all of a language that has no more, else those with a hash below a share.
 ROWS_PER_LANGUAGE = 1500
+#: Texts of other families that a family's SVM learns from, about.
+OTHERS_PER_FAMILY = 6000
 BUCKETS = 4096
 EPOCHS = 60
 DECAY = 1e-3
@@ -52,46 +54,55 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 class LinearSVM:
-    """Hinge loss with weight decay, by subgradient steps over shuffled blocks; classes weigh alike."""
+    """A hyperplane."""
+
+    def __init__(self, w: np.ndarray, bias: float):
+        self.w, self.bias = w, bias
+
 
-    def __init__(self, x: np.ndarray, positive: np.ndarray, seed: int):
-        rng = np.random.default_rng(seed)
-        y = np.where(positive, 1.0, -1.0)
-        weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())) * len(y)
-        w, bias, step = np.zeros(x.shape[1]), 0.0, 0
-        total_w, total_b, n = np.zeros(x.shape[1]), 0.0, 0
-        for epoch in range(EPOCHS):
-            for block in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
-                step += 1
-                rate = 1 / (DECAY * (step + 100))
-                rate = min(rate, 5.0)
-                active = (y[block] * (x[block] @ w + bias) < 1) * weight[block] * y[block] / len(block)
-                w = (1 - rate * DECAY) * w + rate * (active @ x[block])
-                bias += 0.1 * rate * active.sum()
-                if epoch >= EPOCHS // 2:
-                    total_w, total_b, n = total_w + w, total_b + bias, n + 1
-        self.w, self.bias = total_w / max(1, n), total_b / max(1, n)
+def train(x: np.ndarray, positive: np.ndarray, seed: int) -> LinearSVM:
+    """Hinge loss with weight decay, by subgradient steps over shuffled blocks; classes weigh alike."""
+    rng = np.random.default_rng(seed)
+    y = np.where(positive, 1.0, -1.0)
+    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())) * len(y)
+    w, bias, step = np.zeros(x.shape[1]), 0.0, 0
+    total_w, total_b, n = np.zeros(x.shape[1]), 0.0, 0
+    for epoch in range(EPOCHS):
+        for block in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
+            step += 1
+            rate = min(1 / (DECAY * (step + 100)), 5.0)
+            own = x[block]
+            active = (y[block] * (own @ w + bias) < 1) * weight[block] * y[block] / len(block)
+            w = (1 - rate * DECAY) * w + rate * (active @ own)
+            bias += 0.1 * rate * active.sum()
+            if epoch >= EPOCHS // 2:
+                total_w, total_b, n = total_w + w, total_b + bias, n + 1
+    return LinearSVM(total_w / max(1, n), total_b / max(1, n))
 
 
 class Model:
     """``families``: one SVM per family against the rest; ``pairs``: one SVM for each two languages of a family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, langs: list[str], svms: dict[str, LinearSVM] | None = None):
         self.langs = sorted(set(langs))
-        of = np.array(langs)
-        fam = np.array([family(a) for a in langs])
         self.members: dict[str, list[str]] = {}
         for a in self.langs:
             self.members.setdefault(family(a), []).append(a)
         self.names = sorted(self.members)
-        self.families = [LinearSVM(x, fam == f, 1) for f in self.names] if len(self.names) > 1 else []
-        self.pairs = {(a, b): LinearSVM(x[(of == a) | (of == b)], of[(of == a) | (of == b)] == a, 2) for m in self.members.values() for i, a in enumerate(m) for b in m[i + 1 :]}
+        self.pairs = [(a, b) for m in self.members.values() for i, a in enumerate(m) for b in m[i + 1 :]]
+        self.svms = svms or {}
+
+    def tasks(self, lang: str) -> list[tuple[str, bool, bool]]:
+        """(SVM, on its positive side, may be thinned out) of each SVM that learns from texts in ``lang``."""
+        own = family(lang)
+        told = [(f"family {f}", f == own, f != own) for f in self.names] if len(self.names) > 1 else []
+        return told + [(f"{a} or {b}", a == lang, False) for a, b in self.pairs if lang in (a, b)]
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and score: the family's sigmoid margin times the language's mean over its pairs."""
         n = len(x)
         sure = lambda svm: 1 / (1 + np.exp(-np.clip(2 * (x @ svm.w + svm.bias), -60, 60)))
-        share = np.stack([sure(s) for s in self.families], 1) if self.families else np.ones((n, 1))
+        share = np.stack([sure(self.svms[f"family {f}"]) for f in self.names], 1) if len(self.names) > 1 else np.ones((n, 1))
         best = share.argmax(1)
         lang, score = np.empty(n, object), np.zeros(n)
         for f, name in enumerate(self.names):
@@ -100,7 +111,7 @@ class Model:
             votes, mean = np.zeros((n, len(members))), np.zeros((n, len(members)))
             for i, a in enumerate(members):
                 for j in range(i + 1, len(members)):
-                    p = sure(self.pairs[a, members[j]])
+                    p = sure(self.svms[f"{a} or {members[j]}"])
                     votes[:, i] += p >= 0.5
                     votes[:, j] += p < 0.5
                     mean[:, i] += p
@@ -115,41 +126,69 @@ class Model:
         return lang, np.clip(score, 0.0, 1.0)
 
 
+def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
+    """(lang, h, text): about ``rows`` different whole texts of each language, all of it if it has no more.
+
+    Texts are taken by their hash: below the share rows / different texts of the language. No text is sorted or gathered,
+    copies count once, and a language with many rows costs no more than another. Null texts and labels play no part.
+    """
+    plain = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    # one row a language
+    share = plain.groupBy("lang").agg((F.lit(float(rows)) / F.approx_count_distinct("h", 0.02)).alias("share"))
+    taken = plain.join(F.broadcast(share), "lang").filter((F.col("share") >= 1) | (F.col("h") / 2.0**64 + 0.5 < F.col("share")))
+    return taken.groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     """A model of the languages of ``labelled``; None without labelled text. Rows with a null text or label play no part.
 
-    Up to ``rows`` different whole texts per language are fitted, copies once, on the driver; they become features on the executors.
+    Fitted on ``sample``. Texts become sparse features on the executors; each SVM is trained by one task, which holds its
+    own texts' features only: about ``rows`` per language and ``OTHERS_PER_FAMILY``. The driver gets the hyperplanes.
     """
-    labelled = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).filter("text is not null and lang is not null")
-    langs = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").collect()]
-    if not langs:
-        return None
+    taken = sample(labelled, text_col, lang_col, rows)
 
-    def run(batches):
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, x in features(batch.column(0)):
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), BUCKETS)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), flat.cast(pa.list_(pa.float32()))], ["lang", "x"])
-
-    x, y = [], []
-    for lang in langs:
-        part = labelled.filter(F.col("lang") == lang).withColumn("h", F.xxhash64("text"))
-        # the hashes first, so that only texts that are taken are shuffled
-        last = part.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-        part = part.filter(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").limit(rows).select("text", "lang")
-        got = part.mapInArrow(run, "lang string, x array<float>").toArrow()
-        x.append(np.frombuffer(got["x"].combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, BUCKETS))
-        y += [lang] * got.num_rows
-    x = np.concatenate(x, dtype=np.float64)
-    return Model(x, y)
+            for lo, hi, x in features(batch.column(2)):
+                doc, at = np.nonzero(x)
+                off = np.searchsorted(doc, np.arange(hi - lo + 1))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in (0, 1)], arrays.list_array(pa.array(at.astype(np.int16)), off), arrays.list_array(pa.array(x[doc, at].astype(np.float32)), off)], ["lang", "h", "at", "x"])
+
+    rows_of = common.stored(taken.select("lang", "h", "text").mapInArrow(sparse, "lang string, h long, at array<short>, x array<float>"))
+    sizes = {r[0]: r[1] for r in rows_of.groupBy("lang").agg(F.count("*")).orderBy("lang").collect()}
+    if not sizes:
+        return None
+    model = Model(list(sizes))
+    few = min(1.0, OTHERS_PER_FAMILY / sum(sizes.values()))
+    deal = [(lang, *t) for lang in sizes for t in model.tasks(lang)]
+    if not deal:
+        return model
+    dealt = rows_of.sparkSession.createDataFrame(deal, "lang string, svm string, positive boolean, thinned boolean")
+    # the first bits of a hash picked the text: others thin it out
+    own = rows_of.join(F.broadcast(dealt), "lang").filter(~F.col("thinned") | (F.xxhash64("h") / 2.0**64 + 0.5 < few))
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h").combine_chunks()  # rows in one order whatever the shuffle's
+        x = np.zeros((table.num_rows, BUCKETS), np.float32)
+        at, value = (table.column(c).combine_chunks() for c in ("at", "x"))
+        row = np.repeat(np.arange(table.num_rows), np.diff(at.offsets.to_numpy()))
+        x[row, at.flatten().to_numpy()] = value.flatten().to_numpy()
+        svm = train(x, table.column("positive").to_numpy(), 1)
+        return pa.table({"svm": table.column("svm").slice(0, 1), "w": pa.array([svm.w.astype(np.float32)], pa.list_(pa.float32())), "bias": pa.array([svm.bias])})
+
+    told = own.select("svm", "h", "positive", "at", "x").groupBy("svm").applyInArrow(learn, "svm string, w array<float>, bias double").collect()
+    model.svms = {r[0]: LinearSVM(np.array(r[1], np.float32), r[2]) for r in told}
+    common.drop_stored(rows_of)
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """(doc_id, *extra, lang_pred, score) of each row. ``und`` with score 0 for null, for texts without a letter, and without a model.
 
-    Repeated rows give a row each; ties go to the language first in alphabetical order. No shuffle.
+    Repeated rows give a row each; ties go to the language first in alphabetical order. An ``extra`` column named like a
+    result gives way to it. An empty table gives no rows. No shuffle.
     """
-    extra = extra or []
+    extra = [c for c in extra or [] if c not in ("doc_id", "lang_pred", "score")]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     letters = F.coalesce(F.regexp_like(docs[text_col], F.lit(r"\p{L}")), F.lit(False))
@@ -175,10 +214,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def held_out():
+    """Whether the remainder of the id's checksum holds a document out; false for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document, by a model of those that are not held out; one row per row."""
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs.filter(~held_out()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -69,16 +69,27 @@ def test_documents_shorter_than_the_item(spark):
     assert 36 in {r.doc_id for r in got}
 
 
-def test_language_fits_different_texts(spark, monkeypatch):
+def test_language_fits_different_texts(spark):
     from skylattice.llm import language
 
-    texts = [f"text number {i} of a language" for i in range(30)]
-    rows = [(t, "en") for t in texts for _ in range(50)] + [("ein anderer Satz", "de")]
-    seen = []
-    monkeypatch.setattr(language, "Model", lambda x, y: seen.append((x, y)))
-    language.fit(spark.createDataFrame(rows, "text string, lang string"), rows=20)
-    x, y = seen[0]
-    assert Counter(y) == {"en": 20, "de": 1} and len({v.tobytes() for v in x}) == 21
+    texts = [f"text number {i} of a language" for i in range(400)]
+    rows = [(t, "en") for t in texts for _ in range(20)] + [(None, "en"), (texts[0], None), ("ein anderer Satz", "de")]
+    taken = [(r.lang, r.text) for r in language.sample(spark.createDataFrame(rows, "text string, lang string"), rows=200).collect()]
+    count = Counter(a for a, _ in taken)
+    assert len(set(taken)) == len(taken) and 140 <= count["en"] <= 260 and count["de"] == 1
+    assert {t for a, t in taken if a == "en"} <= set(texts)
+
+
+def test_language_model_is_the_same_each_time(spark):
+    from skylattice.llm import language
+
+    rows = [(f"the {w} of the house {i}", "en") for i in range(20) for w in ("wall", "roof")] + [(f"die {w} des hauses {i}", "de") for i in range(20) for w in ("wand", "decke")] + [(f"le {w} de la maison {i}", "fr") for i in range(20) for w in ("mur", "toit")]
+    models = [language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(n)) for n in (1, 5)]
+    assert sorted(models[0].svms) == ["de or en", "family germanic", "family romance"]
+    assert all((models[0].svms[k].w == models[1].svms[k].w).all() for k in models[0].svms)
+    one = language.fit(spark.createDataFrame(rows[:5], "text string, lang string"))
+    told = language.predict(spark.createDataFrame([(1, "x", "a"), (2, "1", "b")], "doc_id long, text string, score string"), one, extra=["score"]).collect()
+    assert {(r.doc_id, r.lang_pred, r.score) for r in told} == {(1, "en", 1.0), (2, "und", 0.0)}
 
 
 def test_copies_of_an_item_take_no_place_of_others(spark, monkeypatch):
