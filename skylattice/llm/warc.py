@@ -23,7 +23,8 @@ REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, captured string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, offset long"
 CAPTURE = "urlkey string, captured string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long"
-ARCHIVE_AT = 7
+#: Captures of one merge task, about.
+RANGE_ROWS = 200_000
 
 
 def url_key(url: str | None) -> str:
@@ -167,8 +168,10 @@ class LoserTree:
 def capture_index(records: DataFrame) -> DataFrame:
     """All captures (``CAPTURE``) in the order of URL key, timestamp and page_id across partitions.
 
-    Runs are the archives, each sorted where it is read. A range of keys goes to one task; ranges end anywhere
-    in (key, timestamp, page_id), so that one very common URL spreads over many tasks. Null URLs have key ''.
+    Runs are the archives, each sorted where it is read and written in that order. A range of about ``RANGE_ROWS`` captures
+    goes to one task, which merges the runs' pieces in it; ranges end anywhere in (key, timestamp, page_id, archive, offset),
+    so that one very common URL, or one repeated page, spreads over many tasks. Null URLs have key ''; a null page_id
+    comes first among captures of one key and time; captures equal in all three keep the order of archive and offset.
     """
     names = [c.split()[0] for c in CAPTURE.split(", ")]
     types = [pa.int64() if "long" in c else pa.string() for c in CAPTURE.split(", ")]
@@ -176,27 +179,46 @@ def capture_index(records: DataFrame) -> DataFrame:
     def runs(batches):
         for batch in batches:
             rows = [(url_key(u), *r) for u, *r in zip(*(c.to_pylist() for c in batch.columns))]
-            rows.sort(key=lambda r: (r[ARCHIVE_AT], r[0], r[1], r[2] is not None, r[2] or 0))
+            rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[7], r[8]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[] for _ in names], types)], names)
 
     def merge(batches):
-        found: dict[str, list] = {}
+        # the pieces of the runs in this range, as Arrow batches; only their keys become Python objects
+        pieces: list[list[tuple]] = []
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                found.setdefault(r[ARCHIVE_AT], []).append(((r[0], r[1], r[2] is not None, r[2] or 0), r))
-        # a run's piece may come in several blocks of the shuffle
-        lists = [sorted(v, key=lambda x: x[0]) for _, v in sorted(found.items())]
-        rows = []
-        for _, _, r in LoserTree([[(k, i, r) for i, (k, r) in enumerate(v)] for v in lists]) if lists else ():
-            rows.append(r)
+            at = len(held)
+            held.append(batch)
+            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in order))):
+                k = (*k[:2], k[2] is not None, k[2] or 0, *k[3:])
+                if last is None or k < last:  # the shuffle hands a run's rows over in order: a fall begins another piece
+                    pieces.append([])
+                pieces[-1].append((k, at, i))
+                last = k
+        rows: list[tuple[int, int]] = []
+        for _, at, i in LoserTree(pieces) if pieces else ():
+            rows.append((at, i))
             if len(rows) == 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                yield _taken(held, rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            yield _taken(held, rows)
 
     local = records.select("url", "captured", "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "archive", "offset").mapInArrow(runs, CAPTURE)
-    return local.repartitionByRange("urlkey", "captured", "page_id").mapInArrow(merge, CAPTURE)
+    # written once: drawing the range borders does not parse the archives again
+    local = common.stored(local)
+    order = ["urlkey", "captured", "page_id", "archive", "offset"]
+    ranges = max(-(-local.count() // RANGE_ROWS), 1)
+    return local.repartitionByRange(ranges, *order).mapInArrow(merge, CAPTURE)
+
+
+def _taken(batches: list[pa.RecordBatch], rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    """The rows (batch, place) in this order."""
+    used = sorted({b for b, _ in rows})
+    first = {b: sum(batches[x].num_rows for x in used[:i]) for i, b in enumerate(used)}
+    table = pa.Table.from_batches([batches[b] for b in used]).take(pa.array([first[b] + i for b, i in rows]))
+    return table.combine_chunks().to_batches()[0]
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,10 +228,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT d, min(page_id) AS first FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY d)
-SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, lower(trim(coalesce(url, ''))) AS u FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY d),
+r AS (SELECT *, CASE WHEN contains(u, '://') AND substr(u, strpos(u, '://') + 3) <> '' THEN substr(u, strpos(u, '://') + 3) ELSE split_part(u, '://', 1) END AS rest FROM p),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS front FROM r),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(front, '^.*@', ''), ':80$', ''), '^www\\.', '') AS host, regexp_replace(substr(rest, length(front) + 1), '#.*$', '') AS path FROM h)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, k.d AS payload_digest,
        CASE WHEN f.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.first <> page_id THEN f.first END AS refers_to
-FROM p LEFT JOIN f ON p.d = f.d
+       CASE WHEN f.first <> page_id THEN f.first END AS refers_to,
+       CASE WHEN host = '' THEN path ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END END AS urlkey,
+       strftime(TIMESTAMP '2020-01-01' + to_seconds(coalesce(page_id, 0) % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM k LEFT JOIN f ON k.d = f.d
 """

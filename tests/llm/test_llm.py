@@ -109,7 +109,14 @@ def test_warc(spark):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
     got = registry.QUERIES["op3_warc"](spark, SF)
-    same(got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect(), db.execute(warc.OP3_SQL).fetchall())
+    want = db.execute(warc.OP3_SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    same(got.select(*names).collect(), want.fetchall())
+    urls = [(i, u, "") for i, u in enumerate(["HTTP://u:p@WWW.a.com:80/X?y#z", "https://b.org", "c.net?q", "ftp://", "#", "://x.y/z", " d.e/F#", None, "www.a.b.c#x?y"])]
+    db.execute("CREATE OR REPLACE VIEW pages AS SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if u is None else repr(u)}, '')" for i, u, _ in urls) + ") t(page_id, url, html)")
+    told = {r[0]: r[names.index("urlkey")] for r in db.execute(warc.OP3_SQL).fetchall()}
+    assert told == {i: warc.url_key(u) for i, u, _ in urls}
     order = [(r.urlkey, r.captured, r.page_id) for r in got.collect()]
     assert order == sorted(order)
     odd_pages = [(1, None, None, 5), (2, "HTTP://WWW.a.com/X?y", "<p>" * 50, 5), (3, "http://a.com", "<p>" * 50, 5), (3, "http://a.com", "<p>" * 50, 5), (None, "a", "é\r\n\r\n", 5), (4, "", "short", 5), (5, "x", "short", 5)]
@@ -118,6 +125,19 @@ def test_warc(spark):
     assert {bytes(r.payload) for r in back if r.page_id is None} == {"é\r\n\r\n".encode()}
 
 
+def test_capture_index_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    # one very common URL, one repeated page, nulls
+    pages = [(i, f"http://a.com/{i % 7 if i % 3 else 0}", f"<p>{i}" + "x" * 200) for i in range(300)] + [(5, "http://z", "y")] * 60 + [(None, None, None)] * 5
+    records = warc.read_archives(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string")), payloads=False)
+    index = warc.capture_index(records)
+    assert index.rdd.getNumPartitions() > 5
+    got = [(r.urlkey, r.captured, r.page_id is not None, r.page_id or 0, r.archive, r.offset) for r in index.collect()]
+    assert got == sorted(got) and len(set(got)) == len(pages)
+    assert Counter(g[0] for g in got) == Counter(warc.url_key(u) for _, u, _ in pages)
+
+
 def test_loser_tree():
     rng = np.random.default_rng(1)
     for k in range(9):
