@@ -3,7 +3,8 @@
 A sketch has BINS coordinates. Round i throws every shingle into one random bin with the value i + u; a bin
 keeps its smallest value. After the first BINS rounds, round BINS + j sends all shingles to bin j, so every bin
 fills. Few rounds suffice for long texts, and coordinates agree with the probability of the Jaccard similarity.
-Bands of ROWS coordinates give candidates; full shingle sets confirm.
+Bands of ROWS coordinates give candidates; full shingle sets confirm. In a bucket all sets are compared with a
+centre only; what a centre leaves apart is searched by the shingles in which the sets depart from it.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ PERCENT = 85
 ROWS = 5
 BANDS = 32
 BINS = ROWS * BANDS
-#: Buckets with more texts of different groups than this are searched by rare shingles, not pair by pair.
-PAIRWISE = 64
 
 
 def sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +105,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 part = batch.slice(lo, 512)
                 # each text is hashed once per block of pairs
                 a, b = part.column("ta").dictionary_encode(), part.column("tb").dictionary_encode()
-                own = []
-                for c in (a, b):
-                    held = []
-                    for _, _, data, off in arrays.slices(c.dictionary):
-                        grams, at = sets(data, off, words)
-                        held += [grams[i:j] for i, j in zip(at[:-1], at[1:])]
-                    own.append(held)
+                own = [sets_of(c.dictionary, words) for c in (a, b)]
                 keep = []
                 for i, j in zip(a.indices.to_pylist(), b.indices.to_pylist()):
                     x, y = own[0][i], own[1][j]
@@ -126,93 +119,101 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _crowded(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) within crowded buckets that may reach ``percent``: they share a shingle among the rarest of each.
+def departures(apart: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): every pair of members of one centre, in different groups, that may reach ``percent``; none is lost.
 
-    Two sets with that similarity share one of the n - ceil(percent n / 100) + 1 shingles of each that are rarest
-    in the bucket: none is lost. ``members`` has (bucket, c, g).
+    ``apart`` has (z, k, g): the classes k in buckets of centre z, and their groups. With Z the centre's set, D(x) the
+    shingles in which x and Z differ, m of them only in Z and e only in x, let w(x) = 100 m + percent e and room =
+    (100 - percent) |Z|. Then x and y reach ``percent`` exactly if w(x) + w(y) <= room + (100 + percent) |D(x) & D(y)|.
+    If neither has w above room, both link with Z and are in its group. So one of them, y, has w(y) > room, and they share
+    at least w(x) / (100 + percent) shingles of D(x) and (w(y) - room) / 100 of D(y). They meet by one of the rarest
+    |D| - that + 1 of each; copies of Z with few changes of their own share none.
     """
+    wide = apart.join(texts.select(F.col("c").alias("z"), F.col("text").alias("tz")), "z").join(texts.select(F.col("c").alias("k"), F.col("text").alias("tk")), "k")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in arrays.slices(batch.column(1)):
-                grams, at = sets(data, off, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), arrays.list_array(pa.array(grams.view(np.int64)), at)], ["c", "grams"])
-
-    own = texts.join(members.select("c").distinct(), "c", "left_semi").select("c", "text").mapInArrow(run, "c long, grams array<long>")
-    rows = members.join(own, "c").select("bucket", "c", "g", F.size("grams").alias("n"), F.explode("grams").alias("s"))
-    rare = rows.groupBy("bucket", "s").agg(F.count("*").alias("f")).filter("f > 1")
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                centre = part.column("tz").dictionary_encode()
+                held = [sets_of(centre.dictionary, words), sets_of(part.column("tk"), words)]
+                w, room, off, d = [], [], [0], []
+                for i, x in zip(centre.indices.to_pylist(), held[1]):
+                    z = held[0][i]
+                    only = np.setxor1d(z, x, assume_unique=True)
+                    m = (len(only) + len(z) - len(x)) // 2
+                    w.append(100 * m + percent * (len(only) - m))
+                    room.append((100 - percent) * len(z))
+                    d.append(only)
+                    off.append(off[-1] + len(only))
+                yield pa.RecordBatch.from_arrays([*part.select(["z", "k", "g"]).columns, pa.array(w, pa.int64()), pa.array(room, pa.int64()), arrays.list_array(pa.array(np.concatenate(d).view(np.int64)), np.array(off))], ["z", "k", "g", "w", "room", "d"])
+
+    told = wide.select("z", "k", "g", "tz", "tk").mapInArrow(run, "z long, k long, g long, w long, room long, d array<long>")
+    rows = common.stored(told)
+    each = rows.select("z", "k", "g", "w", "room", F.size("d").alias("n"), F.explode("d").alias("s"))
+    common_ = rows.select("z", F.explode("d").alias("s")).groupBy("z", "s").agg(F.count("*").alias("f")).filter("f > 1")
     # shingles of frequency 1 come first in the order and meet nothing: only their number counts
-    held = rows.join(rare, ["bucket", "s"]).groupBy("bucket", "c", "g", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
-    prefix = F.expr(f"n - ceil({percent} * n / 100.0) + 1 - (n - size(o))")
-    held = held.filter(prefix > 0).select("bucket", "c", "g", "n", F.explode(F.expr(f"slice(o, 1, int(n - ceil({percent} * n / 100.0) + 1 - (n - size(o))))")).alias("x")).select("bucket", "c", "g", "n", F.col("x.s").alias("s"))
-    left, right = held.alias("l"), held.alias("r")
-    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.s") == F.col("r.s")) & (F.col("l.c") < F.col("r.c")) & (F.col("l.g") != F.col("r.g"))
-    near &= F.col("l.n") * 100 >= F.col("r.n") * percent
-    near &= F.col("r.n") * 100 >= F.col("l.n") * percent
-    return left.join(right, near).select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
+    held = each.join(common_, ["z", "s"]).groupBy("z", "k", "g", "w", "room", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
+    held = held.withColumn("out", F.col("w") > F.col("room"))
+    least = F.when(F.col("out"), F.ceil((F.col("w") - F.col("room")) / 100)).otherwise(F.ceil((F.col("w") + 1) / (100 + percent)))
+    held = held.withColumn("take", (F.size("o") - F.greatest(least, F.lit(1)) + 1).cast("int")).filter("take > 0")
+    held = held.select("z", "k", "g", "w", "room", "n", "out", F.explode(F.expr("slice(o, 1, take)")).alias("x")).select("z", "k", "g", "w", "room", "n", "out", F.col("x.s").alias("s"))
+    left, right = held.filter("out").alias("l"), held.alias("r")
+    near = (F.col("l.z") == F.col("r.z")) & (F.col("l.s") == F.col("r.s")) & (F.col("l.g") != F.col("r.g")) & (~F.col("r.out") | (F.col("l.k") < F.col("r.k")))
+    near &= F.col("l.w") + F.col("r.w") <= F.col("l.room") + (100 + percent) * F.least("l.n", "r.n")
+    return left.join(right, near).select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct()
+
+
+def sets_of(column: pa.Array, words: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    out = []
+    for _, _, data, off in arrays.slices(column):
+        grams, at = sets(data, off, words)
+        out += [grams[i:j] for i, j in zip(at[:-1], at[1:])]
+    return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keyed_rows: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row: groups linked by Jaccard similarity of distinct word shingles.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, k, first) of each row: groups linked by Jaccard similarity of distinct word shingles.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; fewer words than a shingle has are one shingle. Texts that are
     null, empty or blank link with nothing. Documents of equal sets form a class that goes on as one. In each bucket
-    all classes are compared with the smallest; then classes that are still in different groups with each other.
-    Groups, not all pairs, are the result. Repeated rows give a row each. Rows with a null id link with nothing.
-    With ``keyed_rows`` a row goes by its key ``k`` (see ``common.row_key``; the last column): texts that share an id are
-    no group for that, rows with a null id take part, and one row of a group is kept, of a null id only if all have one.
+    all classes are compared with one centre; classes that are still in different groups meet by ``departures``. Groups,
+    not all pairs, are the result. Rows go by their key ``k`` (see ``common.row_key``): texts that share an id are no
+    group for that, and rows with a null id take part. ``component_id`` is the smallest id of the group, null if all are;
+    ``kept`` is whether it is the row's own. ``first`` is true for the rows of one key of the group, of a null id only if
+    all have one. Repeated rows give a row each.
     """
-    spark = docs.sparkSession
     docs = common.documents(docs, id_col, text_col)
     rows = common.stored(_summary(docs, words))
-    whole = "n_shingles > 0" if keyed_rows else "n_shingles > 0 and doc_id is not null"
-    full = rows.filter(whole)
-    classes = common.stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k", "keys")).alias("x")).select("s1", "s2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("c"), F.col("x.k").alias("k"), F.col("x.keys").alias("keys")))
-    # one id may stand for two classes if ids repeat: such classes are one group from the start, and the second goes by its key
-    buckets = classes.select("c", "k", "n", F.explode("keys").alias("bucket"))
-    pivot = buckets.groupBy("bucket").agg(F.min(F.struct("c", "k", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
-    star = buckets.join(pivot, "bucket").filter("k <> p.k").select(F.col("p.k").alias("a"), F.col("k").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-    star = common.stored(star.filter(f"na * 100 >= nb * {percent} and nb * 100 >= na * {percent}").select("a", "b").distinct())
+    full = rows.filter("n_shingles > 0")
+    unnamed = F.col("doc_id").isNull().alias("unnamed")
+    classes = common.stored(full.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct(unnamed, "doc_id", "k", "keys")).alias("x")).select("s1", "s2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("c"), F.col("x.k").alias("k"), F.col("x.keys").alias("keys")))
+    buckets = classes.select("k", "n", F.explode("keys").alias("bucket"))
+    met = common.stored(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "bucket"))
+    # the class that meets most others is the most typical one: the best centre of its buckets
+    fame = met.groupBy("k").agg(F.sum("m").alias("f"))
+    centres = met.join(fame, "k").groupBy("bucket").agg(F.max(F.struct("f", "k", "n")).alias("x")).select("bucket", F.col("x.k").alias("z"), F.col("x.n").alias("nz"))
+    members = common.stored(met.join(centres, "bucket").filter("k <> z").select("z", "nz", "k", "n").distinct())
+    star = members.filter(f"nz * 100 >= n * {percent} and n * 100 >= nz * {percent}").select(F.least("z", "k").alias("a"), F.greatest("z", "k").alias("b")).distinct()
     keyed = docs.select(common.row_key("doc_id", "text").alias("c"), "text")
-    wanted = classes.select(F.col("k").alias("c"))
-    in_pairs = buckets.join(pivot.select("bucket"), "bucket", "left_semi").select(F.col("k").alias("c")).distinct()
-    texts = common.stored(keyed.join(wanted.join(in_pairs, "c", "left_semi"), "c", "left_semi").dropDuplicates(["c"]))
+    texts = common.stored(keyed.join(met.select(F.col("k").alias("c")).distinct(), "c", "left_semi").dropDuplicates(["c"]))
     links = common.stored(confirm(star, texts, words, percent))
     group = common.components(links)
-    # what is still apart within a bucket
-    open_ = buckets.join(pivot.select("bucket"), "bucket", "left_semi").join(group, F.col("k") == F.col("node"), "left").select("bucket", F.col("k").alias("c"), "n", F.coalesce("component", "k").alias("g"))
-    spread = open_.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).filter("g0 <> g1").select("bucket", "m")
-    open_ = common.stored(open_.join(spread, "bucket"))
-    few = open_.filter(F.col("m") <= PAIRWISE)
-    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.c") < F.col("r.c")) & (F.col("l.g") != F.col("r.g"))
-    near &= (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
-    pairs = few.alias("l").join(few.alias("r"), near).select(F.col("l.c").alias("a"), F.col("r.c").alias("b"))
-    crowded = open_.filter(F.col("m") > PAIRWISE).select("bucket", "c", "g")
-    pairs = pairs.union(_crowded(crowded, texts, words, percent)).distinct()
-    pairs = common.stored(pairs.join(star, ["a", "b"], "left_anti"))
-    more = common.stored(confirm(pairs, texts, words, percent))
-    links = links.union(more)
-    group = common.components(links if keyed_rows else links.union(_same_id(classes)))
+    # centres whose members are still of several groups
+    open_ = common.stored(members.join(group, F.col("k") == F.col("node"), "left").select("z", "k", F.coalesce("component", "k").alias("g")))
+    spread = open_.groupBy("z").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("z")
+    pairs = common.stored(departures(open_.join(spread, "z", "left_semi"), texts, words, percent).join(star, ["a", "b"], "left_anti"))
+    links = links.union(common.stored(confirm(pairs, texts, words, percent)))
+    group = common.components(links)
     # the smallest doc_id of a group stands for it
     member = classes.join(group, classes.k == group.node, "left").select("s1", "s2", F.col("n").alias("n_shingles"), "c", "k", F.coalesce("component", "k").alias("g"))
-    if keyed_rows:
-        names = member.groupBy("g").agg(F.min(F.struct(F.col("c").isNull().alias("unnamed"), "c", "k")).alias("x")).select("g", F.col("x.c").alias("component_id"), F.col("x.k").alias("first"))
-        named = member.join(names, "g").select("s1", "s2", "n_shingles", "component_id", "first")
-        out = full.select("doc_id", "n_shingles", "s1", "s2", "k").join(named, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", (F.col("k") == F.col("first")).alias("kept"), "k")
-        return out.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True), "k"))
-    names = member.groupBy("g").agg(F.min("c").alias("component_id"))
-    named = member.join(names, "g").select("s1", "s2", "n_shingles", "component_id")
-    out = full.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    rest = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _same_id(classes: DataFrame) -> DataFrame:
-    """Links between classes that one id names."""
-    low = classes.groupBy("c").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").select("c", "a")
-    return classes.join(low, "c").filter("k <> a").select("a", F.col("k").alias("b"))
+    names = member.groupBy("g").agg(F.min(F.struct(F.col("c").isNull().alias("unnamed"), "c", "k")).alias("x")).select("g", F.col("x.c").alias("component_id"), F.col("x.k").alias("one"))
+    named = member.join(names, "g").select("s1", "s2", "n_shingles", "component_id", "one")
+    out = full.select("doc_id", "n_shingles", "s1", "s2", "k").join(named, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "k", (F.col("k") == F.col("one")).alias("first"))
+    return out.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True), "k", F.lit(True)))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    """(doc_id, n_shingles, component_id, kept) of every document, by three-word shingles and 85 per cent."""
+    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -168,12 +168,44 @@ def test_pivots_recall_and_results(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
-@pytest.mark.parametrize("pairwise", [64, 0])
-def test_minhash(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(minhash, "PAIRWISE", pairwise)
+def test_minhash(spark):
     same(registry.QUERIES["op9_minhash"](spark, SF).collect(), near(real()))
     odd_rows = [r for r in ODD if r[0] is not None]
-    same([r for r in minhash.near_duplicates(odd(spark)).collect() if r.doc_id is not None], near(odd_rows))
+    same([tuple(r)[:4] for r in minhash.near_duplicates(odd(spark)).collect() if r.doc_id is not None], near(odd_rows))
+
+
+def test_minhash_clusters_without_a_common_link(spark):
+    rng, rows = np.random.default_rng(8), []
+    for n in (40, 150):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        for i in range(220):  # from equal to far apart; every third is a copy of another copy with its changes
+            own = list(base if i % 3 else rows[-1][1].split()) if rows and i else list(base)
+            for at in rng.integers(0, len(own), rng.integers(0, n // 12)):
+                own[at] = f"x{rng.integers(0, 10**6)}" if rng.random() < 0.7 else base[(at + 1) % n]
+            rows.append((len(rows), " ".join(own)))
+    want = near(rows)
+    assert 20 < len({c for _, _, c, _ in want}) < len(rows) - 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same([tuple(r)[:4] for r in minhash.near_duplicates(df).collect()], want)
+
+
+def test_minhash_departures_lose_no_pair(spark):
+    rng, rows = np.random.default_rng(9), []
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+    for i in range(60):
+        own = list(base)
+        for at in rng.integers(0, 60, rng.integers(0, 6)):
+            own[at] = f"x{rng.integers(0, 4)}"
+        rows.append((i, " ".join(own)))
+    sets = {d: {tuple(w[i : i + 3]) for i in range(58)} for d, t in rows for w in [t.split()]}
+    want = {(a, b) for a in sets for b in sets if 0 < a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    with_zero = {a for a in sets if 100 * len(sets[a] & sets[0]) >= 85 * len(sets[a] | sets[0])}
+    texts = spark.createDataFrame(rows, "c long, text string")
+    apart = texts.filter("c > 0").select(F.lit(0).cast("long").alias("z"), F.col("c").alias("k"), F.col("c").alias("g"))
+    got = {(r.a, r.b) for r in minhash.departures(apart, texts, 3, 85).collect()}
+    missed = want - got
+    assert want and all(a in with_zero and b in with_zero for a, b in missed)
+    assert any(not (a in with_zero and b in with_zero) for a, b in want)
 
 
 def _weighted(a, b):
