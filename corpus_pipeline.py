@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Different texts that share an id are documents of their own; so are those with a null id, which come after all others.
     """
-    kept = minhash.near_duplicates(docs, words=5, percent=80, keyed_rows=True).filter("kept").select("k").distinct()
+    kept = minhash.near_duplicates(docs, words=5, percent=80).filter("first").select("k").distinct()
     return keyed(docs).join(kept, "k", "left_semi").dropDuplicates(["k"]).select(COLUMNS)
 
 
