@@ -150,17 +150,19 @@ def departures(apart: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
     told = wide.select("z", "k", "g", "tz", "tk").mapInArrow(run, "z long, k long, g long, w long, room long, d array<long>")
     rows = common.stored(told)
-    each = rows.select("z", "k", "g", "w", "room", F.size("d").alias("n"), F.explode("d").alias("s"))
+    each = rows.select("z", "k", "g", "w", "room", F.explode("d").alias("s"))
     common_ = rows.select("z", F.explode("d").alias("s")).groupBy("z", "s").agg(F.count("*").alias("f")).filter("f > 1")
     # shingles of frequency 1 come first in the order and meet nothing: only their number counts
-    held = each.join(common_, ["z", "s"]).groupBy("z", "k", "g", "w", "room", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
+    held = each.join(common_, ["z", "s"]).groupBy("z", "k", "g", "w", "room").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
     held = held.withColumn("out", F.col("w") > F.col("room"))
     least = F.when(F.col("out"), F.ceil((F.col("w") - F.col("room")) / 100)).otherwise(F.ceil((F.col("w") + 1) / (100 + percent)))
     held = held.withColumn("take", (F.size("o") - F.greatest(least, F.lit(1)) + 1).cast("int")).filter("take > 0")
-    held = held.select("z", "k", "g", "w", "room", "n", "out", F.explode(F.expr("slice(o, 1, take)")).alias("x")).select("z", "k", "g", "w", "room", "n", "out", F.col("x.s").alias("s"))
+    held = held.select("z", "k", "g", "w", "room", F.size("o").alias("n"), "out", F.posexplode(F.expr("slice(o, 1, take)")).alias("i", "x")).select("z", "k", "g", "w", "room", "n", "out", "i", F.col("x.s").alias("s"))
     left, right = held.filter("out").alias("l"), held.alias("r")
     near = (F.col("l.z") == F.col("r.z")) & (F.col("l.s") == F.col("r.s")) & (F.col("l.g") != F.col("r.g")) & (~F.col("r.out") | (F.col("l.k") < F.col("r.k")))
-    near &= F.col("l.w") + F.col("r.w") <= F.col("l.room") + (100 + percent) * F.least("l.n", "r.n")
+    # they share no more than what is before this place in both, this one, and what is behind it in both
+    most = F.least("l.i", "r.i") + 1 + F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i")) - 1
+    near &= F.col("l.w") + F.col("r.w") <= F.col("l.room") + (100 + percent) * most
     return left.join(right, near).select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct()
 
 
