@@ -25,8 +25,11 @@ RADIUS = 23
 #: Blocks of the 64 bits; by the pigeonhole principle one block of any fingerprint within RADIUS differs in
 #: at most RADIUS // BLOCKS bits.
 BLOCKS = 12
-#: Items broadcast at a time; a larger benchmark is searched in several passes.
+#: Items, and bytes of their texts, broadcast at a time, about; a larger benchmark is searched in several passes.
 ITEMS_PER_PASS = 100_000
+BYTES_PER_PASS = 64 << 20
+#: Bits of a shingle's hash that the first look at it takes.
+GLANCE = 22
 _EDGE = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
@@ -102,6 +105,21 @@ class Benchmark:
             w = min(n, SHINGLE)
             self.known.setdefault(w, []).extend(every[i] for i in of[n])
         self.known = {w: np.unique(np.concatenate(g)) for w, g in self.known.items()}
+        self.glance = {w: np.zeros(1 << GLANCE, bool) for w in self.known}
+        for w, g in self.known.items():
+            self.glance[w][g >> np.uint64(64 - GLANCE)] = True
+
+    def holding(self, words: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which documents of a slice, given by word hashes, hold a shingle of the benchmark; no other has to be searched."""
+        held = np.zeros(len(off) - 1, bool)
+        for w in self.known:
+            g = arrays.kgrams(words, w)
+            place = np.flatnonzero(self.glance[w][g >> np.uint64(64 - GLANCE)])
+            at = np.minimum(np.searchsorted(self.known[w], g[place]), len(self.known[w]) - 1)
+            place = place[self.known[w][at] == g[place]]
+            doc = np.searchsorted(off, place, "right") - 1
+            held[doc[place + w <= off[doc + 1]]] = True
+        return np.flatnonzero(held)
 
     def search(self, words: np.ndarray) -> dict[int, tuple[float, int]]:
         """Best (similarity, first word) per item number of one document given by its word hashes."""
@@ -132,48 +150,55 @@ class Benchmark:
         return found
 
 
+_prepared: list[tuple[list, Benchmark]] = []
+
+
+def prepared(items: list[tuple[int, str]]) -> Benchmark:
+    """The benchmark of these items; tasks of one worker process that share a pass build it once."""
+    if not _prepared or _prepared[0][0] != items:
+        _prepared[:] = [(items, Benchmark(items))]
+    return _prepared[0][1]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): each item that a document holds, at its best window.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; similarity is weighted Jaccard of five-word shingles, 0.8
     or more (an item of fewer words is one shingle). A document shorter than the item is compared as a whole; ``n_words``
     are those of the window. Ties go to the first window. Null and empty texts or items
-    match nothing; repeated rows give a row each; items of equal text are each reported. The corpus is not shuffled.
+    match nothing; repeated rows give a row each; items of equal text are each reported, and an item row given twice twice.
+    Other columns, whatever their names, play no part. Texts are searched whole. The corpus is not shuffled.
     """
     spark = docs.sparkSession
     items = common.stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("copies")))
-    passes = -(-items.count() // ITEMS_PER_PASS)
+    many, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-many // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
     docs = common.documents(docs, id_col, text_col)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
     def one(part: DataFrame) -> DataFrame:
-        # different items are dealt evenly: about ITEMS_PER_PASS of them
-        told = part.orderBy("item_id", "text").limit(2 * ITEMS_PER_PASS + 1).collect()
-        if len(told) > 2 * ITEMS_PER_PASS:
-            raise RuntimeError(f"a pass has more than {2 * ITEMS_PER_PASS} items")
+        # different items are dealt evenly by hash: about ITEMS_PER_PASS of them
+        told = part.orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(([(r[0], r[1]) for r in told], [r[2] for r in told]))
-        own: list[Benchmark] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not own:
-                own.append(Benchmark(shared.value[0]))
-            bench, copies = own[0], shared.value[1]
+            items, copies = shared.value
+            bench = prepared(items)
             for batch in batches:
-                for lo, hi, data, off in arrays.slices(batch.column(1)):
+                for lo, _, data, off in arrays.slices(batch.column(1)):
                     words = arrays.Words(data, off)
                     h = words.hashes(lower=True)
                     rows = []
-                    for d in range(hi - lo):
+                    for d in bench.holding(h, words.off).tolist():
+                        n = int(words.counts[d])
                         for item, (s, start) in sorted(bench.search(h[words.off[d] : words.off[d + 1]]).items()):
-                            rows += copies[item] * [(batch.column(0)[lo + d].as_py(), bench.ids[item], s, start, min(bench.n_words[item], int(words.off[d + 1] - words.off[d])))]
+                            rows += copies[item] * [(batch.column(0)[lo + d].as_py(), bench.ids[item], s, start, min(bench.n_words[item], n))]
                     if rows:
                         c = list(zip(*rows))
                         yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
         return docs.mapInArrow(run, schema)
 
-    if passes <= 1:
-        return one(items)
     found = None
     for p in range(passes):
         part = one(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p))
@@ -182,4 +207,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of ``benchmark`` that a document holds: (doc_id, item_id, similarity, first_word, n_words)."""
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

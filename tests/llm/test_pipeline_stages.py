@@ -101,3 +101,34 @@ def test_copies_of_an_item_take_no_place_of_others(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect())
     assert got == {(0, 0): 40, (1, 1): 1, (2, 2): 1, (3, 3): 1}
+    monkeypatch.setattr(decontaminate, "BYTES_PER_PASS", 100)
+    many = items.union(spark.createDataFrame([(9, None), (8, "")], "item_id long, text string"))
+    assert Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, many).collect()) == got
+
+
+def test_decontamination_equals_brute_force_at_the_limit(spark):
+    import random
+
+    from skylattice.llm import decontaminate
+
+    rng = random.Random(4)
+    item = [f"w{i}" for i in range(60)]
+    shingle = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    best = {}
+    rows = []
+    for d in range(400):
+        own = list(item)
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(60)
+            own[at : at + rng.randrange(0, 2)] = [f"n{rng.randrange(99)}"] * rng.randrange(0, 3)
+        w = [f"a{rng.randrange(99)}" for _ in range(rng.randrange(30))] + own + [f"b{rng.randrange(99)}" for _ in range(rng.randrange(30))]
+        rows += [(d, " ".join(w), "x", 0.0)] * (1 + (d % 50 == 0))
+        n = min(60, len(w))
+        scores = [sum((shingle(item) & shingle(w[s : s + n])).values()) / sum((shingle(item) | shingle(w[s : s + n])).values()) for s in range(len(w) - n + 1)]
+        best[d] = max(scores), scores.index(max(scores))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, similarity double")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    close = [d for d, (s, _) in best.items() if 0.8 <= s < 0.85]
+    assert len(close) > 20
+    want = Counter({(d, round(s, 9), at): 1 + (d % 50 == 0) for d, (s, at) in best.items() if s >= 0.8 - 1e-12})
+    assert Counter((r.doc_id, round(r.similarity, 9), r.first_word) for r in got) == want
