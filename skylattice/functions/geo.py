@@ -20,6 +20,23 @@ def hhmm_minutes(text: Column) -> Column:
     return F.when(ok, F.substring(text, 1, 2).try_cast("int") * 60 + F.substring(text, 3, 2).try_cast("int"))
 
 
+def clock_minutes(text: Column) -> Column:
+    """Minutes of four digits read as hours and minutes, beyond a day too; null if the text is none."""
+    return F.when(F.length(text) == 4, F.substring(text, 1, 2).try_cast("int") * 60 + F.substring(text, 3, 2).try_cast("int"))
+
+
+def effective_date(text: Column) -> Column:
+    """Date of a DDMMMYY text, months in any case; years 70 to 99 are of the last century. Null if it is none."""
+    ok = F.coalesce(text.rlike("(?i)^[0-9]{2}[a-z]{3}[0-9]{2}$"), F.lit(False))
+    year = F.concat(F.when(F.substring(text, 6, 2).try_cast("int") >= 70, "19").otherwise("20"), F.substring(text, 6, 2))
+    return F.when(ok, F.try_to_timestamp(F.concat(F.substring(text, 1, 2), F.initcap(F.substring(text, 3, 3)), year), F.lit("ddMMMyyyy")).cast("date"))
+
+
+def is_codeshare(company: Column, number: Column, op_company: Column, op_number: Column, duplicates: Column) -> Column:
+    """Whether a flight has another designator than its operating one."""
+    return (F.coalesce(F.size(duplicates), F.lit(0)) > 0) | ~company.eqNullSafe(op_company) | ~number.eqNullSafe(op_number)
+
+
 def minutes_hhmm(minutes: Column) -> Column:
     """HHMM of minutes of a day; null outside it."""
     return F.when(minutes.between(0, 1439), F.format_string("%02d%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.functions.geo import city_key, haversine, leg_status
+from skylattice.functions.geo import city_key, haversine
+from skylattice.operators import mct
 
 CIRCUITY = 2.5
 WINDOW_MINUTES = 12 * 60
-DEFAULT_MCT = 180
-#: Fields of a rule that say what it holds for.
-SCOPE = ["status", "arrival_station", "arrival_carrier", "departure_carrier", "number_from", "number_to"]
+DEFAULT_MCT = mct.DEFAULT_MCT
+#: Width of the time buckets of the connection join.
+BUCKET_HOURS = 6
 
 
 def siblings(airports: DataFrame) -> DataFrame:
@@ -45,22 +46,25 @@ def paths_2(routes: DataFrame, pairs: DataFrame, airports: DataFrame, limit: flo
 def connections(first: DataFrame, second: DataFrame, pairs: DataFrame, minimum: int = DEFAULT_MCT, window: int = WINDOW_MINUTES) -> DataFrame:
     """Flights of ``first`` with those of ``second`` that leave a sibling of the arrival airport in time.
 
-    A range join by day buckets: an arrival meets the departures of the one or two dates that its window touches.
-    Columns of the second flight carry the suffix ``2``.
+    A range join by buckets of BUCKET_HOURS: an arrival meets the departures of the few buckets that its window touches, so
+    that a task's share of a busy hub is some hours' flights. Columns of the second flight carry the suffix ``2``.
     """
     late = lambda c, m: F.expr(f"{c} + make_dt_interval(0, 0, {m})")
-    a = first.join(F.broadcast(pairs.select(F.col("code").alias("dest"), F.col("sibling").alias("hub"))), "dest")
-    a = a.withColumn("day", F.explode(F.sequence(F.to_date(late("arr", minimum)), F.to_date(late("arr", window)))))
-    b = second.select(*[F.col(c).alias(c + "2") for c in second.columns]).withColumn("hub", F.col("origin2")).withColumn("day", F.to_date("dep2"))
-    met = a.join(b, ["hub", "day"]).drop("day", "hub")
+    bucket = lambda c: F.floor(F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz")) / BUCKET_HOURS)
+    a = first.join(pairs.select(F.col("code").alias("dest"), F.col("sibling").alias("hub")), "dest")
+    a = a.withColumn("bucket", F.explode(F.sequence(bucket(late("arr", minimum)), bucket(late("arr", window)))))
+    b = second.select(*[F.col(c).alias(c + "2") for c in second.columns]).withColumn("hub", F.col("origin2")).withColumn("bucket", bucket(F.col("dep2")))
+    met = a.join(b, ["hub", "bucket"]).drop("bucket", "hub")
     return met.filter((F.col("dep2") >= late("arr", minimum)) & (F.col("dep2") <= late("arr", window)) & ((F.col("company") != F.col("company2")) | (F.col("number") != F.col("number2"))))
 
 
-def connections_by_rules(first: DataFrame, second: DataFrame, pairs: DataFrame, rules: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, window: int = WINDOW_MINUTES) -> DataFrame:
+def connections_by_rules(first: DataFrame, second: DataFrame, pairs: DataFrame, rules: DataFrame, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, window: int = WINDOW_MINUTES) -> DataFrame:
     """Connections that leave no sooner than their own minimum ``mct`` after the arrival, and within the window."""
-    least = live_rules(rules).agg(F.min("minutes")).first()[0]
-    met = connections(first, second, pairs, default if least is None else min(least, default), window)
-    return connection_minutes(met, rules, airports, default).filter("dep2 >= arr + make_dt_interval(0, 0, mct)")
+    r = mct.prepared(rules)
+    least = r.agg(F.min("minutes")).first()[0]
+    a, b = mct.with_class(first, r, airports, "arrival"), mct.with_class(second, r, airports, "departure")
+    met = connections(a, b, pairs, default if least is None else min(least, default), window)
+    return mct.connection_minutes(met, rules, filters, airports, default).filter("dep2 >= arr + make_dt_interval(0, 0, mct)")
 
 
 def itineraries_0(flights: DataFrame, airports: DataFrame) -> DataFrame:
@@ -69,53 +73,16 @@ def itineraries_0(flights: DataFrame, airports: DataFrame) -> DataFrame:
     return flights.join(known, ["origin", "dest"]).withColumn("travel", F.expr("timestampdiff(MINUTE, dep, arr)")).withColumn("flown", F.col("block"))
 
 
-def itineraries_1(flights: DataFrame, airports: DataFrame, minimum: int = DEFAULT_MCT, rules: DataFrame | None = None) -> DataFrame:
+def itineraries_1(flights: DataFrame, airports: DataFrame, minimum: int = DEFAULT_MCT, rules: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
     """Itineraries of two flights along simple low-circuity paths, with their measures in minutes.
 
-    With ``rules`` each connection keeps its own minimum, and ``minimum`` where no rule matches.
+    With ``rules`` each connection keeps its own minimum, and ``minimum`` where no rule fits.
     """
     pairs = siblings(airports)
-    # airports are a dimension: paths are bounded by their number, not by the flights'
     path = paths_2(edges(flights, airports), pairs, airports).select(F.col("a").alias("origin"), F.col("b").alias("dest"), F.col("c").alias("origin2"), F.col("d").alias("dest2"), F.round("circuity", 6).alias("circuity"))
-    met = connections(flights, flights, pairs, minimum) if rules is None else connections_by_rules(flights, flights, pairs, rules, airports, minimum)
+    # flights that no path begins or ends with go before they are joined in time
+    first = flights.join(path.select("origin", "dest").distinct(), ["origin", "dest"], "left_semi")
+    second = flights.join(path.select(F.col("origin2").alias("origin"), F.col("dest2").alias("dest")).distinct(), ["origin", "dest"], "left_semi")
+    met = connections(first, second, pairs, minimum) if rules is None else connections_by_rules(first, second, pairs, rules, filters, airports, minimum)
     met = met.join(path, ["origin", "dest", "origin2", "dest2"])
     return met.withColumn("travel", F.expr("timestampdiff(MINUTE, dep, arr2)")).withColumn("transfer", F.expr("timestampdiff(MINUTE, arr, dep2)")).withColumn("flown", F.col("block") + F.col("block2"))
-
-
-def live_rules(rules: DataFrame) -> DataFrame:
-    """Rules that give minutes: no suppressions, and none that a suppression of the same scope takes away."""
-    off = rules.filter("suppression").select(*[F.col(x).alias("_" + x) for x in SCOPE])
-    return rules.filter("not suppression").join(off, [F.col(x).eqNullSafe(F.col("_" + x)) for x in SCOPE], "left_anti")
-
-
-def connection_minutes(met: DataFrame, rules: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT) -> DataFrame:
-    """Adds ``mct``: the minutes of the most specific matching rule, ``default`` without one. Null rule fields match all.
-
-    A suppression takes away the rules of its own scope. Specificity: station, then flight number, then carrier; then the
-    number of fields; then file order. Rules are met by equality of status, station and carriers; only number ranges are compared.
-    """
-    land = airports.select("code", "country")
-    c = met
-    for col, name in (("origin", "k1"), ("dest", "k2"), ("origin2", "k3"), ("dest2", "k4")):
-        c = c.join(F.broadcast(land.select(F.col("code").alias(col), F.col("country").alias(name))), col, "left")
-    c = c.withColumn("status", F.concat(leg_status(F.col("k1"), F.col("k2")), leg_status(F.col("k3"), F.col("k4")))).drop("k1", "k2", "k3", "k4")
-    live = live_rules(rules)
-    has = lambda x: F.col(x).isNotNull().cast("int")
-    live = live.withColumn("spec", F.struct(has("arrival_station"), has("number_from"), F.greatest(has("arrival_carrier"), has("departure_carrier")), (has("arrival_station") + has("arrival_carrier") + has("departure_carrier") + 2 * has("number_from")).alias("fields"), (-F.col("rule_pos")).alias("pos")))
-    # of rules of one scope only the first can win
-    live = live.groupBy(*SCOPE).agg(F.max_by("minutes", "spec").alias("minutes"), F.max("spec").alias("spec"))
-    keys = ["status", "dest", "company", "company2", "number"]
-    # rules are resolved once per distinct signature, not per connection
-    kinds = c.select(*keys).distinct()
-    # a signature goes once for each choice of bound fields, so that it meets its rules by equality
-    bound = [("arrival_station", "dest"), ("arrival_carrier", "company"), ("departure_carrier", "company2")]
-    choices = F.explode(F.sequence(F.lit(0), F.lit((1 << len(bound)) - 1)))
-    asked = kinds.withColumn("_choice", choices).select(*keys, *[F.when(F.col("_choice").bitwiseAND(F.lit(1 << i)) != 0, F.col(col)).alias("_" + field) for i, (field, col) in enumerate(bound)])
-    r = live.withColumnRenamed("status", "rule_status")
-    fits = (F.col("status") == F.col("rule_status")) & (F.col("number_from").isNull() | F.col("number").try_cast("int").between(F.col("number_from"), F.col("number_to")))
-    for field, _ in bound:
-        fits &= F.col("_" + field).eqNullSafe(F.col(field))
-    best = asked.join(r, fits).groupBy(*keys).agg(F.max_by("minutes", "spec").alias("m"))
-    best = best.select(*[F.col(x).alias("_" + x) for x in keys], "m")
-    on = [F.col(x).eqNullSafe(F.col("_" + x)) for x in keys]
-    return c.join(best, on, "left").withColumn("mct", F.coalesce("m", F.lit(default))).drop("m", "status", *["_" + x for x in keys])

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
-from skylattice.operators import network, schedule
+from skylattice.operators import maintenance, mct, network, schedule
 from skylattice.sources import derived, fixed_width
 
 AIRPORTS = """airports AS (SELECT chr(CAST(65 + n_nationkey // 5 AS INT)) || chr(CAST(65 + n_nationkey % 5 AS INT)) || 'X' AS code, r_name AS country,
- CAST(n_nationkey // 10 AS VARCHAR) AS city, CAST(-60 + (37 * n_nationkey) % 120 AS DOUBLE) AS lat, CAST(-180 + (73 * n_nationkey) % 360 AS DOUBLE) AS lon
+ CAST(n_nationkey // 10 AS VARCHAR) AS city, 'S' || (n_nationkey % 3) AS state, CAST(-60 + (37 * n_nationkey) % 120 AS DOUBLE) AS lat, CAST(-180 + (73 * n_nationkey) % 360 AS DOUBLE) AS lon
  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 FLIGHTS = """flights AS (SELECT 'C' || (l_partkey % 7) AS company, CAST(l_partkey % 97 AS VARCHAR) AS number,
  chr(CAST(65 + s_nationkey // 5 AS INT)) || chr(CAST(65 + s_nationkey % 5 AS INT)) || 'X' AS origin, chr(CAST(65 + c_nationkey // 5 AS INT)) || chr(CAST(65 + c_nationkey % 5 AS INT)) || 'X' AS dest,
  l_shipdate + to_minutes(CAST((37 * l_orderkey + 101 * l_linenumber) % 1440 AS INT)) AS dep,
- l_shipdate + to_minutes(CAST((37 * l_orderkey + 101 * l_linenumber) % 1440 + 60 + (13 * l_partkey) % 600 AS INT)) AS arr, CAST(60 + (13 * l_partkey) % 600 AS INT) AS block
+ l_shipdate + to_minutes(CAST((37 * l_orderkey + 101 * l_linenumber) % 1440 + 60 + (13 * l_partkey) % 600 AS INT)) AS arr, CAST(60 + (13 * l_partkey) % 600 AS INT) AS block,
+ 'C' || ((CASE WHEN l_suppkey % 5 = 0 THEN l_partkey + 2 ELSE l_partkey END) % 7) AS op_company, CASE WHEN l_linenumber % 4 = 0 THEN 'C' || ((l_partkey + 1) % 7) END AS dup, 'T' || (l_partkey % 3) AS dterm, 'T' || (l_suppkey % 3) AS aterm
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey)"""
 
 
@@ -33,22 +34,38 @@ MET = """met AS (SELECT x.company, x.number, x.origin, x.dest, x.dep, x.arr, x.b
  FROM (SELECT flights.*, sibling, unnest(generate_series(CAST(CAST(arr + INTERVAL 180 MINUTE AS DATE) AS TIMESTAMP), CAST(CAST(arr + INTERVAL 720 MINUTE AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM flights JOIN sib ON code = dest) x
  JOIN (SELECT *, CAST(CAST(dep AS DATE) AS TIMESTAMP) AS day FROM flights) y ON y.origin = x.sibling AND y.day = x.day
  WHERE y.dep BETWEEN x.arr + INTERVAL 180 MINUTE AND x.arr + INTERVAL 720 MINUTE AND (x.company <> y.company OR x.number <> y.number))"""
-# every connection of 0 to 720 minutes, the rules of all parts, and of the connections those that keep their own minimum
-TIMED = """cand AS MATERIALIZED (SELECT x.company, x.number, x.origin, x.dest, x.dep, x.arr, x.block, y.company AS company2, y.number AS number2, y.origin AS origin2, y.dest AS dest2, y.dep AS dep2, y.arr AS arr2, y.block AS block2,
- (CASE WHEN a.country = b.country THEN 'D' ELSE 'I' END) || (CASE WHEN c.country = d.country THEN 'D' ELSE 'I' END) AS status
+STATION = "chr(CAST(65 + ({0} % 25) // 5 AS INT)) || chr(CAST(65 + ({0} % 25) % 5 AS INT)) || 'X'"
+# rules as they stand under their owners, those that fit each connection of 0 to 720 minutes, and the best in force
+RULES = f"""parts AS (SELECT p_partkey AS k, p_size AS z FROM part),
+rules0 AS (SELECT k AS rule_pos, ['DD', 'DI', 'ID', 'II'][CAST(k % 4 + 1 AS INT)] AS status, CASE WHEN k % 3 = 0 THEN {STATION.format('k')} END AS ast, CASE WHEN k % 9 = 0 THEN {STATION.format('k')} END AS dst,
+ CASE WHEN k % 5 = 0 THEN 'C' || (k % 7) END AS ac, CASE WHEN k % 7 = 0 THEN 'C' || (z % 7) END AS dc, CASE WHEN k % 19 = 0 THEN 'C' || ((k + 1) % 7) END AS aop, CASE WHEN k % 11 = 0 THEN z END AS af, CASE WHEN k % 11 = 0 THEN z + 40 END AS ato,
+ CASE WHEN k % 23 = 0 THEN z END AS df, CASE WHEN k % 23 = 0 THEN z + 60 END AS dt, CASE WHEN k % 29 = 0 THEN 'T' || (k % 3) END AS aterm, CASE WHEN k % 31 = 0 THEN 'T' || (z % 3) END AS dterm, CASE WHEN k % 41 = 0 THEN {STATION.format('z')} END AS pst,
+ CASE WHEN k % 37 = 0 THEN 'S' || (k % 3) END AS pstate, CASE WHEN k % 43 = 0 THEN 'S' || (z % 3) END AS nstate, CASE WHEN k % 47 = 0 THEN DATE '1995-01-01' END AS ef, CASE WHEN k % 53 = 0 THEN DATE '1996-12-31' END AS et,
+ k % 59 = 0 AS air, k % 61 = 0 AS supreg, k % 67 = 0 AS reg, k % 17 = 0 AS acs, k % 29 = 1 AS nf, k % 13 = 0 AS off, CASE WHEN k % 71 <> 0 THEN 30 + 5 * (z % 40) END AS minutes FROM parts),
+rules1 AS MATERIALIZED (SELECT *, greatest(CASE WHEN ast IS NOT NULL OR dst IS NOT NULL THEN 1 ELSE 0 END, CASE WHEN aterm IS NOT NULL OR dterm IS NOT NULL THEN 3 ELSE 0 END, CASE WHEN af IS NOT NULL OR df IS NOT NULL THEN 4 ELSE 0 END,
+  CASE WHEN ac IS NOT NULL OR dc IS NOT NULL OR aop IS NOT NULL OR acs OR nf THEN 5 ELSE 0 END, CASE WHEN pst IS NOT NULL THEN 6 ELSE 0 END, CASE WHEN pstate IS NOT NULL OR nstate IS NOT NULL THEN 7 ELSE 0 END) AS hi,
+ (ast IS NOT NULL OR dst IS NOT NULL)::INT + (aterm IS NOT NULL OR dterm IS NOT NULL)::INT + (af IS NOT NULL OR df IS NOT NULL)::INT + (ac IS NOT NULL OR dc IS NOT NULL OR aop IS NOT NULL OR acs OR nf)::INT + (pst IS NOT NULL)::INT + (pstate IS NOT NULL OR nstate IS NOT NULL)::INT AS groups,
+ (ast IS NOT NULL)::INT + (dst IS NOT NULL)::INT + nf::INT + (ac IS NOT NULL)::INT + acs::INT + (aop IS NOT NULL)::INT + (dc IS NOT NULL)::INT + (aterm IS NOT NULL)::INT + (dterm IS NOT NULL)::INT + (pst IS NOT NULL)::INT + 2 * (af IS NOT NULL)::INT + 2 * (df IS NOT NULL)::INT + (pstate IS NOT NULL)::INT + (nstate IS NOT NULL)::INT + (ef IS NOT NULL)::INT + (et IS NOT NULL)::INT AS fields,
+ (ast IS NOT NULL)::INT + (dst IS NOT NULL)::INT AS stations, concat_ws('/', coalesce(ast, '-'), coalesce(dst, '-'), status, coalesce(ac, '-'), coalesce(dc, '-'), coalesce(aop, '-'), coalesce(af, -1), coalesce(ato, -1), coalesce(df, -1), coalesce(dt, -1), coalesce(aterm, '-'), coalesce(dterm, '-'), coalesce(pst, '-'), coalesce(pstate, '-'), coalesce(nstate, '-'), coalesce(ef, DATE '1900-01-01'), coalesce(et, DATE '1900-01-01'), acs, nf) AS scope FROM rules0 WHERE NOT (air OR supreg OR reg)),
+owned AS MATERIALIZED (SELECT *, NULL AS owner FROM rules1 WHERE ast IS NULL AND dst IS NULL UNION ALL SELECT *, ast FROM rules1 WHERE ast IS NOT NULL UNION ALL SELECT *, dst FROM rules1 WHERE dst IS NOT NULL AND dst IS DISTINCT FROM ast),
+partners AS (SELECT DISTINCT 'C' || (k % 7) AS a, 'C' || (z % 7) AS b FROM parts UNION SELECT DISTINCT 'C' || (z % 7), 'C' || (k % 7) FROM parts)"""
+TIMED = f"""{RULES},
+cand AS MATERIALIZED (SELECT x.*, y.company AS company2, y.number AS number2, y.origin AS origin2, y.dest AS dest2, y.dep AS dep2, y.arr AS arr2, y.block AS block2, y.dterm AS dterm2,
+ (CASE WHEN a.country = b.country THEN 'D' ELSE 'I' END) || (CASE WHEN c.country = d.country THEN 'D' ELSE 'I' END) AS cs, a.state AS s1, d.state AS s2, (x.dup IS NOT NULL OR x.company <> x.op_company) AS shared, row_number() OVER () AS id
  FROM (SELECT flights.*, sibling, unnest(generate_series(CAST(CAST(arr AS DATE) AS TIMESTAMP), CAST(CAST(arr + INTERVAL 720 MINUTE AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM flights JOIN sib ON code = dest) x
  JOIN (SELECT *, CAST(CAST(dep AS DATE) AS TIMESTAMP) AS day FROM flights) y ON y.origin = x.sibling AND y.day = x.day
  JOIN airports a ON a.code = x.origin JOIN airports b ON b.code = x.dest JOIN airports c ON c.code = y.origin JOIN airports d ON d.code = y.dest
  WHERE y.dep BETWEEN x.arr AND x.arr + INTERVAL 720 MINUTE AND (x.company <> y.company OR x.number <> y.number)),
-rules AS MATERIALIZED (SELECT p_partkey AS rule_pos, ['DD', 'DI', 'ID', 'II'][CAST(p_partkey % 4 + 1 AS INT)] AS status,
- CASE WHEN p_partkey % 3 = 0 THEN chr(CAST(65 + (p_partkey % 25) // 5 AS INT)) || chr(CAST(65 + (p_partkey % 25) % 5 AS INT)) || 'X' END AS st, CASE WHEN p_partkey % 5 = 0 THEN 'C' || (p_partkey % 7) END AS ac, CASE WHEN p_partkey % 7 = 0 THEN 'C' || (p_size % 7) END AS dc,
- CASE WHEN p_partkey % 11 = 0 THEN p_size END AS nf, CASE WHEN p_partkey % 11 = 0 THEN p_size + 40 END AS nt, p_partkey % 13 = 0 AS off, 30 + 5 * (p_size % 40) AS minutes FROM part),
-live AS MATERIALIZED (SELECT * FROM rules r WHERE NOT off AND NOT EXISTS (SELECT 1 FROM rules s WHERE s.off AND s.status = r.status AND s.st IS NOT DISTINCT FROM r.st AND s.ac IS NOT DISTINCT FROM r.ac AND s.dc IS NOT DISTINCT FROM r.dc AND s.nf IS NOT DISTINCT FROM r.nf AND s.nt IS NOT DISTINCT FROM r.nt)),
-kinds AS MATERIALIZED (SELECT DISTINCT company, number, company2, dest, status FROM cand),
-best AS MATERIALIZED (SELECT k.*, minutes, row_number() OVER (PARTITION BY k.company, k.number, k.company2, k.dest, k.status ORDER BY (st IS NOT NULL) DESC, (nf IS NOT NULL) DESC, (ac IS NOT NULL OR dc IS NOT NULL) DESC,
- (st IS NOT NULL)::INT + (ac IS NOT NULL)::INT + (dc IS NOT NULL)::INT + 2 * (nf IS NOT NULL)::INT DESC, rule_pos) AS rn FROM kinds k JOIN live r ON r.status = k.status AND (st IS NULL OR st = dest) AND (ac IS NULL OR ac = company) AND (dc IS NULL OR dc = company2) AND (nf IS NULL OR CAST(number AS INT) BETWEEN nf AND nt)),
-timed AS (SELECT m.*, CAST(coalesce(best.minutes, 180) AS INT) AS mct FROM cand m LEFT JOIN best ON best.rn = 1 AND best.company = m.company AND best.number = m.number AND best.company2 = m.company2 AND best.dest = m.dest AND best.status = m.status
- WHERE m.dep2 >= m.arr + to_minutes(coalesce(best.minutes, 180)))"""
+fit AS MATERIALIZED (SELECT c.id, r.rule_pos, r.hi, r.groups, r.fields, r.stations, r.scope, r.off, r.minutes, CASE WHEN r.owner IS NULL THEN 2 WHEN r.owner = c.dest THEN 0 ELSE 1 END AS source
+ FROM cand c JOIN owned r ON r.status = c.cs AND (r.owner IS NULL OR r.owner = c.dest OR r.owner = c.origin2) AND (r.ast IS NULL OR r.ast = c.dest) AND (r.dst IS NULL OR r.dst = c.origin2)
+ AND (r.ac IS NULL OR r.ac = c.company OR (r.ac = c.dup AND (r.acs OR r.aop IS NOT NULL))) AND (r.ac IS NOT NULL OR NOT r.acs OR c.shared) AND (r.aop IS NULL OR (c.shared AND c.op_company = r.aop)) AND (r.dc IS NULL OR r.dc = c.company2)
+ AND (r.af IS NULL OR CAST(c.number AS INT) BETWEEN r.af AND r.ato) AND (r.df IS NULL OR CAST(c.number2 AS INT) BETWEEN r.df AND r.dt) AND (r.aterm IS NULL OR r.aterm = c.aterm) AND (r.dterm IS NULL OR r.dterm = c.dterm2)
+ AND (r.pst IS NULL OR r.pst = c.origin) AND (r.pstate IS NULL OR r.pstate = c.s1) AND (r.nstate IS NULL OR r.nstate = c.s2) AND (r.ef IS NULL OR CAST(c.dep2 AS DATE) >= r.ef) AND (r.et IS NULL OR CAST(c.dep2 AS DATE) <= r.et)
+ LEFT JOIN partners p ON p.a = c.company AND p.b = c.company2 WHERE NOT r.nf OR p.a IS NOT NULL),
+gone AS (SELECT DISTINCT id, scope FROM fit WHERE off),
+best AS MATERIALIZED (SELECT f.id, f.minutes, row_number() OVER (PARTITION BY f.id ORDER BY hi DESC, groups DESC, fields DESC, stations DESC, source, rule_pos) AS rn FROM fit f ANTI JOIN gone g ON g.id = f.id AND g.scope = f.scope WHERE NOT off AND minutes IS NOT NULL),
+mcts AS MATERIALIZED (SELECT c.*, CAST(coalesce(best.minutes, 180) AS INT) AS mct FROM cand c LEFT JOIN best ON best.rn = 1 AND best.id = c.id),
+timed AS (SELECT * FROM mcts WHERE dep2 >= arr + to_minutes(mct))"""
 PAIR = ["company", "number", "origin", "dest", "dep", "company2", "number2", "origin2", "dest2", "dep2"]
 
 QUERIES: dict = {}
@@ -66,7 +83,7 @@ def query(sql: str):
 
 @query(f"WITH {AIRPORTS} SELECT code, country, city, lat AS latitude, lon AS longitude FROM airports WHERE regexp_matches(code, '^[A-Z]{{3}}$') AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180")
 def airport_validity(spark, sf):
-    return derived.airports(spark, sf).filter("code rlike '^[A-Z]{3}$' and latitude between -90 and 90 and longitude between -180 and 180")
+    return derived.airports(spark, sf).drop("state").filter("code rlike '^[A-Z]{3}$' and latitude between -90 and 90 and longitude between -180 and 180")
 
 
 @query(f"WITH {AIRPORTS}, {SIBLINGS} SELECT code, string_agg(sibling, '|' ORDER BY sibling) AS siblings FROM sib GROUP BY code")
@@ -76,7 +93,7 @@ def city_equivalence(spark, sf):
 
 @query(f"WITH {FLIGHTS} SELECT company, number, origin, dest, dep, arr, block FROM flights")
 def dated_flights_utc(spark, sf):
-    return derived.flights(spark, sf)
+    return derived.flights(spark, sf).select("company", "number", "origin", "dest", "dep", "arr", "block")
 
 
 @query(f"WITH {FLIGHTS} SELECT DISTINCT CAST(dep AS DATE) AS dep_date FROM flights")
@@ -123,30 +140,23 @@ def itin_1stop(spark, sf):
     return network.itineraries_1(derived.flights(spark, sf), derived.airports(spark, sf)).select(*PAIR, "circuity", "travel", "transfer", "flown")
 
 
-@query(f"""WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {MET}, rules AS (SELECT p_partkey AS rule_pos, ['DD', 'DI', 'ID', 'II'][CAST(p_partkey % 4 + 1 AS INT)] AS status,
- CASE WHEN p_partkey % 3 = 0 THEN chr(CAST(65 + (p_partkey % 25) // 5 AS INT)) || chr(CAST(65 + (p_partkey % 25) % 5 AS INT)) || 'X' END AS st, CASE WHEN p_partkey % 5 = 0 THEN 'C' || (p_partkey % 7) END AS ac, CASE WHEN p_partkey % 7 = 0 THEN 'C' || (p_size % 7) END AS dc,
- CASE WHEN p_partkey % 11 = 0 THEN p_size END AS nf, CASE WHEN p_partkey % 11 = 0 THEN p_size + 40 END AS nt, p_partkey % 13 = 0 AS off, 30 + 5 * (p_size % 40) AS minutes FROM part WHERE p_partkey < 400),
-live AS (SELECT * FROM rules r WHERE NOT off AND NOT EXISTS (SELECT 1 FROM rules s WHERE s.off AND s.status = r.status AND s.st IS NOT DISTINCT FROM r.st AND s.ac IS NOT DISTINCT FROM r.ac AND s.dc IS NOT DISTINCT FROM r.dc AND s.nf IS NOT DISTINCT FROM r.nf AND s.nt IS NOT DISTINCT FROM r.nt)),
-kinds AS (SELECT DISTINCT company, number, company2, dest, (CASE WHEN a.country = b.country THEN 'D' ELSE 'I' END) || (CASE WHEN c.country = d.country THEN 'D' ELSE 'I' END) AS status FROM met JOIN airports a ON a.code = origin JOIN airports b ON b.code = dest JOIN airports c ON c.code = origin2 JOIN airports d ON d.code = dest2),
-best AS (SELECT k.*, minutes, row_number() OVER (PARTITION BY k.company, k.number, k.company2, k.dest, k.status ORDER BY (st IS NOT NULL) DESC, (nf IS NOT NULL) DESC, (ac IS NOT NULL OR dc IS NOT NULL) DESC,
- (st IS NOT NULL)::INT + (ac IS NOT NULL)::INT + (dc IS NOT NULL)::INT + 2 * (nf IS NOT NULL)::INT DESC, rule_pos) AS rn FROM kinds k JOIN live r ON r.status = k.status AND (st IS NULL OR st = dest) AND (ac IS NULL OR ac = company) AND (dc IS NULL OR dc = company2) AND (nf IS NULL OR CAST(number AS INT) BETWEEN nf AND nt))
-SELECT {', '.join('m.' + c for c in PAIR)}, CAST(coalesce(best.minutes, 180) AS INT) AS mct FROM met m JOIN airports a ON a.code = m.origin JOIN airports b ON b.code = m.dest JOIN airports c ON c.code = m.origin2 JOIN airports d ON d.code = m.dest2
-LEFT JOIN best ON best.rn = 1 AND best.company = m.company AND best.number = m.number AND best.company2 = m.company2 AND best.dest = m.dest AND best.status = (CASE WHEN a.country = b.country THEN 'D' ELSE 'I' END) || (CASE WHEN c.country = d.country THEN 'D' ELSE 'I' END)""")
+@query(f"WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {TIMED} SELECT {', '.join(PAIR)}, mct FROM mcts WHERE dep2 >= arr + INTERVAL 180 MINUTE")
 def mct_match(spark, sf):
-    f, a = derived.flights(spark, sf), derived.airports(spark, sf)
-    # the SQL states rules of the first parts only
-    return network.connection_minutes(network.connections(f, f, network.siblings(a)), derived.rules(spark, sf, below=400), a).select(*PAIR, "mct")
+    f, a, r = derived.flights(spark, sf), derived.airports(spark, sf), derived.rules(spark, sf)
+    ready = mct.prepared(r)
+    met = network.connections(mct.with_class(f, ready, a, "arrival"), mct.with_class(f, ready, a, "departure"), network.siblings(a))
+    return mct.connection_minutes(met, r, derived.filters(spark, sf), a).select(*PAIR, "mct")
 
 
 @query(f"WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {TIMED} SELECT {', '.join(PAIR)}, mct FROM timed")
 def connections_mct(spark, sf):
     f, a = derived.flights(spark, sf), derived.airports(spark, sf)
-    return network.connections_by_rules(f, f, network.siblings(a), derived.rules(spark, sf), a).select(*PAIR, "mct")
+    return network.connections_by_rules(f, f, network.siblings(a), derived.rules(spark, sf), derived.filters(spark, sf), a).select(*PAIR, "mct")
 
 
 @query(f"WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {PATHS}, {TIMED} SELECT {', '.join(PAIR)}, mct, round(circuity, 6) AS circuity, date_diff('minute', dep, arr2) AS travel, date_diff('minute', arr, dep2) AS transfer, block + block2 AS flown FROM timed JOIN paths ON a = origin AND b = dest AND c = origin2 AND d = dest2 WHERE circuity <= 2.5")
 def itin_1stop_mct(spark, sf):
-    return network.itineraries_1(derived.flights(spark, sf), derived.airports(spark, sf), rules=derived.rules(spark, sf)).select(*PAIR, "mct", "circuity", "travel", "transfer", "flown")
+    return network.itineraries_1(derived.flights(spark, sf), derived.airports(spark, sf), rules=derived.rules(spark, sf), filters=derived.filters(spark, sf)).select(*PAIR, "mct", "circuity", "travel", "transfer", "flown")
 
 
 @query(f"WITH {AIRPORTS}, {FLIGHTS} SELECT company, number, origin, dest, dep, arr, date_diff('minute', dep, arr) AS travel, block AS flown FROM flights JOIN airports a ON a.code = origin JOIN airports b ON b.code = dest WHERE a.lat <> b.lat OR a.lon <> b.lon")
@@ -156,15 +166,15 @@ def itin_direct(spark, sf):
 
 @query("SELECT 'C' || (p_partkey % 7) AS submitter, string_agg(DISTINCT 'C' || (p_size % 7), '|' ORDER BY 'C' || (p_size % 7)) AS partners FROM part GROUP BY 1")
 def filter_merge(spark, sf):
-    return derived.filters(spark, sf).groupBy("submitter").agg(F.array_join(F.array_sort(F.collect_set("partner")), "|").alias("partners"))
+    return maintenance.merge_filters(derived.filters(spark, sf)).select("submitter", F.array_join("partners", "|").alias("partners"))
 
 
 @query("""WITH e AS (SELECT *, sum(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM events)
 SELECT user_id, CAST(b AS BIGINT) AS block, count(*) AS n FROM e GROUP BY 1, 2""")
 def block_assembly(spark, sf):
     e = derived.table(spark, sf, "events")
-    first = e.agg(F.min("event_type")).first()[0]
-    return schedule.sessions(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == first).groupBy("user_id", "block").agg(F.count("*").alias("n"))
+    e = e.join(F.broadcast(e.agg(F.min("event_type").alias("first"))), F.lit(True))  # one row
+    return schedule.sessions(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == F.col("first")).groupBy("user_id", "block").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, CAST(a AS INT) AS first, CAST(b AS INT) AS last FROM (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1), range(1, 20) x(a), range(1, 20) y(b) WHERE a <= b AND b <= n")

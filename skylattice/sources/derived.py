@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.operators.maintenance import owned
+from skylattice.operators.mct import complete
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,7 +20,7 @@ def code(k: str):
 def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     n = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.select(code("n_nationkey").alias("code"), F.col("r_name").alias("country"), F.expr("cast(n_nationkey div 10 as string)").alias("city"), F.expr("cast(-60 + (37 * n_nationkey) % 120 as double)").alias("latitude"), F.expr("cast(-180 + (73 * n_nationkey) % 360 as double)").alias("longitude"))
+    return n.select(code("n_nationkey").alias("code"), F.col("r_name").alias("country"), F.expr("cast(n_nationkey div 10 as string)").alias("city"), F.expr("concat('S', n_nationkey % 3)").alias("state"), F.expr("cast(-60 + (37 * n_nationkey) % 120 as double)").alias("latitude"), F.expr("cast(-180 + (73 * n_nationkey) % 360 as double)").alias("longitude"))
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +31,9 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).filter("s_nationkey <> c_nationkey")
     x = x.withColumn("dep", F.expr("l_shipdate + make_dt_interval(0, 0, cast((37 * l_orderkey + 101 * l_linenumber) % 1440 as int))")).withColumn("block", F.expr("cast(60 + (13 * l_partkey) % 600 as int)"))
-    return x.select(F.expr("concat('C', l_partkey % 7)").alias("company"), F.expr("cast(l_partkey % 97 as string)").alias("number"), code("s_nationkey").alias("origin"), code("c_nationkey").alias("dest"), "dep", F.expr("dep + make_dt_interval(0, 0, block)").alias("arr"), "block")
+    return x.select(F.expr("concat('C', l_partkey % 7)").alias("company"), F.expr("cast(l_partkey % 97 as string)").alias("number"), code("s_nationkey").alias("origin"), code("c_nationkey").alias("dest"), "dep", F.expr("dep + make_dt_interval(0, 0, block)").alias("arr"), "block",
+                    F.expr("concat('C', if(l_suppkey % 5 = 0, l_partkey + 2, l_partkey) % 7)").alias("op_company"), F.expr("cast(l_partkey % 97 as string)").alias("op_number"),
+                    F.expr("if(l_linenumber % 4 = 0, array(concat('C', (l_partkey + 1) % 7)), cast(array() as array<string>))").alias("duplicates"), F.expr("concat('T', l_partkey % 3)").alias("departure_terminal"), F.expr("concat('T', l_suppkey % 3)").alias("arrival_terminal"))
 
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +41,23 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.to_date("o_orderdate").alias("start_date"), F.expr("date_add(to_date(o_orderdate), 27)").alias("end_date"), F.expr("array_join(transform(filter(sequence(0, 6), i -> (1 + o_orderkey % 127) & shiftleft(1L, i) <> 0), i -> cast(i + 1 as string)), '')").alias("days"), F.expr("cast(1 + o_orderkey % 2 as int)").alias("frequency"))
 
 
-def rules(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
-    """Connection-time rules, one per part; a null field matches everything. ``below`` keeps the parts under that key only."""
-    p = table(spark, sf_dir, "part")
-    if below is not None:
-        p = p.filter(F.col("p_partkey") < below)
-    nul = lambda test, value: F.expr(f"case when {test} then {value} end")
-    return p.select(F.col("p_partkey").alias("rule_pos"), F.expr("element_at(array('DD', 'DI', 'ID', 'II'), cast(p_partkey % 4 + 1 as int))").alias("status"), F.when(F.expr("p_partkey % 3 = 0"), code("p_partkey % 25")).alias("arrival_station"), nul("p_partkey % 5 = 0", "concat('C', p_partkey % 7)").alias("arrival_carrier"), nul("p_partkey % 7 = 0", "concat('C', p_size % 7)").alias("departure_carrier"), nul("p_partkey % 11 = 0", "cast(p_size as int)").alias("number_from"), nul("p_partkey % 11 = 0", "cast(p_size + 40 as int)").alias("number_to"), F.expr("p_partkey % 13 = 0").alias("suppression"), F.expr("cast(30 + 5 * (p_size % 40) as int)").alias("minutes"))
+#: Rule fields by the residue of the part number that sets them, and their text.
+RULE_FIELDS = {
+    "arrival_station": (3, "concat(char(65 + (k % 25) div 5), char(65 + (k % 25) % 5), 'X')"), "departure_station": (9, "concat(char(65 + (k % 25) div 5), char(65 + (k % 25) % 5), 'X')"),
+    "arrival_carrier": (5, "concat('C', k % 7)"), "departure_carrier": (7, "concat('C', z % 7)"), "arrival_operating": (19, "concat('C', (k + 1) % 7)"),
+    "arrival_from": (11, "cast(z as string)"), "arrival_to": (11, "cast(z + 40 as string)"), "departure_from": (23, "cast(z as string)"), "departure_to": (23, "cast(z + 60 as string)"),
+    "arrival_terminal": (29, "concat('T', k % 3)"), "departure_terminal": (31, "concat('T', z % 3)"), "previous_station": (41, "concat(char(65 + (z % 25) div 5), char(65 + (z % 25) % 5), 'X')"),
+    "previous_state": (37, "concat('S', k % 3)"), "next_state": (43, "concat('S', z % 3)"), "effective_from": (47, "'01JAN95'"), "effective_to": (53, "'31dec96'"),
+    "arrival_aircraft_type": (59, "'320'"), "suppression_region": (61, "'EUR'"), "next_region": (67, "'SCH'"),
+}
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connection-time rules, one per part and owner: each airport whose station it names, nobody if none. A null field fits all."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    fields = [F.expr(f"case when k % {n} = 0 then {value} end").alias(name) for name, (n, value) in RULE_FIELDS.items()]
+    r = p.select(F.col("k").alias("rule_pos"), F.expr("element_at(array('DD', 'DI', 'ID', 'II'), cast(k % 4 + 1 as int))").alias("status"), *fields, F.expr("k % 17 = 0").alias("arrival_codeshare"), F.expr("k % 29 = 1").alias("needs_filter"), F.expr("k % 13 = 0").alias("suppression"), F.expr("case when k % 71 <> 0 then format_string('%02d%02d', (30 + 5 * (z % 40)) div 60, (30 + 5 * (z % 40)) % 60) end").alias("time"))
+    return owned(complete(r))
 
 
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
