@@ -108,7 +108,7 @@ def route_aggregate(spark, sf):
 
 
 @query(f"WITH {FLIGHTS}, k AS (SELECT *, row_number() OVER (PARTITION BY company, number, origin, dest, CAST(dep AS DATE) ORDER BY dep DESC, arr DESC) AS rn, count(*) OVER (PARTITION BY company, number, origin, dest, CAST(dep AS DATE)) AS n FROM flights) SELECT company, number, origin, dest, CAST(dep AS DATE) AS date, dep, arr, block, n FROM k WHERE rn = 1")
-def codeshare_merge(spark, sf):
+def snapshot_dedup(spark, sf):
     return schedule.merge_flights(derived.flights(spark, sf))
 
 

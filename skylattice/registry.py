@@ -2,4 +2,5 @@
 
 from __future__ import annotations
 
+from skylattice.plans import itinerary_queries, rule_queries, schedule_queries  # noqa: F401
 from skylattice.plans.queries import ORACLES, QUERIES  # noqa: F401

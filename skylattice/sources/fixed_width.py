@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import chunks, hhmm_minutes
@@ -43,9 +43,65 @@ def rules(lines: DataFrame) -> DataFrame:
     raw = parse(lines, RULE, "2").withColumn("needs_filter", F.coalesce(F.col("departure_station") == "***", F.lit(False)))
     for name in ("arrival_station", "departure_station"):
         raw = raw.withColumn(name, F.nullif(F.col(name), F.lit("***")))
+    # flags are Y or blank, some N too
+    for name in ("arrival_codeshare", "departure_codeshare", "suppression"):
+        raw = raw.withColumn(name, F.coalesce(F.col(name) == "Y", F.lit(False)))
     return raw.withColumn("minutes", hhmm_minutes(F.col("time"))).withColumn("serial", F.col("serial").try_cast("int"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value): line numbers rise within the file as Spark splits it."""
     return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+
+
+# The other records of the two formats.
+LEG |= {"variation_overflow": (128, 128), "owner": (129, 131), "cockpit_crew": (132, 134), "cabin_crew": (135, 137), "onward_airline": (138, 140), "onward_flight": (141, 144), "onward_layover": (145, 145), "onward_suffix": (146, 146), "disclosure": (149, 149), "restriction": (150, 160), "restriction_overflow": (161, 161), "configuration": (173, 192)}
+SCHEDULE_HEADER = {"title": (2, 35), "serial": (195, 200)}
+SEASON = {"time_mode": (2, 2), "airline": (3, 5), "from_date": (15, 21), "to_date": (22, 28), "serial": (195, 200)}
+SCHEDULE_TRAILER = {"airline": (3, 5), "check": (188, 193), "continuation": (194, 194), "serial": (195, 200)}
+RULE |= {"arrival_aircraft_type": (24, 26), "arrival_aircraft_body": (27, 27), "departure_aircraft_type": (28, 30), "departure_aircraft_body": (31, 31), "arrival_from": (46, 49), "arrival_to": (50, 53), "departure_from": (54, 57), "departure_to": (58, 61), "previous_state": (62, 63), "next_state": (64, 65), "previous_region": (66, 68), "next_region": (69, 71), "suppression_region": (88, 90), "suppression_country": (91, 92), "suppression_state": (93, 94), "filed": (97, 103)}
+RULE_HEADER = {"title": (2, 31), "creator": (32, 66), "date": (67, 73), "time": (74, 77), "content": (78, 78), "serial": (195, 200)}
+FILTER = {"submitter": (2, 3), "partners": (5, 194), "serial": (195, 200)}
+
+
+def schedule_records(lines: DataFrame) -> dict[str, DataFrame]:
+    """Header, season and trailer records of a schedule file by kind; an absent continuation is E."""
+    trailer = parse(lines, SCHEDULE_TRAILER, "5").withColumn("continuation", F.coalesce("continuation", F.lit("E")))
+    return {"header": parse(lines, SCHEDULE_HEADER, "1"), "season": parse(lines, SEASON, "2"), "trailer": trailer}
+
+
+def rule_filters(lines: DataFrame) -> DataFrame:
+    """(submitter, partner, serial) of the filter records of a rule file: partners are pieces of two bytes."""
+    raw = parse(lines.filter(F.substring("value", 194, 1) != "E"), FILTER, "3")
+    return raw.select("submitter", F.explode(chunks(F.rpad(F.coalesce("partners", F.lit("")), 190, " "), 2, 95)).alias("partner"), F.col("serial").try_cast("int").alias("serial"))
+
+
+def rule_file_errors(lines: DataFrame) -> DataFrame:
+    """(line_no, error): what is wrong with a rule file; no rows if nothing is. ``lines`` has (line_no, value), one file.
+
+    Every line has 200 bytes after a trailing CR; the header comes first with serial 1, then rules, filters, and the trailer
+    last; serials rise by one and the trailer tells the last; rules that ask for a filter need one filter record; a full
+    file has no actions, an updates file one on every rule. One file is one group of lines: files are small against tables.
+    """
+    v = F.regexp_replace("value", "\r$", "")
+    x = lines.select("line_no", v.alias("value"))
+    kind = F.substring("value", 1, 1)
+    x = x.withColumn("kind", F.when((kind == "3") & (F.substring("value", 194, 1) == "E"), "4").otherwise(kind)).withColumn("serial", F.trim(F.substring("value", 195, 6)).try_cast("int"))
+    w = Window.orderBy("line_no")
+    x = x.withColumn("_k", F.lag("kind").over(w)).withColumn("_s", F.lag("serial").over(w)).withColumn("_last", F.lead("kind").over(w).isNull())
+    whole = Window.partitionBy()
+    x = x.withColumn("_content", F.first(F.when(F.col("kind") == "1", F.substring("value", 78, 1)), ignorenulls=True).over(whole)).withColumn("_filters", F.count_if(F.col("kind") == "3").over(whole))
+    action = F.trim(F.substring("value", 104, 1))
+    order = F.when(F.col("_k").isNull(), F.col("kind") == "1").otherwise(F.col("kind").isin("2", "3", "4") & (F.col("kind") >= F.col("_k")) & (F.col("_k") != "4"))
+    checks = [
+        F.when(F.octet_length("value") != 200, "not 200 bytes"),
+        F.when(~order, "record out of order"),
+        F.when((F.col("kind") == "1") & ~F.col("serial").eqNullSafe(F.lit(1)), "header serial is not 1"),
+        F.when(F.col("kind").isin("2", "3") & ~F.col("serial").eqNullSafe(F.col("_s") + 1), "serial does not follow"),
+        F.when((F.col("kind") == "4") & ~F.col("serial").eqNullSafe(F.col("_s")), "trailer does not tell the last serial"),
+        F.when(F.col("_last") & (F.col("kind") != "4"), "no trailer"),
+        F.when((F.col("kind") == "2") & (F.substring("value", 11, 3) == "***") & (F.col("_filters") == 0), "no filter record"),
+        F.when((F.col("kind") == "2") & (F.col("_content") == "F") & (action != ""), "action in a full file"),
+        F.when((F.col("kind") == "2") & (F.col("_content") == "U") & ~action.isin("A", "D"), "no action in an updates file"),
+    ]
+    return x.select("line_no", F.explode(F.array_compact(F.array(*checks))).alias("error"))
