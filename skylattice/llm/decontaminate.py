@@ -30,6 +30,8 @@ ITEMS_PER_PASS = 100_000
 BYTES_PER_PASS = 64 << 20
 #: Bits of a shingle's hash that the first look at it takes.
 GLANCE = 22
+#: Words whose windows are fingerprinted at a time; a bound on memory, not on windows.
+WINDOWS = 4096
 _EDGE = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
@@ -40,10 +42,14 @@ def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return arrays.kgrams(words, min(n, len(words)))
 
 
-def simhash(grams: np.ndarray) -> int:
-    """64-bit SimHash, each shingle weighted by its count."""
-    bits = np.unpackbits(arrays.mix(grams).view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(2 * bits.sum(0) > len(grams)).view(np.uint64)[0])
+def simhashes(grams: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """64-bit SimHash of each window of ``size`` shingles, each shingle weighted by its count: from running sums of the bits."""
+    first, last = int(starts[0]), int(starts[-1]) + size
+    bits = np.unpackbits(arrays.mix(grams[first:last]).view(np.uint8).reshape(-1, 8), axis=1)
+    total = np.zeros((len(bits) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, out=total[1:])
+    ones = total[starts - first + size] - total[starts - first]
+    return np.packbits(2 * ones > size, axis=1).view(np.uint64).ravel()
 
 
 def weighted(a: Counter, b: Counter) -> float:
@@ -55,27 +61,26 @@ def weighted(a: Counter, b: Counter) -> float:
 class HammingIndex:
     """Fingerprints by the value of each block; ``within`` finds all of them within the radius."""
 
-    def __init__(self, prints: list[int]):
+    def __init__(self, prints: np.ndarray):
         self.prints = prints
-        self.blocks: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for i, p in enumerate(prints):
-            for b, table in enumerate(self.blocks):
-                table.setdefault(self._part(p, b), []).append(i)
+        # per block and value, which fingerprints have a block as near as the pigeonhole principle asks for
+        self.near = []
+        for b in range(BLOCKS):
+            value = np.arange(1 << _EDGE[b + 1] - _EDGE[b], dtype=np.uint64)
+            self.near.append(np.bitwise_count(value[:, None] ^ self._part(prints, b)[None, :]) <= RADIUS // BLOCKS)
 
     @staticmethod
-    def _part(p: int, b: int) -> int:
-        return p >> _EDGE[b] & (1 << _EDGE[b + 1] - _EDGE[b]) - 1
+    def _part(p: np.ndarray, b: int) -> np.ndarray:
+        return p >> np.uint64(_EDGE[b]) & np.uint64((1 << _EDGE[b + 1] - _EDGE[b]) - 1)
 
-    def within(self, p: int) -> list[int]:
-        found: set[int] = set()
-        for b, table in enumerate(self.blocks):
-            part = self._part(p, b)
-            near = {part}
-            for _ in range(RADIUS // BLOCKS):
-                near |= {x ^ 1 << i for x in near for i in range(_EDGE[b + 1] - _EDGE[b])}
-            for x in near:
-                found.update(table.get(x, ()))
-        return sorted(i for i in found if (self.prints[i] ^ p).bit_count() <= RADIUS)
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``prints``, which fingerprint) of all pairs within the radius."""
+        met = np.zeros((len(prints), len(self.prints)), bool)
+        for b, near in enumerate(self.near):
+            met |= near[self._part(prints, b).astype(np.int64)]
+        i, j = np.nonzero(met)
+        ok = np.bitwise_count(prints[i] ^ self.prints[j]) <= RADIUS
+        return i[ok], j[ok]
 
 
 class Benchmark:
@@ -91,14 +96,14 @@ class Benchmark:
             words = arrays.Words(raw, np.array([0, len(raw)]))
             g = shingles(words.hashes(lower=True))
             self.grams.append(Counter(g.tolist()))
-            prints.append(simhash(g) if len(g) else 0)
+            prints.append(simhashes(g, np.zeros(1, np.int64), len(g))[0] if len(g) else np.uint64(0))
             every.append(g)
             if len(words):
                 of.setdefault(len(words), []).append(n)
         self.lengths = sorted(of)
         self.n_words = {i: n for n, rows in of.items() for i in rows}
         self.items = of
-        self.index = {n: HammingIndex([prints[i] for i in rows]) for n, rows in of.items()}
+        self.index = {n: HammingIndex(np.array([prints[i] for i in rows], np.uint64)) for n, rows in of.items()}
         # by shingle width: shingles of that many words that occur in items (short items have their own width)
         self.known = {}
         for n in self.lengths:
@@ -138,12 +143,14 @@ class Benchmark:
             whole = n - w + 1
             size = min(whole, len(words) - w + 1)
             inside = hits[w][size:] - hits[w][:-size]
-            for start in np.flatnonzero(inside * (1 + SIMILARITY) >= SIMILARITY * (whole + size) - 1e-9).tolist():
-                g = grams[w][start : start + size]
-                own = None
-                for i in self.index[n].within(simhash(g)):
-                    item = self.items[n][i]
-                    own = own or Counter(g.tolist())
+            starts = np.flatnonzero(inside * (1 + SIMILARITY) >= SIMILARITY * (whole + size) - 1e-9)
+            at = np.searchsorted(starts, np.arange(0, len(words) + WINDOWS, WINDOWS))
+            for part in (starts[a:b] for a, b in zip(at[:-1], at[1:]) if a < b):
+                last, own = -1, None
+                for i, j in zip(*(x.tolist() for x in self.index[n].within(simhashes(grams[w], part, size)))):
+                    start, item = int(part[i]), self.items[n][j]
+                    if start != last:
+                        last, own = start, Counter(grams[w][start : start + size].tolist())
                     s = weighted(own, self.grams[item])
                     if s >= SIMILARITY - 1e-12 and s > found.get(item, (0.0, 0))[0]:
                         found[item] = s, start
