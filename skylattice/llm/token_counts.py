@@ -119,8 +119,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = common.documents(docs, id_col, text_col)
     pieces = common.stored(distinct_pretokens(docs, path).select("key", "n_tokens", "spread"))
-    # bounded: a top list of fixed length, 16 bytes an entry
-    top = pieces.orderBy(F.desc("spread"), "key").limit(WIDESPREAD).select("key", "n_tokens").toArrow()
+    # bounded: WIDESPREAD entries of 16 bytes
+    top = common.most_frequent(pieces, "spread", WIDESPREAD).select("key", "n_tokens").toArrow()
     keys = top["key"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
     table = spark.sparkContext.broadcast((keys[order], top["n_tokens"].to_numpy().astype(np.int32)[order]))
@@ -163,5 +163,6 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of every document; null texts count 0, repeated rows each for itself."""
     counted = count_tokens(common.table(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
