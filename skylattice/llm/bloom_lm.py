@@ -1,12 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-A count c is kept as its level 1 + floor(log2 c): the filter holds (n-gram, 1) .. (n-gram, level). A lookup
-probes level after level until one is missing. The filter is made of blocks; an n-gram's bits are all in the
-block of its leading hash bits, so that each block is built by one task from its own n-grams.
+A count is kept as its level, the number of thresholds that it reaches; these grow by a quarter of an octave. The
+filter holds (n-gram, 1) .. (n-gram, level). A lookup probes level after level until one is missing. The filter is
+made of blocks; an n-gram's bits are all in the block of its leading hash bits, so that each block is built by one
+task from its own n-grams.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,21 @@ BYTES_PER_BLOCK = 2 << 20
 BROADCAST_BYTES = 128 << 20
 #: Words of the exact count table that are broadcast; the others are joined.
 WIDESPREAD = 1 << 18
+#: Weight of the pair's share against the word's own.
 WEIGHT = 0.6
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
-LEVELS = 40
+
+
+def _thresholds() -> np.ndarray:
+    """1, 2, 3, 4, 5, 6, 8, 9, 11, ..: each the next whole number after 2**(1/4) times the one before, to the end of 64 bits."""
+    out = [1]
+    while out[-1] < 1 << 61:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * 2**0.25)))
+    return np.array(out, np.int64)
+
+
+THRESHOLDS = _thresholds()
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +82,13 @@ def _places(grams: np.ndarray, level: int, bits: np.ndarray) -> list[np.ndarray]
     return [(x + np.uint64(i) * y) % bits for i in range(PROBES)]
 
 
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(THRESHOLDS, counts, "right")
+
+
 def build_block(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Bytes of one block."""
-    level = 1 + np.floor(np.log2(counts)).astype(np.int64)
+    level = level_of(counts)
     size = np.uint64(max(64, int(level.sum()) * BITS_PER_ENTRY + 7 & ~7))
     bits = np.zeros(int(size), bool)
     for j in range(1, int(level.max(initial=0)) + 1):
@@ -97,7 +114,7 @@ class Filter:
         block = block_of(grams, self.n_blocks)
         out = np.zeros(len(grams), np.int64)
         live = np.flatnonzero(self.size[block] > 0)
-        for j in range(1, LEVELS):
+        for j in range(1, len(THRESHOLDS) + 1):
             if not len(live):
                 break
             b = block[live]
@@ -114,9 +131,14 @@ def block_of(grams: np.ndarray, n_blocks: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """The count a level stands for: 1 for 1, then the middle of its octave."""
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 0.75 * 2.0**level))
+def least(level: np.ndarray) -> np.ndarray:
+    """The smallest count of a level; 0 for none."""
+    return np.where(level > 0, THRESHOLDS[np.maximum(level, 1) - 1], 0).astype(np.float64)
+
+
+def most(level: np.ndarray) -> np.ndarray:
+    """The largest count of a level."""
+    return (np.append(THRESHOLDS, THRESHOLDS[-1] * 2)[level] - 1).astype(np.float64)
 
 
 def gather(docs: DataFrame, n_blocks: int) -> DataFrame:
@@ -168,9 +190,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``, from all of ``train``.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end. ``base_score`` uses exact counts. ``score`` is
-    log10 of 0.6 c(u,w)/c(u) + 0.4 c(w), from levels of the filter, the unigram share smoothed as in the base. A null or
-    empty text is its end alone. Repeated rows give a row each. Without training rows every token counts 0.
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end. ``base_score`` uses exact counts. ``score`` is the sum
+    of the log10 of ``probability``, from levels of the filter. A null or empty text is its end alone. Repeated rows give a
+    row each. Without training rows every token counts 0. Ids may be null or repeat; other columns play no part.
     """
     spark = docs.sparkSession
     docs = common.documents(docs, id_col, text_col)
@@ -188,7 +210,8 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
             held = 0
         passes[-1].append(b)
         held += n
-    top = counts.orderBy(F.desc("c"), "word").limit(WIDESPREAD).toArrow()
+    # bounded: WIDESPREAD entries of 16 bytes
+    top = common.most_frequent(counts, "c", WIDESPREAD).toArrow()
     word = top["word"].to_numpy().astype(np.int64)
     order = np.argsort(word)
     table = spark.sparkContext.broadcast((word[order], top["c"].to_numpy().astype(np.int64)[order]))
@@ -215,7 +238,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
 
     rows = docs.select("doc_id", "text", common.row_key("doc_id", "text").alias("k"))
     first = common.stored(rows.mapInArrow(read, "k long, doc_id long, n_tokens long, seen long, base double, words array<long>, freqs array<int>"))
-    if distinct > WIDESPREAD:
+    if distinct > len(word):
         # rows alike in id and text have the same rest: it is joined once
         rare = first.filter(F.size("words") > 0).dropDuplicates(["k", "doc_id"]).select("k", "doc_id", F.explode(F.arrays_zip("words", "freqs")).alias("x")).select("k", "doc_id", F.col("x.words").alias("word"), F.col("x.freqs").alias("f"))
         met = rare.join(counts, "word", "left")
@@ -243,28 +266,46 @@ def _broadcast(blocks: DataFrame, n_blocks: int, numbers: list[int] | None = Non
 
 
 def probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, scale: float) -> np.ndarray:
-    """Of each token, from the levels of its bigram, its context and itself."""
-    share = np.minimum(1.0, count_of(pair) / np.maximum(1.0, count_of(context)))
-    return WEIGHT * share + (1 - WEIGHT) * np.minimum(1.0, (count_of(word) + 0.5) / scale)
+    """Of each token after the one before it, from the levels of the two, the first and itself: a mixture of the pair's share
+    of its context and the word's smoothed share of all.
+
+    The pair counts with the least, its context with the most that its level stands for, and a word with the least: over all
+    words after one context the probabilities sum to at most 1, but for what the filter's false positives add.
+    """
+    share = np.where(context > 0, least(pair) / np.maximum(1.0, most(context)), 0.0)
+    return WEIGHT * np.minimum(1.0, share) + (1 - WEIGHT) * (least(word) + 0.5) / scale
+
+
+_filters: list[tuple[list, Filter]] = []
+
+
+def _filter(n_blocks: int, blocks: list[tuple[int, bytes]]) -> Filter:
+    """The filter of these blocks; tasks of one worker process that share a broadcast lay it out once."""
+    if not _filters or _filters[0][0] is not blocks:
+        _filters[:] = [(blocks, Filter(n_blocks, blocks))]
+    return _filters[0][1]
+
+
+def token_levels(own: Filter, tok: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Levels of each token's pair with the one before it, of that one, and of itself; 0 where the filter's part has none."""
+    kinds, place = np.unique(tok, return_inverse=True)
+    word = own.levels(unigram(kinds))[place]
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[at[:-1]] = own.levels(unigram(np.array([START])))[0]
+    return np.stack([own.levels(bigrams(tok, at)), context, word], 1)
 
 
 def _one_pass(rows: DataFrame, blocks: DataFrame, n_blocks: int, scale: float) -> DataFrame:
     shared = _broadcast(blocks, n_blocks)
-    own: list[Filter] = []
 
     def run(batches):
-        if not own:
-            own.append(Filter(n_blocks, shared.value))
+        own = _filter(n_blocks, shared.value)
         for batch in batches:
             for lo, hi, data, off in arrays.slices(batch.column(1)):
                 tok, at = tokens(data, off)
-                kinds, place = np.unique(tok, return_inverse=True)
-                word = own[0].levels(unigram(kinds))[place]
-                start = own[0].levels(unigram(np.array([START])))[0]
-                context = np.empty_like(word)
-                context[1:] = word[:-1]
-                context[at[:-1]] = start
-                p = probability(own[0].levels(bigrams(tok, at)), context, word, scale)
+                level = token_levels(own, tok, at)
+                p = probability(level[:, 0], level[:, 1], level[:, 2], scale)
                 total = np.bincount(np.repeat(np.arange(hi - lo), np.diff(at)), np.log10(p), hi - lo).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), pa.array(total)], ["k", "doc_id", "score"])
 
@@ -272,41 +313,46 @@ def _one_pass(rows: DataFrame, blocks: DataFrame, n_blocks: int, scale: float) -
 
 
 def _in_parts(rows: DataFrame, blocks: DataFrame, n_blocks: int, scale: float, passes: list[list[int]]) -> DataFrame:
-    """Each pass adds the levels that its part of the filter knows: three bytes a token, written between passes."""
-    held = rows.dropDuplicates(["k", "doc_id"]).select("doc_id", "text", "k", F.lit(None).cast("binary").alias("levels"))
-    for numbers in passes:
+    """Each pass reads the documents and writes the levels that its part of the filter knows: three bytes a token, mostly 0.
+
+    An n-gram is in one part, so the levels of all passes add up to those of the whole filter.
+    """
+    parts = None
+    for i, numbers in enumerate(passes):
         shared = _broadcast(blocks, n_blocks, numbers)
 
-        def run(batches, shared=shared):
-            own = Filter(n_blocks, shared.value)
+        def run(batches, shared=shared, i=i):
+            own = _filter(n_blocks, shared.value)
             for batch in batches:
                 for lo, hi, data, off in arrays.slices(batch.column(1)):
                     tok, at = tokens(data, off)
-                    now = np.stack([own.levels(bigrams(tok, at)), own.levels(unigram(contexts(tok, at))), own.levels(unigram(tok))], 1).astype(np.uint8)
-                    out = []
-                    for d in range(hi - lo):
-                        mine, before = now[at[d] : at[d + 1]], batch.column(3)[lo + d].as_py()
-                        out.append((mine if before is None else mine + np.frombuffer(before, np.uint8).reshape(-1, 3)).tobytes())
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in (0, 1, 2)], pa.array(out, pa.binary())], ["doc_id", "text", "k", "levels"])
+                    now = token_levels(own, tok, at).astype(np.uint8)
+                    out = [now[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), pa.array([i] * (hi - lo), pa.int32()), pa.array(out, pa.binary())], ["k", "doc_id", "pass", "levels"])
 
-        held = common.stored(held.mapInArrow(run, "doc_id long, text string, k long, levels binary"))
+        part = common.stored(rows.mapInArrow(run, "k long, doc_id long, pass int, levels binary"))
+        parts = part if parts is None else parts.union(part)
 
     def total(batches):
         for batch in batches:
             scores = []
-            for x in batch.column(2).to_pylist():
-                level = np.frombuffer(x, np.uint8).reshape(-1, 3).astype(np.int64)
+            for each in batch.column(2).to_pylist():
+                level = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in each).reshape(-1, 3)
                 scores.append(float(np.log10(probability(level[:, 0], level[:, 1], level[:, 2], scale)).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["k", "doc_id", "score"])
 
-    return held.select("k", "doc_id", "levels").mapInArrow(total, "k long, doc_id long, score double")
+    # rows alike in id and text have the same levels: one set of them per pass
+    whole = parts.groupBy("k", "doc_id").agg(F.collect_set(F.struct("pass", "levels")).alias("x")).select("k", "doc_id", F.transform("x", lambda x: x["levels"]).alias("x"))
+    return whole.mapInArrow(total, "k long, doc_id long, score double")
 
 
 def held_out():
+    """Whether the remainder of the id's checksum holds a document out; false for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, by a model of all that are not held out."""
     docs = common.table(spark, sf_dir, "documents")
     scored = score(docs, docs.filter(~held_out()))
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

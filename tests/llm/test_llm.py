@@ -258,32 +258,66 @@ def _base(rows, train):
         yield d, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)
 
 
-@pytest.mark.parametrize("top,part", [(1 << 18, 1 << 27), (100, 1 << 12)])
-def test_bloom_lm(spark, monkeypatch, top, part):
-    monkeypatch.setattr(bloom_lm, "WIDESPREAD", top)
-    monkeypatch.setattr(bloom_lm, "BROADCAST_BYTES", part)
-    monkeypatch.setattr(bloom_lm, "BYTES_PER_BLOCK", 1 << 17)
-    got = registry.QUERIES["op10_bloom_lm"](spark, SF).collect()
+def _model(rows, train):
+    """The score with exact counts in place of the filter's levels."""
+    pair, word = Counter(), Counter()
+    for _, t in train:
+        w = [None, *words(t, lower=True), 0]
+        word.update(w)
+        pair.update(zip(w, w[1:]))
+    n, v = sum(c for w, c in word.items() if w is not None), len([w for w in word if w is not None])
+    steps = bloom_lm.THRESHOLDS.tolist()
+    low = lambda c: max([s for s in steps if s <= c], default=0)
+    high = lambda c: min(s for s in steps if s > c) - 1
+    p = lambda u, w: bloom_lm.WEIGHT * (min(1, low(pair[u, w]) / max(1, high(word[u]))) if word[u] else 0) + (1 - bloom_lm.WEIGHT) * (low(word[w]) + 0.5) / (n + 0.5 * (v + 1))
+    score = {d: sum(math.log10(p(u, w)) for u, w in zip(x, x[1:])) for d, t in rows for x in [[None, *words(t, lower=True), 0]]}
+    sums = [sum(p(u, w) for w in {*word, "unseen"} - {None}) for u in [*list(word)[:40], "unseen"]]
+    return score, sums
+
+
+def test_bloom_lm(spark, monkeypatch):
     train = [r for r in real() if zlib.crc32(str(r[0]).encode()) % 5 != 1]
-    same([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], list(_base(real(), train)))
+    want, sums = _model(real(), train)
+    assert max(sums) <= 1 + 1e-9
+    scores = []
+    for top, part in ((1 << 18, 1 << 27), (100, 1 << 14)):
+        monkeypatch.setattr(bloom_lm, "WIDESPREAD", top)
+        monkeypatch.setattr(bloom_lm, "BROADCAST_BYTES", part)
+        monkeypatch.setattr(bloom_lm, "BYTES_PER_BLOCK", 1 << 17)
+        got = registry.QUERIES["op10_bloom_lm"](spark, SF).collect()
+        same([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], list(_base(real(), train)))
+        scores.append({r.doc_id: r.score for r in got})
+        # the filter's false positives raise a few levels
+        assert np.mean([abs(scores[-1][d] - x) <= 0.03 * abs(x) for d, x in want.items()]) > 0.95
+        more = bloom_lm.score(odd(spark), odd(spark)).collect()
+        same([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in more], list(_base(ODD, ODD)))
+    assert all(abs(scores[0][d] - scores[1][d]) < 1e-6 for d in scores[0])
     held = [r for r in got if r.held_out]
     assert all(r.score <= 0 for r in got) and sum(r.score for r in held) > sum(r.base_score for r in held)
-    more = bloom_lm.score(odd(spark), odd(spark)).collect()
-    same([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in more], list(_base(ODD, ODD)))
     assert bloom_lm.score(odd(spark), odd(spark).limit(0)).filter("n_known > 0 or train_tokens > 0").count() == 0
 
 
 def test_bloom_levels_never_fall_short():
     rng = np.random.default_rng(5)
     grams, counts = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(1, 5000, 5000)
+    counts[0] = 1 << 55
     blocks = bloom_lm.block_of(grams, 4)
     own = bloom_lm.Filter(4, [(b, bloom_lm.build_block(grams[blocks == b], counts[blocks == b]).tobytes()) for b in range(4)])
     level = own.levels(grams)
-    want = 1 + np.floor(np.log2(counts)).astype(int)
+    want = bloom_lm.level_of(counts)
+    assert (bloom_lm.least(want) <= counts).all() and (bloom_lm.most(want) >= counts).all() and (bloom_lm.least(want) * 1.26 + 1 >= counts).all()
     assert (level >= want).all() and (level == want).mean() > 0.95
     assert (own.levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.05
 
 
+def test_most_frequent(spark):
+    rows = [(i, 1 + i % 100) for i in range(1000)]
+    df = spark.createDataFrame(rows, "w long, c long")
+    got = [r.c for r in common.most_frequent(df, "c", 200).collect()]
+    assert 100 <= len(got) <= 200 and Counter(got) == Counter(c for _, c in rows if c >= min(got))
+    assert common.most_frequent(df, "c", 3).count() == 0 and common.most_frequent(df, "c", 5000).count() == 1000
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 200)] + [(500, 501), (501, 501), (502, 500)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
