@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-A count is kept as its level, the number of thresholds that it reaches; these grow by a quarter of an octave. The
+A count is kept as its level, the number of thresholds that it reaches; these grow by half an octave. The
 filter holds (n-gram, 1) .. (n-gram, level). A lookup probes level after level until one is missing. The filter is
 made of blocks; an n-gram's bits are all in the block of its leading hash bits, so that each block is built by one
 task from its own n-grams.
@@ -33,10 +33,10 @@ START = np.uint64(0x14057B7EF767814F)
 
 
 def _thresholds() -> np.ndarray:
-    """1, 2, 3, 4, 5, 6, 8, 9, 11, ..: each the next whole number after 2**(1/4) times the one before, to the end of 64 bits."""
+    """1, 2, 3, 5, 8, 12, ..: each the next whole number from 2**(1/2) times the one before, to the end of 64 bits."""
     out = [1]
     while out[-1] < 1 << 61:
-        out.append(max(out[-1] + 1, math.ceil(out[-1] * 2**0.25)))
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * 2**0.5)))
     return np.array(out, np.int64)
 
 
