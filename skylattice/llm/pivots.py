@@ -1,7 +1,8 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Every vector is described by its nearest pivots in order. An inverted list holds the vectors of a label that
-have two given pivots among their nearest ones; vectors that meet in enough lists share enough pivots to be
+Every vector is described by its nearest pivots in order, the nearest first. An inverted list holds the vectors of
+a label that have two given pivots among their nearest ones, each with the places of the two in its order. Two vectors
+of a list share these pivots if they have them at nearly the same places; vectors that share enough pivots are
 candidates, and the exact cosine decides.
 """
 
@@ -22,8 +23,10 @@ COSINE = 0.98
 NEAREST = 8
 #: Pivots that two vectors share at least to be compared.
 SHARED = 3
+#: How far apart the places of a shared pivot in two orders may be.
+SHIFT = 4
 #: Pivots: one per VECTORS_PER_PIVOT vectors within these bounds; they are a sample of the vectors themselves.
-PIVOTS = (64, 4096)
+PIVOTS = (64, 16_384)
 VECTORS_PER_PIVOT = 16
 
 
@@ -42,8 +45,8 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def lists_of(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """(c, label, key): the inverted lists that each vector is in, one per two of its nearest pivots."""
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # bounded: PIVOTS[1] rows
+    """(c, label, key, i, j): the inverted lists that each vector is in, one per two of its nearest pivots, and their places."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots.astype(np.float32))  # bounded: PIVOTS[1] rows
     near = min(nearest, len(pivots))
     two = list(combinations(range(near), 2)) or [(0, 0)]
 
@@ -51,17 +54,22 @@ def lists_of(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
         p = shared.value
         left, right = np.array([i for i, _ in two]), np.array([j for _, j in two])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 x = matrix(part.column(2))
                 x /= np.abs(x).max(1, keepdims=True)
-                close = x @ p.T
-                top = np.sort(np.argpartition(-close, near - 1, axis=1)[:, :near], axis=1)
-                key = top[:, left].astype(np.int64) * len(p) + top[:, right]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), arrays.list_array(pa.array(key.ravel()), np.arange(part.num_rows + 1) * len(two))], ["c", "label", "keys"])
+                close = x.astype(np.float32) @ p.T
+                top = np.argpartition(-close, near - 1, axis=1)[:, :near]
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable"), 1)
+                a, b = top[:, left].astype(np.int64), top[:, right].astype(np.int64)
+                turned = a > b  # a list is named by its pivots, the smaller number first
+                key = np.where(turned, b, a) * len(p) + np.where(turned, a, b)
+                i, j = np.where(turned, right, left), np.where(turned, left, right)
+                off = np.arange(part.num_rows + 1) * len(two)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), arrays.list_array(pa.array(key.ravel()), off), arrays.list_array(pa.array(i.ravel().astype(np.int32)), off), arrays.list_array(pa.array(j.ravel().astype(np.int32)), off)], ["c", "label", "keys", "is", "js"])
 
-    listed = vectors.select("c", "label", "v").mapInArrow(run, "c long, label long, keys array<long>")
-    return listed.select("c", "label", F.explode("keys").alias("key"))
+    listed = vectors.select("c", "label", "v").mapInArrow(run, "c long, label long, keys array<long>, is array<int>, js array<int>")
+    return listed.select("c", "label", F.explode(F.arrays_zip("keys", "is", "js")).alias("x")).select("c", "label", F.col("x.keys").alias("key"), F.col("x.is").alias("i"), F.col("x.js").alias("j"))
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
@@ -94,7 +102,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         p = p / np.linalg.norm(p / np.abs(p).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(p).max(1, keepdims=True)
         lists = common.stored(lists_of(own, p, nearest))
         need = min(shared, len(p))
-        meet = lists.alias("l").join(lists.alias("r"), (F.col("l.label") == F.col("r.label")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.c") < F.col("r.c")))
+        meet = lists.alias("l").join(lists.alias("r"), (F.col("l.label") == F.col("r.label")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.c") < F.col("r.c")) & (F.abs(F.col("l.i") - F.col("r.i")) <= SHIFT) & (F.abs(F.col("l.j") - F.col("r.j")) <= SHIFT))
         # s shared pivots meet in s (s - 1) / 2 lists
         pairs = meet.groupBy(F.col("l.c").alias("a"), F.col("r.c").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= max(1, need * (need - 1) // 2)).select("a", "b")
         part = _verified(pairs, own, cosine)
@@ -128,4 +136,5 @@ def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
 
 
 def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of ``embeddings``."""
     return near_vectors(common.table(spark, sf_dir, "embeddings"))

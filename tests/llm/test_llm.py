@@ -168,6 +168,39 @@ def test_pivots_recall_and_results(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("dense", [False, True])
+def test_pivots_recall_at_64_dimensions(spark, dense):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(20, 64))
+    rows = []
+    for i in range(1200):
+        base = centre[i % 20] + rng.normal(size=64) * 0.35 if dense else rng.normal(size=64)
+        for j in range(1 + i % 2):  # the second at about the limit
+            rows.append((len(rows), (base + j * rng.normal(size=64) * 0.19 * np.linalg.norm(base) / 8).tolist(), i % 3))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    met = np.triu(x @ x.T >= 0.98, 1) & (label[:, None] == label[None, :])
+    got = pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert met.sum() > 200 and met.sum() * 0.9 <= sum(r.n_links for r in got) / 2 <= met.sum()
+
+
+def test_pivots_query_and_ties(spark):
+    rows = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{SF}/embeddings.parquet'").fetchall()
+    v = np.array([r[1] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([-1 if r[2] is None else r[2] for r in rows])
+    met = np.triu(v @ v.T >= 0.98, 1) & (label[:, None] == label[None, :]) & (label >= 0)
+    got = {r.vec_id: r for r in registry.QUERIES["op4_pivots"](spark, SF).collect()}
+    assert len(got) == len(rows) and sum(r.n_links for r in got.values()) / 2 <= met.sum()
+    part = groups([r[0] for r in rows], [(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(met))])
+    assert np.mean([got[i].component_id == part[i] for i in part]) >= 0.9
+    # one vector for all ids, one row twice, the id of another vector once more
+    same_ = [(i, [1.0, 2.0, 3.0], 1) for i in range(50)] + [(7, [1.0, 2.0, 3.0], 1), (7, [-3.0, 1.0, 0.5], 1)]
+    out = pivots.near_vectors(spark.createDataFrame(same_, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter((r.n_links, r.component_id) for r in out) == {(50, 0): 51, (0, 7): 1}
+
+
 def test_minhash(spark):
     same(registry.QUERIES["op9_minhash"](spark, SF).collect(), near(real()))
     odd_rows = [r for r in ODD if r[0] is not None]
@@ -305,7 +338,7 @@ def test_bloom_levels_never_fall_short():
     own = bloom_lm.Filter(4, [(b, bloom_lm.build_block(grams[blocks == b], counts[blocks == b]).tobytes()) for b in range(4)])
     level = own.levels(grams)
     want = bloom_lm.level_of(counts)
-    assert (bloom_lm.least(want) <= counts).all() and (bloom_lm.most(want) >= counts).all() and (bloom_lm.least(want) * 1.26 + 1 >= counts).all()
+    assert (bloom_lm.least(want) <= counts).all() and (bloom_lm.most(want) >= counts).all() and (bloom_lm.least(want) * 1.42 + 1 >= counts).all()
     assert (level >= want).all() and (level == want).mean() > 0.95
     assert (own.levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.05
 
