@@ -1,7 +1,8 @@
 """Substring dedup of words: passages of 35 words or more that recur, found by sharded Aho-Corasick automata.
 
-Contexts of recurring anchors (see ``repeats``) are dealt into shards. A shard confirms which 35-word windows recur,
-joins them into passages, compiles one automaton of the passages and streams its texts through it to locate them.
+The windows of contexts of recurring anchors (see ``repeats``) are counted over all tasks, which confirms those that
+recur. The contexts are dealt into shards. A shard joins its confirmed windows into passages, compiles one automaton
+of them and streams its texts through it to locate them.
 """
 
 from __future__ import annotations
@@ -20,37 +21,55 @@ WINDOW = 35
 ANCHOR = 14
 
 
-def passages(groups: list[list[tuple[bytes, int, int]]], window: int) -> set[bytes]:
-    """Confirmed passages of a shard: in each context the span of its windows that recur in the shard's contexts."""
-    contexts = [c for g in groups for c in g]
-    data = np.frombuffer(b"".join(c[0] for c in contexts), np.uint8)
-    off = np.concatenate([[0], np.cumsum([len(c[0]) for c in contexts])])
-    words = arrays.Words(data, off)
-    f = arrays.kgrams(words.hashes(lower=False), window)
-    doc = np.searchsorted(words.off, np.arange(len(f)), "right") - 1
-    inside = words.off[doc + 1] >= np.arange(len(f)) + window
-    place, doc = np.flatnonzero(inside), doc[inside]
-    copies = np.array([c[2] for c in contexts])
-    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])[doc]
-    distance = np.array([c[1] for c in contexts])[doc] - (place - words.off[doc])
-    # another context of the anchor has the window at the same distance, or this one has copies
-    _, kind = np.unique(arrays.mix(f[inside] + arrays.mix((group * 1_000_003 + distance).astype(np.uint64))), return_inverse=True)
-    recurs = np.bincount(kind, copies[doc])[kind] > 1
-    place, doc = place[recurs], doc[recurs]
-    found: set[bytes] = set()
-    if len(place):
-        edge = np.flatnonzero(np.append(True, (np.diff(place) > 1) | (np.diff(doc) > 0)))
-        last = np.append(edge[1:], len(place)) - 1
-        for a, b in zip(place[edge], place[last] + window - 1):
-            found.add(data[words.start[a] : words.end[b]].tobytes())
-    return found
-
-
-def located(groups: list[list[tuple[bytes, int, int]]], window: int = WINDOW) -> list[list[list[tuple[int, int]]]]:
-    """For each context (content, before, copies) the spans of words that recurring passages cover."""
-    known = passages(groups, window)
+def recurring(cuts: DataFrame, plan: repeats.Plan) -> DataFrame:
+    """(anchor, x, before, content, left, right, alone) of the contexts without a copy that may hold recurring windows.
+
+    What recurs is counted over all tasks, the same way for every number of contexts. First the anchor with half of what
+    a window adds to it, on either side; then the windows of the sides (``left``, ``right``) that recur. Only what is of
+    one place is told to its context: ``alone`` are the windows of these sides that do not recur.
+    """
+    sides = cuts.select("anchor", "x", "copies", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("h")), F.struct(F.lit(1).alias("side"), F.col("r").alias("h")))).alias("s")).select("anchor", "x", "copies", "s.*").filter("h is not null")
+    single = sides.groupBy("anchor", "side", "h").agg(F.sum("copies").alias("n"), F.min("x").alias("x")).filter("n = 1")
+    single = single.groupBy("anchor", "x").agg(F.max(F.col("side") == 0).alias("no_l"), F.max(F.col("side") == 1).alias("no_r"))
+    ok = lambda side: (F.col(side).isNotNull() & ~F.coalesce(f"no_{side}", F.lit(False)))
+    live = cuts.join(single, ["anchor", "x"], "left").select("anchor", "x", "before", "content", "copies", ok("l").alias("left"), ok("r").alias("right")).filter("left or right")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, x, before, copies, left, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "x", "before", "copies", "left", "right"))
+            for lo, hi, data, off in arrays.slices(batch.column("content")):
+                words = arrays.Words(data, off)
+                f = arrays.kgrams(words.hashes(lower=False), plan.window)
+                at = np.arange(len(f))
+                doc = np.searchsorted(words.off, at, "right") - 1
+                inside = words.off[doc + 1] >= at + plan.window
+                at, doc = at[inside], doc[inside]
+                s = at - words.off[doc]
+                doc = doc + lo
+                distance = before[doc] - s
+                use = np.where(distance >= plan.left, left[doc], right[doc]).astype(bool)
+                doc, s, f = doc[use], s[use], arrays.mix(f[at[use]] + arrays.mix(distance[use].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[doc]), pa.array(x[doc]), pa.array(copies[doc]), pa.array(s.astype(np.int32)), pa.array(f.view(np.int64))], ["anchor", "x", "copies", "s", "f"])
+
+    every = live.mapInArrow(windows, "anchor long, x long, copies long, s int, f long")
+    alone = every.groupBy("anchor", "f").agg(F.sum("copies").alias("n"), F.min("x").alias("x"), F.min("s").alias("s")).filter("n = 1")
+    alone = alone.groupBy("anchor", "x").agg(F.collect_list("s").alias("alone"))
+    return live.join(alone, ["anchor", "x"], "left").filter("copies = 1").select("anchor", "x", "before", "content", "left", "right", "alone")
+
+
+def located(contexts: list[tuple[bytes, int, bool, bool, list[int] | None]], plan: repeats.Plan) -> list[list[tuple[int, int]]]:
+    """For each context (content, before, left, right, alone) of a shard the spans of words that the shard's passages cover.
+
+    A passage is what the recurring windows of a context cover: they all hold its anchor, so that is one run of words.
+    """
+    known: set[bytes] = set()
+    for content, before, left, right, alone in contexts:
+        words, gone = content.split(b" "), set(alone or ())
+        own = [s for s in range(len(words) - plan.window + 1) if (left if before - s >= plan.left else right) and s not in gone]
+        if own:
+            known.add(b" ".join(words[own[0] : own[-1] + plan.window]))
     if not known:
-        return [[[] for _ in g] for g in groups]
+        return [[] for _ in contexts]
     # words are set off by one space at both ends, so that no match begins or ends inside a word
     machine = ahocorasick.Automaton()
     for p in known:
@@ -58,18 +77,32 @@ def located(groups: list[list[tuple[bytes, int, int]]], window: int = WINDOW) ->
         machine.add_word(text, len(text))
     machine.make_automaton()
     out = []
-    for group in groups:
-        own = []
-        for content, _, _ in group:
-            text = f" {content.decode('utf-8', 'surrogateescape')} "
-            own.append([])
-            for first, last in repeats.merged([(end - n + 1, end) for end, n in machine.iter(text)], len(text)):
-                a = text.count(" ", 0, first)
-                own[-1].append((a, a + text.count(" ", first, last)))
-        out.append(own)
+    for content, *_ in contexts:
+        text = f" {content.decode('utf-8', 'surrogateescape')} "
+        out.append([])
+        for first, last in repeats.merged([(end - n + 1, end) for end, n in machine.iter(text)], len(text)):
+            a = text.count(" ", 0, first)
+            out[-1].append((a, a + text.count(" ", first, last)))
     return out
 
 
+def passage_spans(docs: DataFrame, plan: repeats.Plan) -> DataFrame:
+    """(k, spans array<struct<a, b>>) of the rows of ``docs`` (k, text) that hold recurring windows, in words."""
+    seats, whole, _, cuts = repeats.contexts(docs, plan)
+    told = recurring(common.stored(cuts.select("anchor", "x", "before", "content", "copies", "l", "r")), plan)
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["anchor", "x", "content", "before", "left", "right", "alone"]
+            rows = list(zip(*(batch.column(c).to_pylist() for c in names)))
+            found = [(r[0], r[1], *s) for r, own in zip(rows, located([r[2:] for r in rows], plan)) for s in own]
+            c = list(zip(*found)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["anchor", "x", "a", "b"])
+
+    # a shard is a batch of contexts of one anchor or several, each automaton as large as a batch
+    return repeats.spread(seats, whole.union(told.mapInArrow(locate, "anchor long, x long, a int, b int")))
+
+
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, extra: list[str] | None = None) -> DataFrame:
     """(doc_id, *extra, n_words, n_removed, spans, kept string) of each row: words covered by a recurring window go.
 
@@ -78,7 +111,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts have no words; texts shorter than a window stay whole. A row given twice repeats itself.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), *[docs[c] for c in extra or []], docs[text_col].cast("string").alias("text")).withColumn("k", common.row_key("doc_id", "text"))
-    found = repeats.find_spans(rows.select("k", "text"), repeats.Plan(repeats.WordUnits, window, min(ANCHOR, window)), lambda g: located(g, window))
+    found = passage_spans(rows.select("k", "text"), repeats.Plan(repeats.WordUnits, window, min(ANCHOR, window)))
     names = ["doc_id", *(extra or [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

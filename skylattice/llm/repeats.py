@@ -4,7 +4,7 @@ Every window holds an *anchor*: the k-gram of units with the smallest hash in it
 anchors at the same distance. Anchors that occur twice are cut out with the units on both sides that a window around them may reach.
 Such *contexts* meet by anchor, equal ones as one with a count. A window recurs if another context of its anchor, or a
 copy of its own, has it at the same distance from the anchor: those are different places, whereas contexts of one text
-overlap. A detector finds the recurring windows of each group of contexts; the spans they cover go back to the rows.
+overlap. The operators find the recurring windows of the contexts; the spans they cover go back to the rows.
 """
 
 from __future__ import annotations
@@ -54,6 +54,9 @@ class Plan:
 
     def __init__(self, units: type, window: int, anchor: int):
         self.units, self.window, self.anchor = units, window, anchor
+        # a window has ``left`` units or more before its anchor, or ``right`` or more behind it
+        self.left = (window - anchor + 1) // 2
+        self.right = window - anchor - self.left + 1
 
     def anchors(self, u) -> tuple[np.ndarray, np.ndarray]:
         """(unit place, hash) of the anchors of a slice; of equal hashes in a window the first counts."""
@@ -74,11 +77,12 @@ class Plan:
         return at, g[at]
 
 
-def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
-    """(k, spans array<struct<a, b>>): unit spans of the row with key k that recurring windows cover; they may overlap.
+def contexts(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(seats, whole, open, cuts) of ``docs``, which has (k, text).
 
-    ``docs`` has (k, text). ``detect(groups)`` takes lists of (content, units before the anchor, copies) that share an
-    anchor and gives for each context the covered spans (first, last + 1) in units.
+    ``seats`` are all anchors with their place and the hash ``x`` of their context; ``whole`` the spans of contexts with
+    copies, whose windows all recur; ``open`` the contexts that must be compared, because the anchor has several and one
+    of them has no copy; ``cuts`` these with their content, and with hashes of the anchor and what is on its left or right.
     """
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +100,11 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
     # every anchor, and a hash of its context; texts stay where they are
     seats = common.stored(docs.select("k", "text").mapInArrow(anchor, "k long, at long, anchor long, x long, before int, units int"))
     # contexts of one hash are equal: the place of any of them serves
-    kinds = seats.groupBy("anchor", "x").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("k", "at", "before", "units")])
+    kinds = seats.groupBy("anchor", "x").agg(F.count("*").alias("copies"), F.min(F.struct("k", "at", "before", "units")).alias("y")).select("anchor", "x", "copies", "y.*")
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("size"), F.min("copies").alias("fewest")).filter("size > 1 or fewest > 1")
     kinds = common.stored(kinds.join(sizes, "anchor").select("anchor", "x", "copies", "k", "at", "before", "units", "size", "fewest"))
     # all windows of a context with copies recur; the bytes are needed where another context is of one place only
-    whole = kinds.filter("copies > 1").select("anchor", "x", F.lit(0).alias("a"), F.col("units").alias("b"), "before")
+    whole = kinds.filter("copies > 1").select("anchor", "x", F.lit(0).alias("a"), F.col("units").alias("b"))
     open_ = kinds.filter("size > 1 and fewest = 1")
     fields = ["at", "anchor", "x", "before", "units", "copies", "size"]
     places = open_.groupBy("k").agg(F.collect_list(F.struct(*fields)).alias("p"))
@@ -114,12 +118,32 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
                     first = int(u.off[d])
                     for p in batch.column(2)[lo + d].as_py():
                         a = first + p["at"] - p["before"]
-                        rows.append((p["anchor"], p["x"], p["before"], u.content(a, a + p["units"]), p["copies"], p["size"]))
+                        rows.append((p["anchor"], p["x"], p["before"], u.content(a, a + p["units"]), p["copies"], p["size"], first + p["at"], p["units"]))
                 if rows:
                     c = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int64())], ["anchor", "x", "before", "content", "copies", "size"])
+                    at, before, units = np.array(c[6]), np.array(c[2]), np.array(c[7])
+                    short = before < plan.left, units - before < plan.anchor + plan.right
+                    l = arrays.span_hashes(u.hashes, np.where(short[0], at, at - plan.left), at + plan.anchor)
+                    r = arrays.span_hashes(u.hashes, at, np.where(short[1], at, at + plan.anchor + plan.right))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int64()), pa.array(l.view(np.int64), mask=short[0]), pa.array(r.view(np.int64), mask=short[1])], ["anchor", "x", "before", "content", "copies", "size", "l", "r"])
+
+    cuts = docs.select("k", "text").join(places, "k").select("k", "text", "p").mapInArrow(cut, "anchor long, x long, before int, content binary, copies long, size long, l long, r long")
+    return seats, whole, open_, cuts
+
+
+def spread(seats: DataFrame, hit: DataFrame) -> DataFrame:
+    """(k, spans array<struct<a, b>>): the spans ``hit`` (anchor, x, a, b) of contexts, told to all rows that have them."""
+    spans = seats.join(hit, ["anchor", "x"]).select("k", (F.col("at") - F.col("before") + F.col("a")).alias("a"), (F.col("at") - F.col("before") + F.col("b")).alias("b"))
+    return spans.groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
-    cuts = docs.select("k", "text").join(places, "k").select("k", "text", "p").mapInArrow(cut, "anchor long, x long, before int, content binary, copies long, size long")
+
+def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
+    """(k, spans array<struct<a, b>>): unit spans of the row with key k that recurring windows cover; they may overlap.
+
+    ``docs`` has (k, text). ``detect(groups)`` takes lists of (content, units before the anchor, copies) that share an
+    anchor and gives for each context the covered spans (first, last + 1) in units.
+    """
+    seats, whole, open_, cuts = contexts(docs, plan)
 
     def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[list[tuple]] = []
@@ -128,9 +152,9 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
         def out():
             rows = []
             for group, spans in zip(groups, detect([[g[2:] for g in group] for group in groups])):
-                rows += [(g[0], g[1], *s, g[3]) for g, own in zip(group, spans) if g[4] == 1 for s in own]
-            c = list(zip(*rows)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32())], ["anchor", "x", "a", "b", "before"])
+                rows += [(g[0], g[1], *s) for g, own in zip(group, spans) if g[4] == 1 for s in own]
+            c = list(zip(*rows)) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], ["anchor", "x", "a", "b"])
 
         for batch in batches:
             for h, x, before, content, copies in zip(*(c.to_pylist() for c in batch.columns)):
@@ -145,7 +169,7 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
         if groups:
             yield out()
 
-    result = "anchor long, x long, a int, b int, before int"
+    result = "anchor long, x long, a int, b int"
     crowded = open_.filter(f"size > {GROUP}").limit(1).count() > 0
     if crowded:
         cuts = common.stored(cuts)
@@ -153,9 +177,7 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
     hit = whole.union(near)
     if crowded:
         hit = hit.union(_crowded(cuts.filter(f"size > {GROUP}"), open_.filter(f"size > {GROUP}"), plan))
-    hit = hit.select("anchor", "x", "a", "b")
-    spans = seats.join(hit, ["anchor", "x"]).select("k", (F.col("at") - F.col("before") + F.col("a")).alias("a"), (F.col("at") - F.col("before") + F.col("b")).alias("b"))
-    return spans.groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return spread(seats, hit.select("anchor", "x", "a", "b"))
 
 
 def _crowded(cuts: DataFrame, contexts: DataFrame, plan: Plan) -> DataFrame:
@@ -176,9 +198,9 @@ def _crowded(cuts: DataFrame, contexts: DataFrame, plan: Plan) -> DataFrame:
     alone = every.groupBy("anchor", "d", "f").agg(F.sum("copies").alias("n"), F.min("x").alias("x"), F.min("s").alias("s")).filter("n = 1")
     alone = alone.groupBy("anchor", "x").agg(F.collect_list("s").alias("alone"))
     left = F.array_except(F.sequence(F.lit(0), F.col("units") - plan.window), F.coalesce("alone", F.array().cast("array<int>")))
-    single = contexts.filter(f"copies = 1 and units >= {plan.window}").select("anchor", "x", "before", "units")
+    single = contexts.filter(f"copies = 1 and units >= {plan.window}").select("anchor", "x", "units")
     held = single.join(alone, ["anchor", "x"], "left").withColumn("left", left).filter("size(left) > 0")
-    return held.select("anchor", "x", F.array_min("left").alias("a"), (F.array_max("left") + plan.window).alias("b"), "before")
+    return held.select("anchor", "x", F.array_min("left").alias("a"), (F.array_max("left") + plan.window).alias("b"))
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:

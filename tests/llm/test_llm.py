@@ -38,14 +38,23 @@ def same(got, want):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("group", [2000, 1])
-def test_phrases(spark, monkeypatch, group):
-    monkeypatch.setattr(repeats, "GROUP", group)
+def test_phrases(spark):
     same(registry.QUERIES["op1_phrases"](spark, SF).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), phrases(real()))
     cut = P.remove_passages(odd(spark)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
     same(cut.collect(), phrases(ODD))
 
 
+def test_phrases_around_a_common_passage(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n, of=9: [f"v{i}" for i in rng.integers(0, of, n)]
+    common_ = word(60, 500)
+    rows = [(i, " ".join(word(25, 2 + i % 2) + common_[i % 20 : 25 + i % 30] + word(25, 2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (35, 20, 14, 5):
+        got = P.remove_passages(df, window=window).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
+        same(got.collect(), phrases(rows, window))
+
+
 @pytest.mark.parametrize("group", [2000, 1])
 def test_suffix_array(spark, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
