@@ -19,11 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/skylattice-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of a write once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, so a lost executor costs no recomputation."""
+    """``df`` written to the shared folder and read again: its lineage ends there, so a lost executor costs no recomputation.
+
+    Nothing reads the shuffle files of the write again; they go at once.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

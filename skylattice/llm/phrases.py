@@ -88,8 +88,9 @@ def located(contexts: list[tuple[bytes, int, bool, bool, list[int] | None]], pla
 
 def passage_spans(docs: DataFrame, plan: repeats.Plan) -> DataFrame:
     """(k, spans array<struct<a, b>>) of the rows of ``docs`` (k, text) that hold recurring windows, in words."""
-    seats, whole, _, cuts = repeats.contexts(docs, plan)
-    told = recurring(common.stored(cuts.select("anchor", "x", "before", "content", "copies", "l", "r")), plan)
+    seats, whole, open_, cuts = repeats.contexts(docs, plan)
+    cuts = common.stored(cuts.select("anchor", "x", "before", "content", "copies", "l", "r"))
+    told = recurring(cuts, plan)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +101,10 @@ def passage_spans(docs: DataFrame, plan: repeats.Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["anchor", "x", "a", "b"])
 
     # a shard is a batch of contexts of one anchor or several, each automaton as large as a batch
-    return repeats.spread(seats, whole.union(told.mapInArrow(locate, "anchor long, x long, a int, b int")))
+    hit = common.stored(whole.union(told.mapInArrow(locate, "anchor long, x long, a int, b int")))
+    for done in (cuts, open_):
+        common.drop_stored(done)
+    return repeats.spread(seats, hit)
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, extra: list[str] | None = None) -> DataFrame:

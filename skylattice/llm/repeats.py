@@ -177,7 +177,10 @@ def find_spans(docs: DataFrame, plan: Plan, detect: Callable) -> DataFrame:
     hit = whole.union(near)
     if crowded:
         hit = hit.union(_crowded(cuts.filter(f"size > {GROUP}"), open_.filter(f"size > {GROUP}"), plan))
-    return spread(seats, hit.select("anchor", "x", "a", "b"))
+    hit = common.stored(hit.select("anchor", "x", "a", "b"))
+    for done in (cuts, open_) if crowded else (open_,):
+        common.drop_stored(done)
+    return spread(seats, hit)
 
 
 def _crowded(cuts: DataFrame, contexts: DataFrame, plan: Plan) -> DataFrame:
