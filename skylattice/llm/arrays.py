@@ -79,10 +79,10 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice: byte spans, and words before each document in ``off``."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice, or runs of the bytes ``inside``: byte spans, and words before each document in ``off``."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        inside = ~IS_SPACE[data]
+    def __init__(self, data: np.ndarray, off: np.ndarray, inside: np.ndarray | None = None):
+        inside = ~IS_SPACE[data] if inside is None else inside
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         heads = off[:-1][off[:-1] < off[1:]]
