@@ -9,6 +9,7 @@ range of documents; ``at`` counts the ids before a document in its part. ``parts
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,17 +29,27 @@ END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
-#: Words that a worker's memo holds at most, and the longest of them; bounds on memory, not on results.
-MEMO_WORDS = 300_000
+#: Pieces of words that a worker's memo holds at most, and the longest of them; bounds on memory, not on results.
+MEMO_WORDS = 500_000
 MEMO_LENGTH = 64
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 TOKENS = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 PARTS = "part int, start long, n_tokens long, n_docs long, first_doc long, last_doc long"
 
 
+#: A word that ends in such marks after a letter or digit is two pieces, as the tokenizer's pattern has it.
+MARKS = ".,!?;:%$&#"
+MARKED = "^[^<]*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][" + MARKS + "]+$"
+
+
 class WordEncoder:
-    """Ids of texts, word by word: the tokenizer never looks past ASCII white space, which it drops, so words are encoded once."""
+    """Ids of texts by the pieces of their words, each encoded once.
+
+    The tokenizer never looks past ASCII white space, which it drops; it parts closing marks from the letters before them; and
+    it puts texts in small letters, but for its special strings, which are looked for first. So a text's ids are those of its
+    pieces, small letters first unless a piece may hold a special string.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,30 +62,57 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.ids, self.off = [np.zeros(0, np.int32)], [0]
+        self.ids, self.off, self.held = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes ``pieces``, new and distinct, after those held."""
+        n, found = self.held, [e.ids for e in self.own.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        end = self.off[n] + np.cumsum(size)
+        while n + len(found) + 1 > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        while len(found) and end[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.off[n + 1 : n + 1 + len(found)] = end
+        self.ids[self.off[n] : self.off[n + len(found)]] = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
+        self.memo.update(zip(pieces, range(n, n + len(found))))
+        self.held += len(found)
+
+    def joined(self, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each begins) of runs of ``count`` pieces, the pieces at ``place``."""
+        size = self.off[place + 1] - self.off[place]
+        begin = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+        return self.ids[arrays.ragged(self.off[place], size)], begin
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each begins); every text ends in ``end_id``."""
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten().dictionary_encode()
-        kinds = flat.dictionary.to_pylist()
+        kinds = pc.if_else(pc.match_substring(flat.dictionary, "<|"), flat.dictionary, pc.ascii_lower(flat.dictionary))
+        marked = pc.match_substring_regex(kinds, MARKED).to_numpy(zero_copy_only=False)
+        cores = pc.utf8_rtrim(kinds.filter(pa.array(marked)), characters=MARKS)
+        listed = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+        first, second, at = listed(kinds), [], np.flatnonzero(marked)
+        for i, core in zip(at.tolist(), listed(cores)):
+            second.append(first[i][len(core) :])
+            first[i] = core
         if len(self.memo) > MEMO_WORDS:
             self.forget()
-        new = [w for w in kinds if w not in self.memo]
-        for e, w in zip(self.own.encode_batch_fast(new, add_special_tokens=False), new):
-            self.memo[w] = len(self.off) - 1
-            self.ids.append(np.array(e.ids, np.int32))
-            self.off.append(self.off[-1] + len(e.ids))
-        self.ids = [np.concatenate(self.ids)]
-        off = np.array(self.off)
-        place = np.array([self.memo[w] for w in kinds], np.int64)[flat.indices.to_numpy(zero_copy_only=False)] if len(kinds) else np.zeros(0, np.int64)
-        size = off[place + 1] - off[place]
-        known = self.ids[0][arrays.ragged(off[place], size)]
+        new = {*first, *second} - self.memo.keys()
+        self.learn(list(new))
+        count = 1 + marked.astype(np.int64)
+        place = np.empty(int(count.sum()), np.int64)
+        begin = np.cumsum(count) - count
+        place[begin] = np.fromiter(map(self.memo.__getitem__, first), np.int64, len(first))
+        place[begin[at] + 1] = np.fromiter(map(self.memo.__getitem__, second), np.int64, len(second))
+        ids, off = self.joined(place, count)
+        # occurrences of words, then texts; the end id goes after the words of its text
+        index = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = off[index + 1] - off[index]
+        before = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)]
         for w in [w for w in new if len(w) > MEMO_LENGTH]:
             del self.memo[w]
-        # the end id goes after the words of its text
-        before = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)]
-        return np.insert(known, before[1:], end_id), before + np.arange(len(texts) + 1)
+        return np.insert(ids[arrays.ragged(off[index], size)], before[1:], end_id), before + np.arange(len(texts) + 1)
 
 
 @functools.cache
