@@ -1,18 +1,22 @@
 """Connection times: rules with many optional fields, of which the most specific one that fits a connection counts.
 
-A rule's fields speak of the arriving flight, of the departing flight, or of both. Each side is matched once per distinct
-flight signature, by equality on station and carrier; the rules of a side that fit make the flight's *class*. Only pairs of
-classes that meet are then looked up, so that the work grows with designators and rules, not with dated connections.
+A rule's fields speak of the arriving flight, of the departing flight, or of both. What can be told from the rules alone is
+told once by Spark: which can fit at all, their rank, and which a suppression takes away. The rest, per connection, is a lookup
+in bitmaps of the rules (``rule_index``), a dimension that is broadcast in pieces of bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import clock_minutes, effective_date, is_codeshare, leg_status
+from skylattice.operators import rule_index
 from skylattice.sources.tables import stored
 
 DEFAULT_MCT = 180
@@ -26,6 +30,7 @@ REGION = ["previous_region", "next_region"]
 SUPPRESSED_PLACE = ["suppression_region", "suppression_country", "suppression_state"]
 #: What two rules of one scope have in common: all but the time and the suppression's own fields.
 SCOPE = ["status", "needs_filter", *ARRIVAL, *DEPARTURE, *AIRCRAFT, *REGION, "effective_from", "effective_to"]
+DESIGNATOR = ["company", "number", "op_company", "op_number", "duplicates"]
 FLAGS = ("needs_filter", "arrival_codeshare", "departure_codeshare")
 #: The groups of fields by rising rank.
 GROUPS = {
@@ -38,8 +43,8 @@ GROUPS = {
     7: ["previous_country", "next_country", "previous_state", "next_state"],
     8: REGION,
 }
-#: Flight columns that each side's signature is made of: place of the connection, far end, carriers, number, terminal.
-SIDES = {"arrival": ("dest", "origin", "arrival_terminal"), "departure": ("origin", "dest", "departure_terminal")}
+#: Rules that are brought to the driver at a time.
+RULES_AT_ONCE = 1 << 16
 
 
 def given(field: str) -> Column:
@@ -60,7 +65,7 @@ def specificity() -> Column:
 
 
 def prepared(rules: DataFrame) -> DataFrame:
-    """Rules that can fit at all, with minutes (null if the time is none), ``spec`` and ids of their sides and scope."""
+    """Rules that can fit at all, with minutes (null if the time is none), ``spec`` and dates."""
     r = rules.filter(" and ".join(f"{c} is null" for c in [*AIRCRAFT, *REGION, *SUPPRESSED_PLACE]))
     for flag in FLAGS:
         r = r.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
@@ -68,109 +73,92 @@ def prepared(rules: DataFrame) -> DataFrame:
     # dates that do not parse fit nothing
     for name in ("effective_from", "effective_to"):
         r = r.withColumn("_" + name, effective_date(F.col(name))).filter(f"{name} is null or _{name} is not null")
-    side = lambda fields: F.xxhash64(*[F.coalesce(F.col(f).cast("string"), F.lit("\u0000")) for f in fields])
-    return r.withColumn("aid", side(ARRIVAL)).withColumn("did", side(DEPARTURE)).withColumn("sid", side(SCOPE))
+    return r
 
 
-DESIGNATOR = ["company", "number", "op_company", "op_number", "duplicates"]
+def usable(rules: DataFrame) -> DataFrame:
+    """Rules with a time that no suppression always takes away, with what an index needs of them.
 
+    A suppression takes away the rules of its scope wherever both fit. As a scope names its stations, a suppression that such a
+    station or nobody owns fits with every rule of its scope; one of another airport, of ``gone_at``, only where that airport
+    is one of the connection's.
+    """
+    r = prepared(rules).withColumn("_scope", F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in SCOPE])))
+    always = F.col("owner").isNull() | F.coalesce(F.col("owner") == F.col("arrival_station"), F.lit(False)) | F.coalesce(F.col("owner") == F.col("departure_station"), F.lit(False))
+    gone = r.filter("suppression").groupBy("_scope").agg(F.max(always).alias("_always"), F.collect_set(F.when(~always, F.col("owner"))).alias("gone_at"))
+    day = lambda c: F.date_diff(F.col(c), F.lit("1970-01-01").cast("date"))
+    r = r.filter(~F.col("suppression") & F.col("minutes").isNotNull() & F.col("status").isin(*rule_index.STATUSES)).join(gone, "_scope", "left").filter("_always is null or not _always")
+    for side in ("arrival", "departure"):
+        low, high = F.col(side + "_from"), F.col(side + "_to")
+        r = r.withColumn(side + "_low", low.try_cast("long")).withColumn(side + "_high", high.try_cast("long"))
+        # a range that is no pair of numbers holds none
+        r = r.filter(low.isNull() | high.isNull() | (F.col(side + "_low").isNotNull() & F.col(side + "_high").isNotNull()))
+        r = r.withColumn(side + "_low", F.when(high.isNotNull(), F.col(side + "_low"))).withColumn(side + "_high", F.when(low.isNotNull(), F.col(side + "_high")))
+    rank = F.lit(1 << 16) - (((F.col("spec.highest") * 16 + F.col("spec.groups")) * 64 + F.col("spec.fields")) * 4 + F.col("spec.stations"))
+    texts = ["owner", "status", *[f for f, _ in rule_index.EQUAL], *[f"{s}_{f}" for s in ("arrival", "departure") for f in ("carrier", "operating")]]
+    return r.select(
+        F.col("rule_pos").cast("long").alias("rule_pos"), rank.cast("long").alias("rank"), F.col("minutes").cast("long").alias("minutes"), "needs_filter", "arrival_codeshare", "departure_codeshare",
+        *[F.col(c).cast("string").alias(c) for c in texts], *[f"{s}_{e}" for s in ("arrival", "departure") for e in ("low", "high")],
+        day("_effective_from").cast("long").alias("day_from"), day("_effective_to").cast("long").alias("day_to"), F.coalesce("gone_at", F.array().cast("array<string>")).alias("gone_at"),
+    )
 
-def _null_safe(columns: list[str]) -> Column:
-    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_" + c)) for c in columns])
 
+def rule_tables(rules: DataFrame) -> Iterator[pa.Table]:
+    """The usable rules in pieces of about RULES_AT_ONCE: a dimension, but no piece grows with it."""
+    r = usable(rules)
+    pieces = -(-rules.count() // RULES_AT_ONCE)
+    for i in range(pieces):
+        yield r.filter(F.pmod(F.xxhash64("owner", "rule_pos"), F.lit(pieces)) == i).toArrow()
 
-def with_class(flights: DataFrame, rules: DataFrame, airports: DataFrame, side: str) -> DataFrame:
-    """``flights`` with ``<side>_ids``, the ids of the rules' sides that fit, and ``<side>_class`` that tells them apart.
 
-    Null where none fits. What rules say of designators is matched once per distinct designator, what they say of places once
-    per distinct pair of airports and terminal; both are dimensions, however many dates are flown.
-    """
-    near, far, terminal = SIDES[side]
-    key, fields, there = ("aid", ARRIVAL, "previous_") if side == "arrival" else ("did", DEPARTURE, "next_")
-    scopes = rules.select(F.col(key).alias("id"), *[F.col(f).alias(f.replace(side + "_", "").replace(there, "far_")) for f in fields]).dropDuplicates(["id"])
-    free = lambda field, value: F.col(field).isNull() | F.coalesce(F.col(field) == value, F.lit(False))
-    nobody = F.lit(None).cast("string")
-
-    # once for each choice of a bound carrier or none, so that rules are met by equality
-    asked = flights.select(*DESIGNATOR).distinct()
-    marketing = F.array_union(F.array("company"), F.coalesce("duplicates", F.array().cast("array<string>")))
-    asked = asked.withColumn("_carrier", F.explode(F.concat(F.array(nobody), marketing)))
-    shared = is_codeshare(*[F.col(c) for c in DESIGNATOR])
-    fits = F.col("_carrier").eqNullSafe(F.col("carrier"))
-    # a carrier that only a duplicate has asks for the flag or the operating carrier
-    fits &= F.col("carrier").isNull() | (F.col("carrier") == F.col("company")) | F.col("codeshare") | F.col("operating").isNotNull()
-    fits &= F.col("carrier").isNotNull() | ~F.col("codeshare") | shared
-    fits &= F.col("operating").isNull() | (shared & F.coalesce(F.col("op_company") == F.col("operating"), F.lit(False)))
-    fits &= F.col("from").isNull() | F.col("to").isNull() | F.coalesce(F.col("number").try_cast("int").between(F.col("from").try_cast("int"), F.col("to").try_cast("int")), F.lit(False))
-    by_name = asked.join(scopes, fits).groupBy(*DESIGNATOR).agg(F.array_sort(F.collect_set("id")).alias("_by_name"))
-
-    place = [near, far, terminal]
-    asked = flights.select(*place).distinct().join(airports.select(F.col("code").alias(far), F.col("country").alias("_country"), F.col("state").alias("_state")), far, "left")
-    asked = asked.withColumn("_station", F.explode(F.array(nobody, F.col(near))))
-    fits = F.col("_station").eqNullSafe(F.col("station")) & free("terminal", F.col(terminal)) & free("far_station", F.col(far)) & free("far_country", F.col("_country")) & free("far_state", F.col("_state"))
-    by_place = asked.join(scopes, fits).groupBy(*place).agg(F.array_sort(F.collect_set("id")).alias("_by_place"))
-
-    told = flights
-    for columns, table in ((DESIGNATOR, by_name), (place, by_place)):
-        table = table.select(*[F.col(c).alias("_" + c) for c in columns], table.columns[-1])
-        told = told.join(table, _null_safe(columns), "left").drop(*["_" + c for c in columns])
-    ids = F.array_intersect("_by_name", "_by_place")
-    told = told.withColumn(side + "_ids", F.when(F.size(ids) > 0, ids)).drop("_by_name", "_by_place")
-    return told.withColumn(side + "_class", F.when(F.col(side + "_ids").isNotNull(), F.xxhash64(side + "_ids")))
-
-
-#: What the rules that fit a connection depend on, but for their dates; the second flight's columns end in 2.
-PAIR = ["status", "dest", "origin2", "company", "company2", "arrival_class", "departure_class2"]
-
-
-def candidates(met: DataFrame, rules: DataFrame, filters: DataFrame) -> DataFrame:
-    """(PAIR, rules array): the rules that fit each distinct pair of classes but for their dates, the best first.
-
-    A rule counts if the arrival airport, the departure airport or nobody owns it, in this order. A suppression that fits
-    takes away the rules of its scope; rules without a time are passed over; what follows a rule without dates is never
-    reached. Rules are met by equality of status and of their arrival side; the departure side must be among the flight's.
-    """
-    x = met.filter("status is not null and arrival_ids is not null and departure_ids2 is not null").groupBy(*PAIR).agg(F.first("arrival_ids").alias("arrival_ids"), F.first("departure_ids2").alias("departure_ids"))
-    # one partner table, both ways round
-    both = filters.select(F.col("submitter").alias("_a"), F.col("partner").alias("_b"))
-    both = both.union(both.select("_b", "_a")).distinct().withColumn("_pair", F.lit(True))
-    x = x.join(both, (F.col("company") == F.col("_a")) & (F.col("company2") == F.col("_b")), "left").drop("_a", "_b")
-    # rules of one owner and scope fit together: the first with a time stands for them, and one suppression for all
-    usable = F.when(F.col("minutes").isNotNull() & ~F.col("suppression"), F.struct("spec", (-F.col("rule_pos")).alias("pos"), "minutes", "_effective_from", "_effective_to"))
-    r = rules.groupBy("owner", "status", "needs_filter", "aid", "did", "sid").agg(F.max("suppression").alias("gone"), F.max(usable).alias("found"))
-    # few bytes, many rules a row: dealt evenly, and kept so, before the rows multiply
-    x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAIR)
-    met = x.withColumn("aid", F.explode("arrival_ids")).drop("arrival_ids").join(r, ["aid", "status"])
-    met = met.filter("array_contains(departure_ids, did) and (owner is null or owner = dest or owner = origin2) and (not needs_filter or _pair)")
-    source = F.expr("case when owner is null then -2 when owner = dest then 0 else -1 end")
-    ranked = F.when(F.col("found").isNotNull(), F.struct("found.spec", source.alias("source"), "found.pos", "found.minutes", "found._effective_from", "found._effective_to"))
-    scope = met.groupBy(*PAIR, "sid").agg(F.max("gone").alias("gone"), F.max(ranked).alias("found")).filter("not gone and found is not null")
-    best = scope.groupBy(*PAIR).agg(F.sort_array(F.collect_list("found"), False).alias("rules"))
-    open_ended = F.expr("array_position(transform(rules, x -> x._effective_from is null and x._effective_to is null), true)")
-    return best.withColumn("rules", F.when(open_ended > 0, F.slice("rules", F.lit(1), open_ended.cast("int"))).otherwise(F.col("rules")))
-
-
-def connection_minutes(met: DataFrame, rules: DataFrame, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT) -> DataFrame:
+def connection_minutes(met: DataFrame, rules: DataFrame, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, day: Column | None = None) -> DataFrame:
     """Adds ``mct`` to connections: the minutes of the most specific rule that fits and is in force on the day of departure.
 
-    ``met`` has flights and, with the suffix 2, those that follow, each ``with_class``. Without a known country at an end, or
-    without a rule, it is the default.
+    ``met`` has flights and, with the suffix 2, those that follow. Without a known country at an end, or without a rule, it is
+    the default. ``day`` is the date that rules must be in force on, that of ``dep2`` by default. Columns of ``met`` that a
+    result does not need are best left out before.
     """
-    # read twice: for the pairs that meet, and for the result
-    c = stored(with_status(met, airports))
-    told = candidates(c, prepared(rules), filters).select(*[F.col(k).alias("_" + k) for k in PAIR], "rules")
-    c = c.join(told, reduce(Column.__and__, [F.col(k) == F.col("_" + k) for k in PAIR]), "left").drop(*["_" + k for k in PAIR])
-    live = F.expr("filter(rules, x -> (x._effective_from is null or x._effective_from <= to_date(dep2)) and (x._effective_to is null or x._effective_to >= to_date(dep2)))")
-    return c.withColumn("mct", F.coalesce(F.get(live, 0)["minutes"], F.lit(default))).drop("rules", "status", "arrival_ids", "departure_ids2", "arrival_class", "departure_class2")
+    spark, kept = met.sparkSession, met.columns
+    c = with_status(met, airports).withColumnRenamed("status", "_status")
+    # one partner table, both ways round
+    both = filters.select(F.col("submitter").alias("_a"), F.col("partner").alias("_b"))
+    both = both.union(both.select("_b", "_a")).distinct().withColumn("_partners", F.lit(True))
+    c = c.join(both, (F.col("company") == F.col("_a")) & (F.col("company2") == F.col("_b")), "left").withColumn("_partners", F.coalesce("_partners", F.lit(False)))
+    c = c.withColumn("_day", F.date_diff(F.to_date("dep2") if day is None else day, F.lit("1970-01-01").cast("date")).cast("long"))
+    for s in rule_index.SIDES.values():
+        c = c.withColumn("_shared" + s, is_codeshare(*[F.col(x + s) for x in DESIGNATOR])).withColumn("_number" + s, F.col("number" + s).try_cast("long"))
+    c = c.withColumn("_rank", F.lit(rule_index.NEVER)).withColumn("_pos", F.lit(rule_index.NEVER)).withColumn("mct", F.lit(default))
+    found = ["_rank", "_pos", "mct"]
+    names = list(dict.fromkeys([*kept, *rule_index.NEEDED]))
+    c = c.select(*names, *found)
+    built = [i for t in rule_tables(rules) for i in rule_index.indexes(t)]
+    for n, index in enumerate(built):
+        shared = spark.sparkContext.broadcast(index)  # bounded: rule_index.INDEX_BYTES
+
+        def look_up(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
+                best = shared.value.best(own)
+                better = (best[0] < own["_rank"].to_numpy()) | ((best[0] == own["_rank"].to_numpy()) & (best[1] < own["_pos"].to_numpy()))
+                told = [pa.array(np.where(better, new, own[x].to_numpy()).astype(kind)) for x, new, kind in zip(found, best, (np.int64, np.int64, np.int32))]
+                yield pa.RecordBatch.from_arrays([*[own[x] for x in names], *told], [*names, *found])
+
+        c = c.mapInArrow(look_up, c.schema)
+        if n + 1 < len(built):  # one index in a task at a time
+            c = stored(c)
+    return c.select(*kept, "mct")
 
 
 def with_status(met: DataFrame, airports: DataFrame) -> DataFrame:
-    """Adds ``status``: D or I of the first flight, then of the second; null if a country is unknown."""
-    land = airports.select("code", "country")
+    """Adds ``status``: D or I of the first flight, then of the second; null if a country is unknown.
+
+    Also the country and state of the far ends: ``_country``, ``_state``, and those with the suffix 2.
+    """
+    land = airports.select("code", "country", "state")
     c = met
-    for col, name in (("origin", "k1"), ("dest", "k2"), ("origin2", "k3"), ("dest2", "k4")):
-        c = c.join(land.select(F.col("code").alias(col), F.col("country").alias(name)), col, "left")
-    return c.withColumn("status", F.concat(leg_status(F.col("k1"), F.col("k2")), leg_status(F.col("k3"), F.col("k4")))).drop("k1", "k2", "k3", "k4")
+    for col, name, state in (("origin", "_country", "_state"), ("dest", "_k2", "_s2"), ("origin2", "_k3", "_s3"), ("dest2", "_country2", "_state2")):
+        c = c.join(land.select(F.col("code").alias(col), F.col("country").alias(name), F.col("state").alias(state)), col, "left")
+    return c.withColumn("status", F.concat(leg_status(F.col("_country"), F.col("_k2")), leg_status(F.col("_k3"), F.col("_country2")))).drop("_k2", "_k3", "_s2", "_s3")
 
 
 def default_rules(spark, minutes: int = DEFAULT_MCT) -> DataFrame:

@@ -60,10 +60,8 @@ def connections(first: DataFrame, second: DataFrame, pairs: DataFrame, minimum:
 
 def connections_by_rules(first: DataFrame, second: DataFrame, pairs: DataFrame, rules: DataFrame, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, window: int = WINDOW_MINUTES) -> DataFrame:
     """Connections that leave no sooner than their own minimum ``mct`` after the arrival, and within the window."""
-    r = mct.prepared(rules)
-    least = r.agg(F.min("minutes")).first()[0]
-    a, b = mct.with_class(first, r, airports, "arrival"), mct.with_class(second, r, airports, "departure")
-    met = connections(a, b, pairs, default if least is None else min(least, default), window)
+    least = mct.prepared(rules).agg(F.min("minutes")).first()[0]
+    met = connections(first, second, pairs, default if least is None else min(least, default), window)
     return mct.connection_minutes(met, rules, filters, airports, default).filter("dep2 >= arr + make_dt_interval(0, 0, mct)")
 
 

@@ -143,8 +143,7 @@ def itin_1stop(spark, sf):
 @query(f"WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {TIMED} SELECT {', '.join(PAIR)}, mct FROM mcts WHERE dep2 >= arr + INTERVAL 180 MINUTE")
 def mct_match(spark, sf):
     f, a, r = derived.flights(spark, sf), derived.airports(spark, sf), derived.rules(spark, sf)
-    ready = mct.prepared(r)
-    met = network.connections(mct.with_class(f, ready, a, "arrival"), mct.with_class(f, ready, a, "departure"), network.siblings(a))
+    met = network.connections(f, f, network.siblings(a))
     return mct.connection_minutes(met, r, derived.filters(spark, sf), a).select(*PAIR, "mct")
 
 

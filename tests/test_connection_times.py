@@ -76,8 +76,7 @@ def test_all_rules_against_a_restatement(spark):
     rng = random.Random(1)
     flights = rng.sample(derived.flights(spark, SF).collect(), 500)
     df = spark.createDataFrame(flights, FLIGHTS)
-    ready = mct.prepared(rules)
-    met = network.connections(mct.with_class(df, ready, airports, "arrival"), mct.with_class(df, ready, airports, "departure"), network.siblings(airports), 0, 40000)
+    met = network.connections(df, df, network.siblings(airports), 0, 40000)
     told = mct.connection_minutes(met, rules, partners, airports)
     assert "CartesianProduct" not in told._jdf.queryExecution().executedPlan().toString()
     own, pairs = rules.collect(), {(r.submitter, r.partner) for r in partners.collect()}
@@ -100,9 +99,8 @@ def told(spark, rules, flights=None, partners=(), airports=None):
     names = sorted({k for r in rules for k in r} | {"rule_pos", "status", "time"})
     kind = lambda n: "boolean" if n in (*mct.FLAGS, "suppression") else "long" if n == "rule_pos" else "string"
     table = mct.complete(spark.createDataFrame([tuple({"rule_pos": i, "status": "II", **r}.get(n, False if kind(n) == "boolean" else None) for n in names) for i, r in enumerate(rules)], ", ".join(f"{n} {kind(n)}" for n in names)))
-    ready = mct.prepared(table)
     a, b = spark.createDataFrame(first, FLIGHTS), spark.createDataFrame(second, FLIGHTS)
-    met = network.connections(mct.with_class(a, ready, land, "arrival"), mct.with_class(b, ready, land, "departure"), network.siblings(land), 0)
+    met = network.connections(a, b, network.siblings(land), 0)
     out = mct.connection_minutes(met, table, spark.createDataFrame(list(partners), "submitter string, partner string"), land)
     return {(r.company2, r.number2): r.mct for r in out.collect()}
 
