@@ -111,14 +111,23 @@ def rule_tables(rules: DataFrame) -> Iterator[pa.Table]:
         yield r.filter(F.pmod(F.xxhash64("owner", "rule_pos"), F.lit(pieces)) == i).toArrow()
 
 
-def connection_minutes(met: DataFrame, rules: DataFrame, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, day: Column | None = None) -> DataFrame:
+class RuleBook:
+    """Rules made ready for lookups, once for as many joins as one likes: broadcast indexes and the fewest minutes of any rule."""
+
+    def __init__(self, rules: DataFrame):
+        spark = rules.sparkSession
+        self.least = prepared(rules).agg(F.min("minutes")).first()[0]
+        self.indexes = [spark.sparkContext.broadcast(i) for t in rule_tables(rules) for i in rule_index.indexes(t)]  # each bounded: rule_index.INDEX_BYTES
+
+
+def connection_minutes(met: DataFrame, rules: DataFrame | RuleBook, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, day: Column | None = None) -> DataFrame:
     """Adds ``mct`` to connections: the minutes of the most specific rule that fits and is in force on the day of departure.
 
     ``met`` has flights and, with the suffix 2, those that follow. Without a known country at an end, or without a rule, it is
     the default. ``day`` is the date that rules must be in force on, that of ``dep2`` by default. Columns of ``met`` that a
     result does not need are best left out before.
     """
-    spark, kept = met.sparkSession, met.columns
+    book, kept = rules if isinstance(rules, RuleBook) else RuleBook(rules), met.columns
     c = with_status(met, airports).withColumnRenamed("status", "_status")
     # one partner table, both ways round
     both = filters.select(F.col("submitter").alias("_a"), F.col("partner").alias("_b"))
@@ -131,9 +140,7 @@ def connection_minutes(met: DataFrame, rules: DataFrame, filters: DataFrame, air
     found = ["_rank", "_pos", "mct"]
     names = list(dict.fromkeys([*kept, *rule_index.NEEDED]))
     c = c.select(*names, *found)
-    built = [i for t in rule_tables(rules) for i in rule_index.indexes(t)]
-    for n, index in enumerate(built):
-        shared = spark.sparkContext.broadcast(index)  # bounded: rule_index.INDEX_BYTES
+    for n, shared in enumerate(book.indexes):
 
         def look_up(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -144,7 +151,7 @@ def connection_minutes(met: DataFrame, rules: DataFrame, filters: DataFrame, air
                 yield pa.RecordBatch.from_arrays([*[own[x] for x in names], *told], [*names, *found])
 
         c = c.mapInArrow(look_up, c.schema)
-        if n + 1 < len(built):  # one index in a task at a time
+        if n + 1 < len(book.indexes):  # one index in a task at a time
             c = stored(c)
     return c.select(*kept, "mct")
 

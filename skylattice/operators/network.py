@@ -58,11 +58,11 @@ def connections(first: DataFrame, second: DataFrame, pairs: DataFrame, minimum:
     return met.filter((F.col("dep2") >= late("arr", minimum)) & (F.col("dep2") <= late("arr", window)) & ((F.col("company") != F.col("company2")) | (F.col("number") != F.col("number2"))))
 
 
-def connections_by_rules(first: DataFrame, second: DataFrame, pairs: DataFrame, rules: DataFrame, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, window: int = WINDOW_MINUTES) -> DataFrame:
+def connections_by_rules(first: DataFrame, second: DataFrame, pairs: DataFrame, rules: DataFrame | mct.RuleBook, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, window: int = WINDOW_MINUTES) -> DataFrame:
     """Connections that leave no sooner than their own minimum ``mct`` after the arrival, and within the window."""
-    least = mct.prepared(rules).agg(F.min("minutes")).first()[0]
-    met = connections(first, second, pairs, default if least is None else min(least, default), window)
-    return mct.connection_minutes(met, rules, filters, airports, default).filter("dep2 >= arr + make_dt_interval(0, 0, mct)")
+    book = rules if isinstance(rules, mct.RuleBook) else mct.RuleBook(rules)
+    met = connections(first, second, pairs, default if book.least is None else min(book.least, default), window)
+    return mct.connection_minutes(met, book, filters, airports, default).filter("dep2 >= arr + make_dt_interval(0, 0, mct)")
 
 
 def itineraries_0(flights: DataFrame, airports: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ FLIGHTS = """flights AS (SELECT 'C' || (l_partkey % 7) AS company, CAST(l_partke
  chr(CAST(65 + s_nationkey // 5 AS INT)) || chr(CAST(65 + s_nationkey % 5 AS INT)) || 'X' AS origin, chr(CAST(65 + c_nationkey // 5 AS INT)) || chr(CAST(65 + c_nationkey % 5 AS INT)) || 'X' AS dest,
  l_shipdate + to_minutes(CAST((37 * l_orderkey + 101 * l_linenumber) % 1440 AS INT)) AS dep,
  l_shipdate + to_minutes(CAST((37 * l_orderkey + 101 * l_linenumber) % 1440 + 60 + (13 * l_partkey) % 600 AS INT)) AS arr, CAST(60 + (13 * l_partkey) % 600 AS INT) AS block,
- 'C' || ((CASE WHEN l_suppkey % 5 = 0 THEN l_partkey + 2 ELSE l_partkey END) % 7) AS op_company, CASE WHEN l_linenumber % 4 = 0 THEN 'C' || ((l_partkey + 1) % 7) END AS dup, 'T' || (l_partkey % 3) AS dterm, 'T' || (l_suppkey % 3) AS aterm
+ 'C' || ((CASE WHEN l_suppkey % 5 = 0 THEN l_partkey + 2 ELSE l_partkey END) % 7) AS op_company, CASE WHEN l_linenumber % 4 = 0 THEN 'C' || ((l_partkey + 1) % 7) END AS dup, 'T' || (l_partkey % 3) AS dterm, 'T' || (l_suppkey % 3) AS aterm, l_quantity AS quantity, l_linenumber AS line
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey)"""
 
 

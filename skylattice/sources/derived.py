@@ -23,9 +23,9 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(code("n_nationkey").alias("code"), F.col("r_name").alias("country"), F.expr("cast(n_nationkey div 10 as string)").alias("city"), F.expr("concat('S', n_nationkey % 3)").alias("state"), F.expr("cast(-60 + (37 * n_nationkey) % 120 as double)").alias("latitude"), F.expr("cast(-180 + (73 * n_nationkey) % 360 as double)").alias("longitude"))
 
 
-def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated flights: one per line item between two nations."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+def flights(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Dated flights: one per line item, of those for which ``where`` holds, between two nations."""
+    li = table(spark, sf_dir, "lineitem").filter(where).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")

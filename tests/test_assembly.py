@@ -88,16 +88,58 @@ def test_measures_and_filters(spark):
     assert kept(carriers=["AA", "UX"]) == {1, 2} and kept(carriers=["AA", "UA"]) == {2} and kept(transfers=0) == {2} and kept(days=1) == {1}
 
 
-def test_cached_answers(spark):
+AIRPORTS = "code string, country string, city string, state string, latitude double, longitude double"
+FLIGHTS = "company string, number string, op_company string, op_number string, duplicates array<string>, origin string, dest string, dep timestamp_ntz, arr timestamp_ntz, block int, departure_terminal string, arrival_terminal string"
+
+
+def fly(company, number, a, b, dep, arr):
     t = lambda h: datetime(2026, 1, 1) + timedelta(hours=h)
-    rows = [("AA", "1", "AA", "A", "B", t(8), t(12), 240), ("UA", "2", "UX", "B", "C", t(15), t(23), 480)]
-    f = spark.createDataFrame(rows, "company string, number string, op_company string, origin string, dest string, dep timestamp_ntz, arr timestamp_ntz, block int")
-    first, second = "AA:1:A:2026-01-01 08:00:00", "UA:2:B:2026-01-01 15:00:00"
-    day = t(0).date()
-    cached = spark.createDataFrame([("A", "C", day, [f"{first}|{second}", f"{first}|ZZ:9:B:2026-01-01 15:00:00"]), ("A", "B", day, [first])], "origin string, dest string, dep_date date, itineraries array<string>")
-    asked = cached.select("origin", "dest", "dep_date")
-    got = lambda **k: {(r.asked_dest, len(r.flights), r.transfers, r.travel) for r in itineraries.answer(cached, asked, f, **k).collect()}
-    assert got() == {("C", 2, 1, 900), ("B", 1, 0, 240)} and got(transfers=0) == {("B", 1, 0, 240)} and got(carriers=["AA"]) == {("B", 1, 0, 240)}
+    return company, number, company, number, [], a, b, t(dep), t(arr), int(60 * (arr - dep)), None, None
+
+
+def airports(spark):
+    return spark.createDataFrame([(c, c, c, None, 0.0, float(i)) for i, c in enumerate(("AAA", "BBB", "CCC", "DDD"))], AIRPORTS)
+
+
+def test_a_flight_and_its_through_flight_are_two_keys(spark):
+    f = spark.createDataFrame([fly("AA", "1", "AAA", "BBB", 8, 9), fly("AA", "1", "AAA", "CCC", 8, 12), fly("AA", "1", "BBB", "CCC", 10, 12)], FLIGHTS)
+    hot = spark.createDataFrame([("AAA", "CCC"), ("CCC", "AAA")], "origin string, dest string")
+    cached = itineraries.cache(hot, f, airports(spark))
+    day = datetime(2026, 1, 1).date()
+    assert {(r.origin, r.dest, r.dep_date): r.itineraries for r in cached.collect()} == {("AAA", "CCC", day): [["AA_1_AAA_CCC_2026-01-01"]], ("CCC", "AAA", day): []}
+    got = itineraries.answer(cached, cached, f).collect()
+    assert [(r.asked_dest, [(x.origin, x.dest) for x in r.flights], r.travel) for r in got] == [("CCC", [("AAA", "CCC")], 240)]
+    found = itineraries.search(cached, f, airports(spark), transfers=2).collect()
+    assert [[(x.origin, x.dest) for x in r.flights] for r in found] == [[("AAA", "CCC")]]
+    assert itineraries.search(cached.limit(0), f, airports(spark), transfers=2).collect() == []
+
+
+def test_cached_answers_follow_flights_and_filters(spark):
+    first, second, gone = fly("AA", "1", "AAA", "BBB", 8, 12), fly("UA", "2", "BBB", "CCC", 16, 24), fly("ZZ", "9", "BBB", "CCC", 17, 24)
+    before = spark.createDataFrame([first, second, gone], FLIGHTS)
+    hot = spark.createDataFrame([("AAA", "CCC"), ("AAA", "BBB")], "origin string, dest string")
+    cached = itineraries.cache(hot, before, airports(spark))
+    assert sorted(map(len, (r.itineraries for r in cached.collect()))) == [1, 2]
+    # a flight goes, another is later now
+    now = spark.createDataFrame([first, fly("UA", "2", "BBB", "CCC", 18, 26)], FLIGHTS)
+    got = lambda **k: {(r.asked_dest, len(r.flights), r.transfers, r.travel) for r in itineraries.answer(cached, cached, now, **k).collect()}
+    assert got() == {("CCC", 2, 1, 1080), ("BBB", 1, 0, 240)} and got(transfers=0) == {("BBB", 1, 0, 240)} and got(carriers=["AA"]) == {("BBB", 1, 0, 240)}
+
+
+def test_refresh_equals_a_full_rebuild(spark):
+    hot = spark.createDataFrame([("AAA", "DDD"), ("AAA", "BBB"), ("BBB", "DDD")], "origin string, dest string")
+    old = [fly("AA", "1", "AAA", "BBB", 8, 12), fly("UA", "2", "BBB", "CCC", 16, 26), fly("LH", "3", "CCC", "DDD", 31, 33), fly("LH", "5", "CCC", "DDD", 40, 41), fly("KL", "7", "AAA", "BBB", 80, 82)]
+    # one goes, one moves, one comes on a new edge and one on a new day
+    new = [old[0], old[1], fly("LH", "3", "CCC", "DDD", 30, 33), fly("XX", "4", "AAA", "DDD", 9, 12), fly("KL", "8", "AAA", "BBB", 104, 105)]
+    before, after, land = spark.createDataFrame(old, FLIGHTS), spark.createDataFrame(new, FLIGHTS), airports(spark)
+    rows = lambda df: sorted(map(str, df.select("origin", "dest", "dep_date", "itineraries").collect()))
+    cached = itineraries.cache(hot, before, land)
+    want = rows(itineraries.cache(hot, after, land))
+    assert any("3_CCC_DDD" in r and "1_AAA_BBB" in r for r in want)
+    assert rows(itineraries.refresh(cached, hot, before, after, land)) == want
+    assert rows(itineraries.refresh(cached, hot, before, before, land)) == rows(cached)
+    dirty = itineraries.touched(hot, itineraries.changed(before, before.limit(0).unionByName(before.filter("company <> 'KL'"))), before, land)
+    assert {(r.origin, r.dest, str(r.dep_date)) for r in dirty.collect()} == {("AAA", "BBB", "2026-01-04"), ("AAA", "DDD", "2026-01-04")}
 
 
 def test_table_upkeep(spark):

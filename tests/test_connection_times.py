@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 
 from skylattice.functions.geo import effective_date
-from skylattice.operators import mct, network
+from skylattice.operators import mct, network, rule_index
 from skylattice.sources import derived
 from pyspark.sql import functions as F
 
@@ -70,7 +70,9 @@ class Pair:
         self.status = None if None in lands else "".join("D" if lands[i] == lands[i + 1] else "I" for i in (0, 2))
 
 
-def test_all_rules_against_a_restatement(spark):
+@pytest.mark.parametrize("index_bytes", [rule_index.INDEX_BYTES, 15_000])
+def test_all_rules_against_a_restatement(spark, monkeypatch, index_bytes):
+    monkeypatch.setattr(rule_index, "INDEX_BYTES", index_bytes)
     airports, rules, partners = derived.airports(spark, SF), derived.rules(spark, SF), derived.filters(spark, SF)
     land = {r.code: (r.country, r.state) for r in airports.collect()}
     rng = random.Random(1)
@@ -78,6 +80,7 @@ def test_all_rules_against_a_restatement(spark):
     df = spark.createDataFrame(flights, FLIGHTS)
     met = network.connections(df, df, network.siblings(airports), 0, 40000)
     told = mct.connection_minutes(met, rules, partners, airports)
+    assert len(mct.RuleBook(rules).indexes) > (index_bytes < 1 << 20)
     assert "CartesianProduct" not in told._jdf.queryExecution().executedPlan().toString()
     own, pairs = rules.collect(), {(r.submitter, r.partner) for r in partners.collect()}
     by = {}
@@ -116,6 +119,12 @@ def told(spark, rules, flights=None, partners=(), airports=None):
     # a suppression takes away its own scope only
     ([{"time": "0130"}, {"time": "0100", "arrival_station": "BBB"}, {"suppression": True, "arrival_station": "BBB"}], 90),
     ([{"time": "0130"}, {"time": "0100", "arrival_station": "BBB"}, {"suppression": True, "arrival_station": "BBB", "suppression_region": "EUR"}], 60),
+    # one of another airport takes it away only where that airport is met
+    ([{"time": "0130"}, {"time": "0100", "arrival_carrier": "AA"}, {"suppression": True, "arrival_carrier": "AA", "owner": "BBB"}], 90),
+    ([{"time": "0130"}, {"time": "0100", "arrival_carrier": "AA"}, {"suppression": True, "arrival_carrier": "AA", "owner": "AAA"}], 60),
+    # a range asks for both ends, and for numbers
+    ([{"time": "0130"}, {"time": "0100", "arrival_from": "0001"}], 60),
+    ([{"time": "0130"}, {"time": "0100", "arrival_from": "0002", "arrival_to": "0009"}, {"time": "0045", "arrival_from": "x", "arrival_to": "0009"}], 130 - 40),
     # states, unknown values, aircraft and regions never fit
     ([{"time": "0035", "previous_state": "HI", "next_state": "HI", "previous_country": "AAA", "next_country": "CCC"}], 35),
     ([{"time": "0035", "previous_state": "NY"}, {"time": "0036", "arrival_aircraft_type": "320"}, {"time": "0037", "next_region": "EUR"}], 180),
