@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,18 +117,20 @@ class RuleBook:
 
     def __init__(self, rules: DataFrame):
         spark = rules.sparkSession
-        self.least = prepared(rules).agg(F.min("minutes")).first()[0]
-        self.indexes = [spark.sparkContext.broadcast(i) for t in rule_tables(rules) for i in rule_index.indexes(t)]  # each bounded: rule_index.INDEX_BYTES
+        self.least, self.indexes = None, []
+        for table in rule_tables(rules):
+            self.indexes += [spark.sparkContext.broadcast(i) for i in rule_index.indexes(table)]  # each bounded: rule_index.INDEX_BYTES
+            self.least = min([x for x in (self.least, pc.min(table["minutes"]).as_py()) if x is not None], default=None)
 
 
-def connection_minutes(met: DataFrame, rules: DataFrame | RuleBook, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, day: Column | None = None) -> DataFrame:
+def connection_minutes(met: DataFrame, rules: DataFrame | RuleBook, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, day: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Adds ``mct`` to connections: the minutes of the most specific rule that fits and is in force on the day of departure.
 
     ``met`` has flights and, with the suffix 2, those that follow. Without a known country at an end, or without a rule, it is
-    the default. ``day`` is the date that rules must be in force on, that of ``dep2`` by default. Columns of ``met`` that a
-    result does not need are best left out before.
+    the default. ``day`` is the date that rules must be in force on, that of ``dep2`` by default. The result has the columns
+    ``keep`` of ``met``, all by default; the fewer, the less comes back from the lookup.
     """
-    book, kept = rules if isinstance(rules, RuleBook) else RuleBook(rules), met.columns
+    book, kept = rules if isinstance(rules, RuleBook) else RuleBook(rules), keep or met.columns
     c = with_status(met, airports).withColumnRenamed("status", "_status")
     # one partner table, both ways round
     both = filters.select(F.col("submitter").alias("_a"), F.col("partner").alias("_b"))
@@ -135,23 +138,24 @@ def connection_minutes(met: DataFrame, rules: DataFrame | RuleBook, filters: Dat
     c = c.join(both, (F.col("company") == F.col("_a")) & (F.col("company2") == F.col("_b")), "left").withColumn("_partners", F.coalesce("_partners", F.lit(False)))
     c = c.withColumn("_day", F.date_diff(F.to_date("dep2") if day is None else day, F.lit("1970-01-01").cast("date")).cast("long"))
     for s in rule_index.SIDES.values():
-        c = c.withColumn("_shared" + s, is_codeshare(*[F.col(x + s) for x in DESIGNATOR])).withColumn("_number" + s, F.col("number" + s).try_cast("long"))
+        c = c.withColumn("_shared" + s, is_codeshare(*[F.col(x + s) for x in DESIGNATOR])).withColumn("_number" + s, F.col("number" + s).try_cast("long")).withColumn("_lent" + s, F.array_join("duplicates" + s, rule_index.BETWEEN))
     c = c.withColumn("_rank", F.lit(rule_index.NEVER)).withColumn("_pos", F.lit(rule_index.NEVER)).withColumn("mct", F.lit(default))
     found = ["_rank", "_pos", "mct"]
     names = list(dict.fromkeys([*kept, *rule_index.NEEDED]))
     c = c.select(*names, *found)
-    for n, shared in enumerate(book.indexes):
+    for n, shared in enumerate(book.indexes, 1):
+        out = [*names, *found] if n < len(book.indexes) else [*kept, "mct"]
 
-        def look_up(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def look_up(batches: Iterator[pa.RecordBatch], shared=shared, out=out) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
                 best = shared.value.best(own)
                 better = (best[0] < own["_rank"].to_numpy()) | ((best[0] == own["_rank"].to_numpy()) & (best[1] < own["_pos"].to_numpy()))
-                told = [pa.array(np.where(better, new, own[x].to_numpy()).astype(kind)) for x, new, kind in zip(found, best, (np.int64, np.int64, np.int32))]
-                yield pa.RecordBatch.from_arrays([*[own[x] for x in names], *told], [*names, *found])
+                told = {x: pa.array(np.where(better, new, own[x].to_numpy()).astype(kind)) for x, new, kind in zip(found, best, (np.int64, np.int64, np.int32))}
+                yield pa.RecordBatch.from_arrays([told.get(x, own.get(x)) for x in out], out)
 
-        c = c.mapInArrow(look_up, c.schema)
-        if n + 1 < len(book.indexes):  # one index in a task at a time
+        c = c.mapInArrow(look_up, c.select(*out).schema)
+        if n < len(book.indexes):  # one index in a task at a time
             c = stored(c)
     return c.select(*kept, "mct")
 

@@ -58,11 +58,14 @@ def connections(first: DataFrame, second: DataFrame, pairs: DataFrame, minimum:
     return met.filter((F.col("dep2") >= late("arr", minimum)) & (F.col("dep2") <= late("arr", window)) & ((F.col("company") != F.col("company2")) | (F.col("number") != F.col("number2"))))
 
 
-def connections_by_rules(first: DataFrame, second: DataFrame, pairs: DataFrame, rules: DataFrame | mct.RuleBook, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, window: int = WINDOW_MINUTES) -> DataFrame:
-    """Connections that leave no sooner than their own minimum ``mct`` after the arrival, and within the window."""
+def connections_by_rules(first: DataFrame, second: DataFrame, pairs: DataFrame, rules: DataFrame | mct.RuleBook, filters: DataFrame, airports: DataFrame, default: int = DEFAULT_MCT, window: int = WINDOW_MINUTES, keep: list[str] | None = None) -> DataFrame:
+    """Connections that leave no sooner than their own minimum ``mct`` after the arrival, and within the window; columns ``keep``, or all."""
     book = rules if isinstance(rules, mct.RuleBook) else mct.RuleBook(rules)
     met = connections(first, second, pairs, default if book.least is None else min(book.least, default), window)
-    return mct.connection_minutes(met, book, filters, airports, default).filter("dep2 >= arr + make_dt_interval(0, 0, mct)")
+    day = F.col("dep_date2") if "dep_date2" in met.columns else None  # the local one, where flights have it
+    kept = keep or met.columns
+    told = mct.connection_minutes(met, book, filters, airports, default, day, list(dict.fromkeys([*kept, "arr", "dep2"])))
+    return told.filter("dep2 >= arr + make_dt_interval(0, 0, mct)").select(*kept, "mct")
 
 
 def itineraries_0(flights: DataFrame, airports: DataFrame) -> DataFrame:
@@ -81,6 +84,6 @@ def itineraries_1(flights: DataFrame, airports: DataFrame, minimum: int = DEFAUL
     # flights that no path begins or ends with go before they are joined in time
     first = flights.join(path.select("origin", "dest").distinct(), ["origin", "dest"], "left_semi")
     second = flights.join(path.select(F.col("origin2").alias("origin"), F.col("dest2").alias("dest")).distinct(), ["origin", "dest"], "left_semi")
-    met = connections(first, second, pairs, minimum) if rules is None else connections_by_rules(first, second, pairs, rules, filters, airports, minimum)
+    met = connections(first, second, pairs, minimum) if rules is None else connections_by_rules(first, second, pairs, rules, filters, airports, minimum, keep=[c + s for s in ("", "2") for c in ("company", "number", "op_company", "origin", "dest", "dep", "arr", "block")])
     met = met.join(path, ["origin", "dest", "origin2", "dest2"])
     return met.withColumn("travel", F.expr("timestampdiff(MINUTE, dep, arr2)")).withColumn("transfer", F.expr("timestampdiff(MINUTE, arr, dep2)")).withColumn("flown", F.col("block") + F.col("block2"))

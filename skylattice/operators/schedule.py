@@ -33,8 +33,15 @@ def operating_dates(plans: DataFrame) -> DataFrame:
 
 
 def routes(flights: DataFrame) -> DataFrame:
-    """(origin, dest, companies, flights): sorted sets of one airport pair."""
-    return flights.groupBy("origin", "dest").agg(F.array_sort(F.collect_set("company")).alias("companies"), F.array_sort(F.collect_set(F.concat_ws("_", "company", "number"))).alias("flights"))
+    """(origin, dest, companies, flights): sorted sets of one airport pair.
+
+    ``flights`` are operating designators, ``company_number``; ``companies`` are all that sell a flight: those that operate it,
+    whose own designator it has, or that a duplicate designator names. Each row's few companies are exploded before the sets
+    are made, so that a pair's many flights are combined on both sides of the shuffle.
+    """
+    names = F.array_union(F.array("op_company", "company"), F.coalesce("duplicates", F.array().cast("array<string>")))
+    one = flights.select("origin", "dest", F.concat_ws("_", "op_company", "op_number").alias("_flight"), F.explode(names).alias("_company"))
+    return one.groupBy("origin", "dest").agg(F.array_sort(F.collect_set("_company")).alias("companies"), F.array_sort(F.collect_set("_flight")).alias("flights"))
 
 
 def merge_flights(flights: DataFrame) -> DataFrame:

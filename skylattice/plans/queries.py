@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
-from skylattice.operators import maintenance, mct, network, schedule
+from skylattice.operators import maintenance, mct, network, schedule, zones
 from skylattice.sources import derived, fixed_width
 
 AIRPORTS = """airports AS (SELECT chr(CAST(65 + n_nationkey // 5 AS INT)) || chr(CAST(65 + n_nationkey % 5 AS INT)) || 'X' AS code, r_name AS country,
@@ -91,9 +91,40 @@ def city_equivalence(spark, sf):
     return network.siblings(derived.airports(spark, sf)).groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("sibling")), "|").alias("siblings"))
 
 
-@query(f"WITH {FLIGHTS} SELECT company, number, origin, dest, dep, arr, block FROM flights")
+_OFFSET = "((CASE WHEN {0} % 25 < 12 THEN -1 ELSE 1 END) * (abs({0} % 25 - 12) * 60 + CASE WHEN {0} % 2 = 0 THEN 30 ELSE 0 END))"
+_DAY = "[0, 0, 1, 2, -1, -1][CAST({0} % 6 + 1 AS INT)]"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) + to_minutes(CAST((37 * l_orderkey + 101 * l_linenumber) % 1440 - {_OFFSET.format('l_partkey')} AS INT)) AS dep,
+ CAST(l_shipdate AS DATE) + to_minutes(CAST((17 * l_partkey + l_suppkey) % 1440 + 1440 * ({_DAY.format('l_orderkey')} - {_DAY.format('l_partkey')}) - {_OFFSET.format('l_suppkey')} AS INT)) AS arr FROM lineitem""")
 def dated_flights_utc(spark, sf):
-    return derived.flights(spark, sf).select("company", "number", "origin", "dest", "dep", "arr", "block")
+    p = derived.dated_plans(spark, sf).withColumn("day_offset", geo.day_variation(F.col("arrival_day")) - geo.day_variation(F.col("departure_day")))
+    return zones.dated(p).select("l_orderkey", "l_linenumber", "dep", "arr")
+
+
+# offsets of each airport's zone in time; flights with what the clock at their origin says
+ZONES = """years AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem),
+steps AS (SELECT chr(CAST(65 + n_nationkey // 5 AS INT)) || chr(CAST(65 + n_nationkey % 5 AS INT)) || 'X' AS code, TIMESTAMP '1900-01-01' AS since, (n_nationkey % 25 - 12) * 60 AS m FROM nation
+ UNION ALL SELECT chr(CAST(65 + n_nationkey // 5 AS INT)) || chr(CAST(65 + n_nationkey % 5 AS INT)) || 'X', make_timestamp(y, mo, d, 1, 0, 0), (n_nationkey % 25 - 12) * 60 + more FROM nation, years, (VALUES (4, 1, 60), (10, 25, 0)) v(mo, d, more) WHERE n_nationkey % 2 = 0)"""
+LOCAL = FLIGHTS.replace("flights AS (", "scheduled AS (", 1) + ", " + ZONES + ", flights AS MATERIALIZED (SELECT f.*, f.dep + to_minutes(CAST(s.m AS INT)) AS dep_local, CAST(s.m AS INT) AS off, CAST(f.dep + to_minutes(CAST(s.m AS INT)) AS DATE) AS ldate FROM scheduled f ASOF JOIN steps s ON s.code = f.origin AND f.dep >= s.since)"
+
+
+@query(f"""WITH {LOCAL}, back AS (SELECT f.*, (SELECT min(dep_local - to_minutes(CAST(s.m AS INT))) FROM (SELECT *, lead(since) OVER (PARTITION BY code ORDER BY since) AS until FROM steps) s WHERE s.code = f.origin AND dep_local - to_minutes(CAST(s.m AS INT)) >= s.since AND (s.until IS NULL OR dep_local - to_minutes(CAST(s.m AS INT)) < s.until)) AS again FROM flights f)
+SELECT company, number, origin, dest, dep, dep_local, strftime(dep_local, '%Y-%m-%dT%H:%M:%S') || CASE WHEN off < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(off) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(off) % 60 AS VARCHAR), 2, '0') AS departure, again FROM back""")
+def local_times(spark, sf):
+    """Departures by the clock at the origin, and the instants that these times stand for."""
+    a, steps = derived.zones(spark, sf)
+    f = derived.flights(spark, sf).join(a.select(F.col("code").alias("origin"), "zone"), "origin")
+    told = zones.with_instant(zones.with_local(f, "dep", "zone", steps, "dep_local"), "dep_local", "zone", steps, "again")
+    return told.select("company", "number", "origin", "dest", "dep", "dep_local", zones.rfc3339(F.col("dep_local"), F.col("dep_local_offset")).alias("departure"), "again")
+
+
+@query(f"WITH {AIRPORTS}, {LOCAL}, {SIBLINGS}, {TIMED.replace('CAST(c.dep2 AS DATE)', 'c.ldate2').replace('y.dterm AS dterm2', 'y.dterm AS dterm2, y.ldate AS ldate2')} SELECT {', '.join(PAIR)}, mct, ldate2 AS dep_date2 FROM timed")
+def connections_local(spark, sf):
+    """Connections whose rules are in force on the local date of the second departure."""
+    (a, steps), r = derived.zones(spark, sf), derived.rules(spark, sf)
+    f = zones.with_departure_dates(derived.flights(spark, sf), a, steps)
+    return network.connections_by_rules(f, f, network.siblings(a), r, derived.filters(spark, sf), a, keep=[*PAIR, "dep_date2"]).select(*PAIR, "mct", "dep_date2")
 
 
 @query(f"WITH {FLIGHTS} SELECT DISTINCT CAST(dep AS DATE) AS dep_date FROM flights")
@@ -101,7 +132,8 @@ def dep_dates(spark, sf):
     return derived.flights(spark, sf).select(F.to_date("dep").alias("dep_date")).distinct()
 
 
-@query(f"WITH {FLIGHTS} SELECT origin, dest, string_agg(DISTINCT company, '|' ORDER BY company) AS companies, string_agg(DISTINCT company || '_' || number, '|' ORDER BY company || '_' || number) AS flights FROM flights GROUP BY origin, dest")
+@query(f"""WITH {FLIGHTS}, sold AS (SELECT origin, dest, op_company AS company FROM flights UNION ALL SELECT origin, dest, company FROM flights UNION ALL SELECT origin, dest, dup FROM flights WHERE dup IS NOT NULL)
+SELECT origin, dest, companies, flights FROM (SELECT origin, dest, string_agg(DISTINCT company, '|' ORDER BY company) AS companies FROM sold GROUP BY ALL) JOIN (SELECT origin, dest, string_agg(DISTINCT op_company || '_' || number, '|' ORDER BY op_company || '_' || number) AS flights FROM flights GROUP BY ALL) USING (origin, dest)""")
 def route_aggregate(spark, sf):
     r = schedule.routes(derived.flights(spark, sf))
     return r.select("origin", "dest", F.array_join("companies", "|").alias("companies"), F.array_join("flights", "|").alias("flights"))
@@ -144,13 +176,13 @@ def itin_1stop(spark, sf):
 def mct_match(spark, sf):
     f, a, r = derived.flights(spark, sf), derived.airports(spark, sf), derived.rules(spark, sf)
     met = network.connections(f, f, network.siblings(a))
-    return mct.connection_minutes(met, r, derived.filters(spark, sf), a).select(*PAIR, "mct")
+    return mct.connection_minutes(met, r, derived.filters(spark, sf), a, keep=PAIR)
 
 
 @query(f"WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {TIMED} SELECT {', '.join(PAIR)}, mct FROM timed")
 def connections_mct(spark, sf):
     f, a = derived.flights(spark, sf), derived.airports(spark, sf)
-    return network.connections_by_rules(f, f, network.siblings(a), derived.rules(spark, sf), derived.filters(spark, sf), a).select(*PAIR, "mct")
+    return network.connections_by_rules(f, f, network.siblings(a), derived.rules(spark, sf), derived.filters(spark, sf), a, keep=PAIR)
 
 
 @query(f"WITH {AIRPORTS}, {FLIGHTS}, {SIBLINGS}, {PATHS}, {TIMED} SELECT {', '.join(PAIR)}, mct, round(circuity, 6) AS circuity, date_diff('minute', dep, arr2) AS travel, date_diff('minute', arr, dep2) AS transfer, block + block2 AS flown FROM timed JOIN paths ON a = origin AND b = dest AND c = origin2 AND d = dest2 WHERE circuity <= 2.5")

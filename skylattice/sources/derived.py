@@ -36,6 +36,27 @@ def flights(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
                     F.expr("if(l_linenumber % 4 = 0, array(concat('C', (l_partkey + 1) % 7)), cast(array() as array<string>))").alias("duplicates"), F.expr("concat('T', l_partkey % 3)").alias("departure_terminal"), F.expr("concat('T', l_suppkey % 3)").alias("arrival_terminal"))
 
 
+def zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(airports with ``zone``, transitions): a zone per nation, from 12 hours west to 12 east; every second has summer time."""
+    n = table(spark, sf_dir, "nation")
+    own = airports(spark, sf_dir).join(n.select(code("n_nationkey").alias("code"), F.expr("concat('Z', n_nationkey)").alias("zone")), "code")
+    years = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y")).distinct()
+    base = n.select(F.expr("concat('Z', n_nationkey)").alias("zone"), F.expr("cast((n_nationkey % 25 - 12) * 60 as int)").alias("m"), F.col("n_nationkey").alias("k"))
+    winter = base.select("zone", F.expr("timestamp_ntz'1900-01-01 00:00:00'").alias("from_utc"), F.col("m").alias("minutes"))
+    summer = base.filter("k % 2 = 0").join(F.broadcast(years), F.lit(True))  # dimensions
+    for month, day, more in ((4, 1, 60), (10, 25, 0)):
+        winter = winter.unionByName(summer.select("zone", F.expr(f"cast(make_date(y, {month}, {day}) as timestamp_ntz) + make_dt_interval(0, 1)").alias("from_utc"), (F.col("m") + more).cast("int").alias("minutes")))
+    return own, winter
+
+
+def dated_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans on their dates: local minutes, offsets as texts and day variations of line items."""
+    li = table(spark, sf_dir, "lineitem")
+    offset = lambda k: f"concat(if(({k}) % 25 < 12, '-', '+'), lpad(cast(abs(({k}) % 25 - 12) as string), 2, '0'), if(({k}) % 2 = 0, '30', '00'))"
+    day = lambda k: F.expr(f"element_at(array(' ', '0', '1', '2', 'A', 'J'), cast(({k}) % 6 + 1 as int))")
+    return li.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("date"), F.expr("cast((37 * l_orderkey + 101 * l_linenumber) % 1440 as int)").alias("dep_minute"), F.expr("cast((17 * l_partkey + l_suppkey) % 1440 as int)").alias("arr_minute"), F.expr(offset("l_partkey")).alias("departure_offset"), F.expr(offset("l_suppkey")).alias("arrival_offset"), day("l_partkey").alias("departure_day"), day("l_orderkey").alias("arrival_day"))
+
+
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", F.to_date("o_orderdate").alias("start_date"), F.expr("date_add(to_date(o_orderdate), 27)").alias("end_date"), F.expr("array_join(transform(filter(sequence(0, 6), i -> (1 + o_orderkey % 127) & shiftleft(1L, i) <> 0), i -> cast(i + 1 as string)), '')").alias("days"), F.expr("cast(1 + o_orderkey % 2 as int)").alias("frequency"))
