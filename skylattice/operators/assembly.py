@@ -135,35 +135,29 @@ def merge_codeshares(rows: DataFrame, key: list[str], scalars: list[str], texts:
     return out
 
 
-def same_flight_expand(flights: DataFrame, most_legs: int = 8) -> DataFrame:
-    """(flight, legs): each dated flight with the chain of flights of its own designator that it stands for, itself if none.
+def same_flight_expand(flights: DataFrame) -> DataFrame:
+    """(company, number, flight, legs): each dated flight with the chain of flights of its designator that it stands for, itself if none.
 
     A through flight is replaced by the chain, least by (dep, arr, origin, dest) flight by flight, of two or more flights of
     its company and number that begins at its departure and ends at its arrival, each leaving where and after the one before
     arrived. Those are the shortest pieces: a piece that is a chain itself has later pieces ahead of it in that order.
-    Chains grow by one flight a round within a designator; a flight has few legs, and a chain longer than ``most_legs``
-    raises.
+    Flights meet the days they fly on, not all dates of their designator. Of the few flights within a flight the least chain
+    from each to the end is found once, the last to leave first, so that chains are not enumerated. Flights take time.
     """
     piece = F.struct("dep", "arr", "origin", "dest")
-    own = flights.select("company", "number", piece.alias("f"))
-    c = own.select("company", "number", F.col("f").alias("q"))
+    own = flights.select("company", "number", piece.alias("f")).distinct()
+    days = own.withColumn("_day", F.explode(F.sequence(F.to_date("f.dep"), F.to_date("f.arr"))))
+    part = days.join(own.select("company", "number", F.col("f").alias("q"), F.to_date("f.dep").alias("_day")), ["company", "number", "_day"])
     inside = (F.col("q.dep") >= F.col("f.dep")) & (F.col("q.arr") <= F.col("f.arr")) & ~((F.col("q.origin") == F.col("f.origin")) & (F.col("q.dest") == F.col("f.dest")))
-    part = own.distinct().join(c.distinct(), ["company", "number"]).filter(inside)
-    open_ = part.filter("q.origin = f.origin and q.dep = f.dep").select("company", "number", "f", F.array("q").alias("chain"))
-    step = part.select("company", "number", "f", "q")
-    done = None
-    for n in range(2, most_legs + 2):
-        end = F.element_at("chain", -1)
-        open_ = open_.join(step, ["company", "number", "f"]).filter((F.col("q.origin") == end["dest"]) & (F.col("q.dep") >= end["arr"]) & ~F.array_contains("chain", F.col("q")))
-        open_ = open_.select("company", "number", "f", F.concat("chain", F.array("q")).alias("chain"))
-        if n > most_legs:
-            over = open_.select(F.assert_true(F.size("chain") <= most_legs, f"a flight has more than {most_legs} legs").alias("x"), "company", "number", "f", "chain").filter("x is null")
-            done = done.unionByName(over.drop("x"))
-            break
-        whole = open_.filter(F.element_at("chain", -1)["dest"].eqNullSafe(F.col("f.dest")) & (F.element_at("chain", -1)["arr"] == F.col("f.arr")))
-        done = whole if done is None else done.unionByName(whole)
-    # of the chains of a flight those that cannot be taken apart further, then the least
-    parents = done.select("company", "number", F.col("f").alias("q")).distinct()
-    split = done.select("company", "number", "f", "chain", F.explode("chain").alias("q")).join(parents, ["company", "number", "q"], "left_semi").select("company", "number", "f", "chain").distinct()
-    best = done.join(split, ["company", "number", "f", "chain"], "left_anti").groupBy("company", "number", "f").agg(F.min("chain").alias("chain"))
-    return own.distinct().join(best, ["company", "number", "f"], "left").select("company", "number", F.col("f").alias("flight"), F.coalesce("chain", F.array("f")).alias("legs"))
+    part = part.filter(inside).groupBy("company", "number", "f").agg(F.sort_array(F.collect_list("q"), False).alias("q"))
+
+    def longer(chains: Column, x: Column) -> Column:
+        after = F.filter(chains, lambda c: (F.get(c, 0)["origin"] == x["dest"]) & (F.get(c, 0)["dep"] >= x["arr"]))
+        ends = (x["dest"] == F.col("f.dest")) & (x["arr"] == F.col("f.arr"))
+        best = F.when(ends, F.array(x)).when(F.size(after) > 0, F.concat(F.array(x), F.array_min(after)))
+        return F.concat(chains, F.when(best.isNotNull(), F.array(best)).otherwise(F.slice(chains, 1, 0)))
+
+    none = F.array().cast(f"array<array<{own.schema['f'].dataType.simpleString()}>>")
+    whole = F.filter(F.aggregate("q", none, longer), lambda c: (F.get(c, 0)["origin"] == F.col("f.origin")) & (F.get(c, 0)["dep"] == F.col("f.dep")))
+    best = part.select("company", "number", "f", F.array_min(whole).alias("chain"))
+    return own.join(best, ["company", "number", "f"], "left").select("company", "number", F.col("f").alias("flight"), F.coalesce("chain", F.array("f")).alias("legs"))

@@ -88,3 +88,19 @@ def codeshare_merge(spark, sf):
 @query(f"WITH {MERGED} SELECT DISTINCT m.l_orderkey, m.grp, t.meal FROM m LEFT JOIN t ON t.l_orderkey = m.l_orderkey AND t.grp = m.grp")
 def prefer_richer(spark, sf):
     return _merged(spark, sf).groupBy("l_orderkey", "grp").agg(assembly.richer("meal", "place").alias("meal"))
+
+
+_STOP = "chr(CAST(65 + {0} // 5 AS INT)) || chr(CAST(65 + {0} % 5 AS INT)) || 'X'"
+
+
+# all chains of a flight, by recursion; the least is what the flight stands for
+@query(f"""WITH RECURSIVE orders_ AS (SELECT l_orderkey AS k, max(l_linenumber) AS n, min(l_shipdate) AS d, list(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS gone FROM lineitem GROUP BY 1),
+spans AS (SELECT k, d, unnest(range(1, n + 1)) AS a, n, gone FROM orders_), spans2 AS (SELECT k, d, a, unnest(range(a, n + 1)) AS b, gone FROM spans),
+fl AS (SELECT k, d::TIMESTAMP + to_minutes(CAST(300 * a + k % 60 AS INT)) AS dep, d::TIMESTAMP + to_minutes(CAST(300 * b + k % 60 + 100 + k % 100 AS INT)) AS arr, {_STOP.format('((3 * k + 7 * a) % 25)')} AS origin, {_STOP.format('((3 * k + 7 * b + 7) % 25)')} AS dest FROM spans2 WHERE a < b OR NOT coalesce(list_contains(gone, a), FALSE)),
+chain AS (SELECT f.k, f.dep, f.arr, f.origin, f.dest, [struct_pack(dep := q.dep, arr := q.arr, origin := q.origin, dest := q.dest)] AS c FROM fl f JOIN fl q ON q.k = f.k AND q.origin = f.origin AND q.dep = f.dep AND q.arr <= f.arr AND q.dest <> f.dest
+ UNION ALL SELECT h.k, h.dep, h.arr, h.origin, h.dest, list_append(h.c, struct_pack(dep := q.dep, arr := q.arr, origin := q.origin, dest := q.dest)) FROM chain h JOIN fl q ON q.k = h.k AND q.origin = h.c[-1].dest AND q.dep >= h.c[-1].arr AND q.arr <= h.arr WHERE NOT (h.c[-1].dest = h.dest AND h.c[-1].arr = h.arr)),
+best AS (SELECT k, dep, arr, origin, dest, min(c) AS c FROM chain WHERE c[-1].dest = dest AND c[-1].arr = arr GROUP BY ALL)
+SELECT CAST(fl.k AS VARCHAR) AS number, fl.origin, fl.dest, fl.dep, fl.arr, coalesce(array_to_string(list_transform(c, lambda x: x.origin || '>' || x.dest), '|'), fl.origin || '>' || fl.dest) AS legs FROM fl LEFT JOIN best USING (k, dep, arr, origin, dest)""")
+def same_flight_expand(spark, sf):
+    x = assembly.same_flight_expand(derived.through_flights(spark, sf))
+    return x.select("number", "flight.origin", "flight.dest", "flight.dep", "flight.arr", F.array_join(F.transform("legs", lambda p: F.concat_ws(">", p["origin"], p["dest"])), "|").alias("legs"))

@@ -36,6 +36,15 @@ def flights(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
                     F.expr("if(l_linenumber % 4 = 0, array(concat('C', (l_partkey + 1) % 7)), cast(array() as array<string>))").alias("duplicates"), F.expr("concat('T', l_partkey % 3)").alias("departure_terminal"), F.expr("concat('T', l_suppkey % 3)").alias("arrival_terminal"))
 
 
+def through_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights of designators with as many legs as an order has lines: every span of two legs or more, and the legs that were not returned."""
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"), F.min("l_shipdate").alias("day"), F.collect_set(F.expr("case when l_returnflag = 'R' then l_linenumber end")).alias("gone"))
+    x = o.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("a")).select("*", F.explode(F.sequence(F.col("a"), F.col("n"))).alias("b")).filter("a < b or not array_contains(gone, a)")
+    x = x.withColumn("o", F.expr("(3 * l_orderkey + 7 * a) % 25")).withColumn("d", F.expr("(3 * l_orderkey + 7 * b + 7) % 25"))
+    at = lambda m: F.expr(f"cast(day as timestamp_ntz) + make_dt_interval(0, 0, cast({m} as int))")
+    return x.select(F.lit("O").alias("company"), F.col("l_orderkey").cast("string").alias("number"), code("o").alias("origin"), code("d").alias("dest"), at("300 * a + l_orderkey % 60").alias("dep"), at("300 * b + l_orderkey % 60 + 100 + l_orderkey % 100").alias("arr"))
+
+
 def zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(airports with ``zone``, transitions): a zone per nation, from 12 hours west to 12 east; every second has summer time."""
     n = table(spark, sf_dir, "nation")
