@@ -6,11 +6,12 @@ they agree in all but the time, one *content* if they agree in all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import effective_date, hhmm_minutes
-from skylattice.operators import mct
+from skylattice.operators import itineraries, mct
+from skylattice.sources.tables import stored
 
 CONTENT = [*mct.SCOPE, "suppression", *mct.SUPPRESSED_PLACE, "time"]
 #: What replaces what: here the suppression counts, other than in matching.
@@ -147,6 +148,21 @@ def rule_errors() -> Column:
     return F.array_compact(F.array(*checks))
 
 
+def loaded(flights: DataFrame, airports: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(flights in memory, counters): one per key, the last, between airports that are loaded.
+
+    ``read`` rows came, ``skipped`` name an airport that is not loaded, ``duplicates`` gave way to another of their key, and
+    ``loaded`` stay. The counters are observed while the flights are written; nothing is scanned for them.
+    """
+    known = airports.select("code").distinct()
+    seen, kept = Observation("seen"), Observation("kept")
+    x = flights.join(known.select(F.col("code").alias("origin"), F.lit(True).alias("_o")), "origin", "left").join(known.select(F.col("code").alias("dest"), F.lit(True).alias("_d")), "dest", "left")
+    x = x.withColumn("_in", F.col("_o").isNotNull() & F.col("_d").isNotNull()).observe(seen, F.count("*").alias("read"), F.count_if("_in").alias("held"))
+    out = stored(itineraries.latest(x.filter("_in").select(flights.columns)).observe(kept, F.count("*").alias("loaded")))
+    read, held, n = seen.get["read"], seen.get["held"], kept.get["loaded"]
+    return out, {"read": read, "skipped": read - held, "duplicates": held - n, "loaded": n}
+
+
 def inserted(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``current`` and those of ``rows`` whose key it lacks, each key once: create, or add to the pairs of interest."""
     return current.unionByName(rows.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti").select(current.columns))

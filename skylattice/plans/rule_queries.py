@@ -12,11 +12,13 @@ from skylattice.sources import derived
 FILE = f"""{RULES}, named AS (SELECT rules0.*, ast AS owner FROM rules0 WHERE ast IS NOT NULL UNION ALL SELECT *, dst FROM rules0 WHERE dst IS NOT NULL AND dst IS DISTINCT FROM ast UNION ALL SELECT *, NULL FROM rules0 WHERE ast IS NULL AND dst IS NULL),
 known AS (SELECT chr(CAST(65 + n_nationkey // 5 AS INT)) || chr(CAST(65 + n_nationkey % 5 AS INT)) || 'X' AS code FROM nation WHERE n_nationkey < 20),
 told AS MATERIALIZED (SELECT coalesce(owner, '') AS owner, rule_pos, coalesce(CAST(minutes AS VARCHAR), '-') AS minutes, concat_ws('/', status, coalesce(ast, '-'), coalesce(dst, '-'), coalesce(ac, '-'), coalesce(dc, '-'), coalesce(aop, '-'), coalesce(af, -1), coalesce(df, -1), coalesce(dt, -1), coalesce(aterm, '-'), coalesce(dterm, '-'), coalesce(pst, '-'), coalesce(pstate, '-'), coalesce(nstate, '-'), coalesce(ef, DATE '1900-01-01'), coalesce(et, DATE '1900-01-01'), air, supreg, reg, acs, nf, off) AS scope FROM named WHERE owner IS NULL OR owner IN (SELECT code FROM known))"""
+# of all airports; what mct_targets tells is which are missing
+EVERY = FILE.replace(" WHERE n_nationkey < 20", "")
 OLD = "(SELECT owner, scope, arg_max(minutes, rule_pos) AS minutes, min(rule_pos) AS place FROM told WHERE rule_pos % 2 = 0 GROUP BY ALL)"
 
 
-def _airports(spark, sf):
-    return derived.table(spark, sf, "nation").filter("n_nationkey < 20").select(derived.code("n_nationkey").alias("code"))
+def _airports(spark, sf, where="true"):
+    return derived.table(spark, sf, "nation").filter(where).select(derived.code("n_nationkey").alias("code"))
 
 
 def _file(spark, sf):
@@ -30,16 +32,16 @@ def _told(rules):
 
 @query(f"WITH {FILE} SELECT owner, count(*) AS n FROM told GROUP BY 1 UNION ALL SELECT 'missing ' || owner, -1 FROM (SELECT DISTINCT owner FROM named WHERE owner IS NOT NULL AND owner NOT IN (SELECT code FROM known))")
 def mct_targets(spark, sf):
-    held, missing = maintenance.targets(_file(spark, sf), _airports(spark, sf))
+    held, missing = maintenance.targets(_file(spark, sf), _airports(spark, sf, "n_nationkey < 20"))
     return held.groupBy(F.coalesce("owner", F.lit("")).alias("owner")).agg(F.count("*").alias("n")).unionByName(missing.select(F.concat(F.lit("missing "), "code").alias("owner"), F.lit(-1).cast("long").alias("n")))
 
 
-@query(f"WITH {FILE}, x AS (SELECT owner, scope, arg_max(minutes, rule_pos) AS minutes, min(rule_pos) AS place FROM told GROUP BY ALL) SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY place) AS rule_pos, split_part(scope, '/', 1) AS status, split_part(scope, '/', 2) AS station, minutes FROM x")
+@query(f"WITH {EVERY}, x AS (SELECT owner, scope, arg_max(minutes, rule_pos) AS minutes, min(rule_pos) AS place FROM told GROUP BY ALL) SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY place) AS rule_pos, split_part(scope, '/', 1) AS status, split_part(scope, '/', 2) AS station, minutes FROM x")
 def mct_full_replace(spark, sf):
     return _told(maintenance.full_replace(_file(spark, sf), _airports(spark, sf)))
 
 
-@query(f"""WITH {FILE}, old AS {OLD}, dels AS (SELECT DISTINCT owner, scope, minutes FROM told WHERE rule_pos % 5 = 0), kept AS (SELECT * FROM old ANTI JOIN dels USING (owner, scope, minutes)),
+@query(f"""WITH {EVERY}, old AS {OLD}, dels AS (SELECT DISTINCT owner, scope, minutes FROM told WHERE rule_pos % 5 = 0), kept AS (SELECT * FROM old ANTI JOIN dels USING (owner, scope, minutes)),
 adds AS (SELECT owner, scope, arg_max(minutes, rule_pos) AS minutes, min(rule_pos) AS place FROM told WHERE rule_pos % 5 <> 0 GROUP BY ALL),
 x AS (SELECT k.owner, k.scope, coalesce(a.minutes, k.minutes) AS minutes, 0 AS new, k.place FROM kept k LEFT JOIN adds a USING (owner, scope) UNION ALL SELECT owner, scope, minutes, 1, place FROM adds ANTI JOIN kept USING (owner, scope))
 SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY new, place) AS rule_pos, split_part(scope, '/', 1) AS status, split_part(scope, '/', 2) AS station, minutes FROM x""")
@@ -49,7 +51,7 @@ def mct_delta(spark, sf):
     return _told(maintenance.delta(current, _file(spark, sf), a))
 
 
-@query(f"""WITH {FILE}, old AS {OLD}, adds AS (SELECT t.*, lag(t.minutes) OVER (PARTITION BY t.owner, t.scope ORDER BY t.rule_pos) AS before, old.minutes AS held FROM told t LEFT JOIN old ON old.owner = t.owner AND old.scope = t.scope WHERE t.rule_pos % 5 <> 0)
+@query(f"""WITH {EVERY}, old AS {OLD}, adds AS (SELECT t.*, lag(t.minutes) OVER (PARTITION BY t.owner, t.scope ORDER BY t.rule_pos) AS before, old.minutes AS held FROM told t LEFT JOIN old ON old.owner = t.owner AND old.scope = t.scope WHERE t.rule_pos % 5 <> 0)
 SELECT owner, rule_pos, CASE WHEN coalesce(before, held) IS NULL THEN 'added' WHEN coalesce(before, held) = minutes THEN 'unchanged' ELSE 'replaced' END AS result FROM adds""")
 def mct_upsert_status(spark, sf):
     a = _airports(spark, sf)
