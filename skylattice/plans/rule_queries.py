@@ -8,6 +8,8 @@ from skylattice.functions.geo import leg_status
 from skylattice.operators import maintenance, mct
 from skylattice.plans.queries import AIRPORTS, RULES, query
 from skylattice.sources import derived
+from skylattice.sources.tables import shared_dir
+from skylattice.streaming import rule_updates
 
 FILE = f"""{RULES}, named AS (SELECT rules0.*, ast AS owner FROM rules0 WHERE ast IS NOT NULL UNION ALL SELECT *, dst FROM rules0 WHERE dst IS NOT NULL AND dst IS DISTINCT FROM ast UNION ALL SELECT *, NULL FROM rules0 WHERE ast IS NULL AND dst IS NULL),
 known AS (SELECT chr(CAST(65 + n_nationkey // 5 AS INT)) || chr(CAST(65 + n_nationkey % 5 AS INT)) || 'X' AS code FROM nation WHERE n_nationkey < 20),
@@ -77,3 +79,25 @@ def leg_statuses(spark, sf):
     a = derived.airports(spark, sf)
     x = a.select(F.col("code").alias("origin"), F.col("country").alias("_a")).join(a.select(F.col("code").alias("dest"), F.col("country").alias("_b")), F.lit(True))  # a dimension with itself
     return x.select("origin", "dest", leg_status(F.col("_a"), F.col("_b")).alias("status"))
+
+
+# three updates files, one after the other: each a third of the rules
+_THIRD = "(rule_pos * 3 // (SELECT max(p_partkey) + 1 FROM part))"
+_DELTAS = ", ".join(f"""dels{i} AS (SELECT DISTINCT owner, scope, minutes FROM told WHERE rule_pos % 5 = 0 AND {_THIRD} = {i}), kept{i} AS (SELECT * FROM state{i} ANTI JOIN dels{i} USING (owner, scope, minutes)),
+adds{i} AS (SELECT owner, scope, arg_max(minutes, rule_pos) AS minutes, min(rule_pos) AS place FROM told WHERE rule_pos % 5 <> 0 AND {_THIRD} = {i} GROUP BY ALL),
+x{i} AS (SELECT k.owner, k.scope, coalesce(a.minutes, k.minutes) AS minutes, 0 AS new, k.place FROM kept{i} k LEFT JOIN adds{i} a USING (owner, scope) UNION ALL SELECT owner, scope, minutes, 1, place FROM adds{i} ANTI JOIN kept{i} USING (owner, scope)),
+state{i + 1} AS (SELECT owner, scope, minutes, row_number() OVER (PARTITION BY owner ORDER BY new, place) AS place FROM x{i})""" for i in range(3))
+
+
+@query(f"WITH {EVERY}, state0 AS (SELECT owner, scope, minutes, rule_pos AS place FROM told WHERE FALSE), {_DELTAS} SELECT owner, place AS rule_pos, split_part(scope, '/', 1) AS status, split_part(scope, '/', 2) AS station, minutes FROM state3")
+def mct_delta_stream(spark, sf):
+    """Three files read by a stream, a batch each; the rules after the last."""
+    at, rules = shared_dir(spark), _file(spark, sf)
+    last = derived.table(spark, sf, "part").agg(F.max("p_partkey").alias("_last"))
+    rules = rules.join(F.broadcast(last), F.lit(True)).withColumn("_third", F.expr("rule_pos * 3 div (_last + 1)")).drop("_last")  # one row
+    for i in range(3):
+        rules.filter(F.col("_third") == i).drop("_third").coalesce(1).write.mode("append").parquet(f"{at}/files/{i}")
+    updates = spark.readStream.schema(rules.drop("_third").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/files/*")
+    query_ = rule_updates.follow(updates, f"{at}/rules", f"{at}/log", _airports(spark, sf))
+    query_.awaitTermination()
+    return _told(rule_updates.current(spark, f"{at}/rules", query_))

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new name in the folder all executors share: ``spark.checkpoint.dir``, or the warehouse if that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/skylattice-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder all executors share (``spark.checkpoint.dir``, or the warehouse if unset), and read again.
+    """``df`` written once to the folder all executors share, and read again.
 
     For what is used twice and costly: it is computed once, and a lost executor loses none of it.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/skylattice-{uuid.uuid4().hex}"
+    path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
