@@ -99,7 +99,7 @@ def delta_summary(current: DataFrame, file_rules: DataFrame, airports: DataFrame
     deleted = current.agg(F.count("*").alias("_n")).crossJoin(left.agg(F.count("*").alias("_m"))).select((F.col("_n") - F.col("_m")).alias("deleted"))
     lost = missing.agg(F.array_join(F.array_sort(F.collect_list("code")), "|").alias("missing"))
     # single rows side by side
-    return one.crossJoin(deleted).crossJoin(file_rules.agg(F.count_if("arrival_station is null and departure_station is null").alias("global_records"))).crossJoin(lost)
+    return one.crossJoin(deleted).crossJoin(file_rules.agg(F.count_if(F.expr("arrival_station is null and departure_station is null")).alias("global_records"))).crossJoin(lost)
 
 
 def filters_after(current: DataFrame, file_filters: DataFrame, full: bool) -> DataFrame:

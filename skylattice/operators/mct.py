@@ -8,7 +8,6 @@ in bitmaps of the rules (``rule_index``), a dimension that is broadcast in piece
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +47,18 @@ GROUPS = {
 RULES_AT_ONCE = 1 << 16
 
 
-def given(field: str) -> Column:
-    """1 if a rule sets the field: not null, or true for a flag."""
-    return F.coalesce(F.col(field), F.lit(False)).cast("int") if field in FLAGS else F.col(field).isNotNull().cast("int")
+def given(field: str) -> str:
+    """1 if a rule sets the field: not null, or true for a flag. As SQL: a rank has a hundred of these."""
+    return f"int(coalesce({field}, false))" if field in FLAGS else f"int({field} is not null)"
 
 
 def specificity() -> Column:
     """(highest group, groups, fields, stations) that a rule sets; the larger wins, field by field."""
-    group = {n: F.greatest(*[given(f) for f in fields]) for n, fields in GROUPS.items()}
+    group = {n: f"greatest({', '.join(map(given, fields))})" for n, fields in GROUPS.items()}
     counted = [f for f in SCOPE if f != "status"]
-    return F.struct(
-        F.greatest(*[g * n for n, g in group.items()]).alias("highest"),
-        reduce(Column.__add__, group.values()).alias("groups"),
-        reduce(Column.__add__, [given(f) for f in counted]).alias("fields"),
-        (given("arrival_station") + given("departure_station")).alias("stations"),
+    return F.expr(
+        f"named_struct('highest', greatest({', '.join(f'{n} * {g}' for n, g in group.items())}), 'groups', {' + '.join(group.values())}, "
+        f"'fields', {' + '.join(map(given, counted))}, 'stations', {given('arrival_station')} + {given('departure_station')})"
     )
 
 

@@ -229,3 +229,9 @@ def fixed_width_parse(spark, sf):
 def designator_chunks(spark, sf):
     p = derived.table(spark, sf, "part").withColumn("x", geo.designator(F.expr("concat(rpad(concat('C', p_partkey % 7), 3, ' '), case when p_size % 4 > 0 then cast(p_size as string) else '' end)")))
     return p.select("p_partkey", F.col("x.company").alias("company"), F.col("x.flight_number").alias("number"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(range(0, 5), lambda i: trim(substr(t, CAST(3 * i + 1 AS INT), 3))), lambda x: x <> ''), '|') AS chunks FROM (SELECT p_partkey, rpad('C' || (p_partkey % 7), 3, ' ') || CASE WHEN p_size % 3 = 0 THEN '   ' ELSE ' D' || (p_size % 10) END || rpad(CAST(p_size AS VARCHAR), 3, ' ') AS t FROM part)")
+def text_chunks(spark, sf):
+    text = F.expr("concat(rpad(concat('C', p_partkey % 7), 3, ' '), if(p_size % 3 = 0, '   ', concat(' D', p_size % 10)), rpad(cast(p_size as string), 3, ' '))")
+    return derived.table(spark, sf, "part").select("p_partkey", F.array_join(geo.chunks(text, 3, 5), "|").alias("chunks"))

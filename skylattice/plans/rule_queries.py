@@ -81,6 +81,16 @@ def leg_statuses(spark, sf):
     return x.select("origin", "dest", leg_status(F.col("_a"), F.col("_b")).alias("status"))
 
 
+@query(f"""WITH {FILE}, old AS {OLD}, dels AS (SELECT DISTINCT owner, scope, minutes FROM told WHERE rule_pos % 5 = 0), kept AS (SELECT * FROM old ANTI JOIN dels USING (owner, scope, minutes)),
+adds AS (SELECT t.minutes, coalesce(lag(t.minutes) OVER (PARTITION BY t.owner, t.scope ORDER BY t.rule_pos), kept.minutes) AS held FROM told t LEFT JOIN kept ON kept.owner = t.owner AND kept.scope = t.scope WHERE t.rule_pos % 5 <> 0)
+SELECT count(*) FILTER (WHERE held IS NULL) AS added, count(*) FILTER (WHERE held <> minutes) AS replaced, count(*) FILTER (WHERE held = minutes) AS unchanged, (SELECT count(*) FROM old) - (SELECT count(*) FROM kept) AS deleted,
+ (SELECT count(*) FROM rules0 WHERE ast IS NULL AND dst IS NULL) AS global_records, (SELECT coalesce(string_agg(DISTINCT owner, '|' ORDER BY owner), '') FROM named WHERE owner IS NOT NULL AND owner NOT IN (SELECT code FROM known)) AS missing FROM adds""")
+def mct_summary(spark, sf):
+    a = _airports(spark, sf, "n_nationkey < 20")
+    current = maintenance.full_replace(_file(spark, sf).filter("rule_pos % 2 = 0"), a)
+    return maintenance.delta_summary(current, _file(spark, sf), a)
+
+
 # three updates files, one after the other: each a third of the rules
 _THIRD = "(rule_pos * 3 // (SELECT max(p_partkey) + 1 FROM part))"
 _DELTAS = ", ".join(f"""dels{i} AS (SELECT DISTINCT owner, scope, minutes FROM told WHERE rule_pos % 5 = 0 AND {_THIRD} = {i}), kept{i} AS (SELECT * FROM state{i} ANTI JOIN dels{i} USING (owner, scope, minutes)),
