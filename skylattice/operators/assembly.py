@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import day_variation, designator
+from skylattice.operators import lines
 
 #: Fields that two legs of one flight agree in.
 SAME_FLIGHT = ["airline", "flight", "variation", "service_type", "frequency"]
@@ -27,8 +30,11 @@ def blocks(legs: DataFrame, keys: list[str], order: str = "line_no") -> DataFram
 
     ``keys`` are the file, or the part of it between two hard borders: a block never crosses them.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    x = legs.withColumn("_new", (~continues(w)).cast("int")).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = lines.previous(legs, keys, order, [*SAME_FLIGHT, "arrival_station", "leg_sequence"], "_before")
+    on = F.col("_before.arrival_station").eqNullSafe(F.col("departure_station")) & (F.col("leg_sequence") == F.col("_before.leg_sequence") + 1)
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_before." + c)) for c in SAME_FLIGHT], on & F.col("_before").isNotNull())
+    x = x.withColumn("_new", (~F.coalesce(on, F.lit(False))).cast("int")).drop("_before")
+    x = lines.running(x, keys, order, "_new", "block")
     return x.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "block").orderBy(order))).drop("_new")
 
 
@@ -41,8 +47,8 @@ def broken(blocked: DataFrame, keys: list[str]) -> DataFrame:
 def attached(segments: DataFrame, legs: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
     """Segment records with ``leg_line``, the line of the leg above them; null for orphans, which are errors."""
     both = legs.select(*keys, order, F.col(order).alias("leg_line"), F.lit(None).cast("long").alias("_s")).unionByName(segments.select(*keys, order, F.lit(None).cast("long").alias("leg_line"), F.col(order).cast("long").alias("_s")))
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("leg_line", F.last("leg_line", ignorenulls=True).over(w)).filter("_s is not null").drop("_s")
+    # line numbers rise: the last leg above is the one with the largest
+    found = lines.running(both.withColumnRenamed("leg_line", "_leg"), keys, order, "_leg", "leg_line", "max").filter("_s is not null").drop("_s", "_leg")
     return segments.join(found, [*keys, order])
 
 

@@ -104,3 +104,14 @@ SELECT CAST(fl.k AS VARCHAR) AS number, fl.origin, fl.dest, fl.dep, fl.arr, coal
 def same_flight_expand(spark, sf):
     x = assembly.same_flight_expand(derived.through_flights(spark, sf))
     return x.select("number", "flight.origin", "flight.dest", "flight.dep", "flight.arr", F.array_join(F.transform("legs", lambda p: F.concat_ws(">", p["origin"], p["dest"])), "|").alias("legs"))
+
+
+# legs of one file in line order: a block ends where an order does, and after each line that was returned
+@query("""WITH l AS (SELECT l_orderkey * 100 + l_linenumber AS line_no, l_orderkey AS k, l_linenumber AS i, max(l_returnflag) = 'R' AS gone FROM lineitem GROUP BY ALL),
+n AS (SELECT *, coalesce(lag(k) OVER w = k AND lag(i) OVER w = i - 1 AND NOT lag(gone) OVER w, FALSE) AS goes_on FROM l WINDOW w AS (ORDER BY line_no)),
+b AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM n)
+SELECT line_no, CAST(block AS BIGINT) AS block, CAST(row_number() OVER (PARTITION BY block ORDER BY line_no) AS INT) AS pos FROM b""")
+def schedule_blocks(spark, sf):
+    li = derived.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
+    legs = li.select(F.expr("l_orderkey * 100 + l_linenumber").alias("line_no"), F.lit("XX").alias("airline"), F.col("l_orderkey").cast("string").alias("flight"), F.lit("01").alias("variation"), F.lit("J").alias("service_type"), F.lit(None).cast("string").alias("frequency"), F.col("l_linenumber").cast("int").alias("leg_sequence"), F.expr("concat('S', l_linenumber)").alias("departure_station"), F.expr("if(l_returnflag = 'R', 'END', concat('S', l_linenumber + 1))").alias("arrival_station"))
+    return assembly.blocks(legs, []).select("line_no", "block", "pos")

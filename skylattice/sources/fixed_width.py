@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import chunks, hhmm_minutes
+from skylattice.operators import lines as file_lines
 
 # First and last byte, counted from 1, of each field of the formats.
 LEG = {"airline": (3, 5), "flight": (6, 9), "variation": (10, 11), "leg_sequence": (12, 13), "service_type": (14, 14), "from_date": (15, 21), "to_date": (22, 28), "days": (29, 35), "frequency": (36, 36), "departure_station": (37, 39), "passenger_std": (40, 43), "aircraft_std": (44, 47), "departure_offset": (48, 52), "departure_terminal": (53, 54), "arrival_station": (55, 57), "aircraft_sta": (58, 61), "passenger_sta": (62, 65), "arrival_offset": (66, 70), "arrival_terminal": (71, 72), "equipment": (73, 75), "prbd": (76, 95), "prbm": (96, 100), "meal": (101, 110), "joint_operation": (111, 119), "secure_flight": (122, 122), "departure_day": (193, 193), "arrival_day": (194, 194), "serial": (195, 200)}
@@ -81,16 +82,16 @@ def rule_file_errors(lines: DataFrame) -> DataFrame:
 
     Every line has 200 bytes after a trailing CR; the header comes first with serial 1, then rules, filters, and the trailer
     last; serials rise by one and the trailer tells the last; rules that ask for a filter need one filter record; a full
-    file has no actions, an updates file one on every rule. One file is one group of lines: files are small against tables.
+    file has no actions, an updates file one on every rule. A large file is dealt over many tasks (``operators.lines``).
     """
     v = F.regexp_replace("value", "\r$", "")
     x = lines.select("line_no", v.alias("value"))
     kind = F.substring("value", 1, 1)
     x = x.withColumn("kind", F.when((kind == "3") & (F.substring("value", 194, 1) == "E"), "4").otherwise(kind)).withColumn("serial", F.trim(F.substring("value", 195, 6)).try_cast("int"))
-    w = Window.orderBy("line_no")
-    x = x.withColumn("_k", F.lag("kind").over(w)).withColumn("_s", F.lag("serial").over(w)).withColumn("_last", F.lead("kind").over(w).isNull())
-    whole = Window.partitionBy()
-    x = x.withColumn("_content", F.first(F.when(F.col("kind") == "1", F.substring("value", 78, 1)), ignorenulls=True).over(whole)).withColumn("_filters", F.count_if(F.col("kind") == "3").over(whole))
+    x = file_lines.previous(x, [], "line_no", ["kind", "serial"], "_before").withColumn("_k", F.col("_before.kind")).withColumn("_s", F.col("_before.serial"))
+    # what is true of the file: one row
+    whole = x.agg(F.max("line_no").alias("_end"), F.min_by(F.when(F.col("kind") == "1", F.substring("value", 78, 1)), F.when(F.col("kind") == "1", F.col("line_no"))).alias("_content"), F.count_if(F.col("kind") == "3").alias("_filters"))
+    x = x.join(F.broadcast(whole), F.lit(True)).withColumn("_last", F.col("line_no") == F.col("_end"))
     action = F.trim(F.substring("value", 104, 1))
     order = F.when(F.col("_k").isNull(), F.col("kind") == "1").otherwise(F.col("kind").isin("2", "3", "4") & (F.col("kind") >= F.col("_k")) & (F.col("_k") != "4"))
     checks = [

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from skylattice.operators import assembly, itineraries, maintenance
+from skylattice.operators import assembly, itineraries, lines, maintenance
 from skylattice.sources import fixed_width
 
 
@@ -166,3 +166,17 @@ def test_table_upkeep(spark):
     got = maintenance.normalised(raw, "BBB").withColumn("errors", maintenance.rule_errors()).orderBy("rule_pos").collect()
     assert (got[0].status, got[0].arrival_station, got[0].departure_station, got[0].arrival_carrier, got[0].needs_filter, got[0].errors) == ("DD", "BBB", "BBB", "AA", False, [])
     assert got[1].errors == ["status", "time", "arrival_carrier"]
+
+
+def test_lines_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(lines, "STRETCH_BITS", 2)
+    rows = [(f, i * 3 % 100, (i * 7) % 5 if i % 4 else None) for f in ("a", None) for i in range(33)]
+    df = spark.createDataFrame(rows, "f string, n long, v long")
+    x = lines.previous(lines.running(lines.running(df, ["f"], "n", "v", "total"), ["f"], "n", "v", "top", "max"), ["f"], "n", ["n", "v"], "p")
+    got = {(r.f, r.n): (r.total, r.top, r.p and tuple(r.p)) for r in x.collect()}
+    for f in ("a", None):
+        own, total, top, before = sorted(r[1:] for r in rows if r[0] == f), 0, None, None
+        for n, v in own:
+            total, top = total + (v or 0), max([y for y in (top, v) if y is not None], default=None)
+            assert got[f, n] == (total, top, before)
+            before = (n, v)
