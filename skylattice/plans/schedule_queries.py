@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skylattice.functions import elements
 from skylattice.operators import assembly
 from skylattice.plans.queries import query
 from skylattice.sources import derived
@@ -115,3 +116,12 @@ def schedule_blocks(spark, sf):
     li = derived.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
     legs = li.select(F.expr("l_orderkey * 100 + l_linenumber").alias("line_no"), F.lit("XX").alias("airline"), F.col("l_orderkey").cast("string").alias("flight"), F.lit("01").alias("variation"), F.lit("J").alias("service_type"), F.lit(None).cast("string").alias("frequency"), F.col("l_linenumber").cast("int").alias("leg_sequence"), F.expr("concat('S', l_linenumber)").alias("departure_station"), F.expr("if(l_returnflag = 'R', 'END', concat('S', l_linenumber + 1))").alias("arrival_station"))
     return assembly.blocks(legs, []).select("line_no", "block", "pos")
+
+
+_NAMED = ", ".join(f"({k}, {k}, '{v}')" for k, v in elements.DESCRIPTIONS.items()) + ", " + ", ".join(f"({a}, {b}, '{v}')" for (a, b), v in elements.RANGES.items())
+
+
+@query(f"SELECT coalesce(what, '{elements.UNKNOWN}') AS what, count(*) AS n, min(code) AS first, max(code) AS last FROM (SELECT lpad(CAST(l_partkey * 7 % 1000 AS VARCHAR), 3, '0') AS code FROM lineitem) LEFT JOIN (VALUES {_NAMED}) v(a, b, what) ON CAST(code AS INT) BETWEEN a AND b GROUP BY 1")
+def dei_descriptions(spark, sf):
+    x = derived.table(spark, sf, "lineitem").select(F.lpad((F.col("l_partkey") * 7 % 1000).cast("string"), 3, "0").alias("code"))
+    return x.groupBy(elements.description(F.col("code")).alias("what")).agg(F.count("*").alias("n"), F.min("code").alias("first"), F.max("code").alias("last"))
