@@ -141,29 +141,55 @@ def merge_codeshares(rows: DataFrame, key: list[str], scalars: list[str], texts:
     return out
 
 
+def _before(times: Column, at: Column, also: bool) -> Column:
+    """How many of sorted ``times`` are before ``at``, or with ``also`` at it: halving, as there may be many."""
+    ends = F.struct(F.lit(0).alias("a"), F.size(times).alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        # unknown times come first
+        less = F.coalesce((F.get(times, mid) <= at) if also else (F.get(times, mid) < at), F.lit(True))
+        up = F.struct((mid + 1).alias("a"), s["b"].alias("b"))
+        return F.when(s["a"] >= s["b"], s).when(less, up).otherwise(F.struct(s["a"].alias("a"), mid.alias("b")))
+
+    # an array of n is halved as often as n has binary digits
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(times)))), ends, halve)["a"]
+
+
 def same_flight_expand(flights: DataFrame) -> DataFrame:
     """(company, number, flight, legs): each dated flight with the chain of flights of its designator that it stands for, itself if none.
 
     A through flight is replaced by the chain, least by (dep, arr, origin, dest) flight by flight, of two or more flights of
     its company and number that begins at its departure and ends at its arrival, each leaving where and after the one before
     arrived. Those are the shortest pieces: a piece that is a chain itself has later pieces ahead of it in that order.
-    Flights meet the days they fly on, not all dates of their designator. Of the few flights within a flight the least chain
-    from each to the end is found once, the last to leave first, so that chains are not enumerated. Flights take time.
+    Flights are dealt once, by designator. A *run* of a designator ends where none of its flights is in the air; within its run
+    a flight looks only at those that leave while it flies. Of these the least chain from each to the end is found once, the
+    last to leave first, so that chains are not enumerated and pairs of flights are not dealt. Flights take time.
     """
     piece = F.struct("dep", "arr", "origin", "dest")
-    own = flights.select("company", "number", piece.alias("f")).distinct()
-    days = own.withColumn("_day", F.explode(F.sequence(F.to_date("f.dep"), F.to_date("f.arr"))))
-    part = days.join(own.select("company", "number", F.col("f").alias("q"), F.to_date("f.dep").alias("_day")), ["company", "number", "_day"])
-    inside = (F.col("q.dep") >= F.col("f.dep")) & (F.col("q.arr") <= F.col("f.arr")) & ~((F.col("q.origin") == F.col("f.origin")) & (F.col("q.dest") == F.col("f.dest")))
-    part = part.filter(inside).groupBy("company", "number", "f").agg(F.sort_array(F.collect_list("q"), False).alias("q"))
-
-    def longer(chains: Column, x: Column) -> Column:
-        after = F.filter(chains, lambda c: (F.get(c, 0)["origin"] == x["dest"]) & (F.get(c, 0)["dep"] >= x["arr"]))
-        ends = (x["dest"] == F.col("f.dest")) & (x["arr"] == F.col("f.arr"))
-        best = F.when(ends, F.array(x)).when(F.size(after) > 0, F.concat(F.array(x), F.array_min(after)))
-        return F.concat(chains, F.when(best.isNotNull(), F.array(best)).otherwise(F.slice(chains, 1, 0)))
-
-    none = F.array().cast(f"array<array<{own.schema['f'].dataType.simpleString()}>>")
-    whole = F.filter(F.aggregate("q", none, longer), lambda c: (F.get(c, 0)["origin"] == F.col("f.origin")) & (F.get(c, 0)["dep"] == F.col("f.dep")))
-    best = part.select("company", "number", "f", F.array_min(whole).alias("chain"))
-    return own.join(best, ["company", "number", "f"], "left").select("company", "number", F.col("f").alias("flight"), F.coalesce("chain", F.array("f")).alias("legs"))
+    order = Window.partitionBy("company", "number").orderBy("dep")
+    new = F.col("dep") > F.max("arr").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    x = flights.select("company", "number", "dep", "arr", "origin", "dest").withColumn("_new", F.coalesce(new, F.lit(False)).cast("int"))
+    x = x.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # flights of one departure are of one run: the second is no later than the arrival of the first
+    runs = x.groupBy("company", "number", "_run").agg(F.array_sort(F.collect_set(piece)).alias("own"))
+    runs = runs.withColumn("deps", F.transform("own", lambda q: q["dep"]))
+    none = F.slice(F.transform("own", lambda q: F.array(q)), 1, 0)
+
+    def chain(f: Column) -> Column:
+        low = _before(F.col("deps"), f["dep"], False)
+        part = F.slice("own", low + 1, F.greatest(_before(F.col("deps"), f["arr"], True) - low, F.lit(0)))
+        inside = lambda q: (q["arr"] <= f["arr"]) & ~((q["origin"] == f["origin"]) & (q["dest"] == f["dest"]))
+
+        def longer(chains: Column, q: Column) -> Column:
+            after = F.filter(chains, lambda c: (F.get(c, 0)["origin"] == q["dest"]) & (F.get(c, 0)["dep"] >= q["arr"]))
+            ends = (q["dest"] == f["dest"]) & (q["arr"] == f["arr"])
+            best = F.when(ends, F.array(q)).when(F.size(after) > 0, F.concat(F.array(q), F.array_min(after)))
+            return F.concat(chains, F.when(best.isNotNull(), F.array(best)).otherwise(F.slice(chains, 1, 0)))
+
+        found = F.aggregate(F.reverse(F.filter(part, inside)), none, longer)
+        whole = F.filter(found, lambda c: (F.get(c, 0)["origin"] == f["origin"]) & (F.get(c, 0)["dep"] == f["dep"]))
+        return F.when(F.col("company").isNotNull() & F.col("number").isNotNull(), F.array_min(whole))
+
+    told = runs.select("company", "number", F.explode(F.transform("own", lambda f: F.struct(f.alias("flight"), F.coalesce(chain(f), F.array(f)).alias("legs")))).alias("t"))
+    return told.select("company", "number", "t.flight", "t.legs")

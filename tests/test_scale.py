@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from skylattice.operators import mct, network, rule_index
+from skylattice.operators import assembly, mct, network, rule_index
 
 NOON = datetime(2026, 3, 1, 12)
 FLIGHTS = "company string, number string, origin string, dest string, dep timestamp_ntz, arr timestamp_ntz, block int, op_company string, op_number string, duplicates array<string>, departure_terminal string, arrival_terminal string"
@@ -70,3 +70,27 @@ def test_connections_off_the_paths_are_not_looked_up(spark, monkeypatch):
     got = network.connections_by_rules(first, second, pairs, rules, none, _land(spark), only=only)
     assert sorted((r.company, r.dest2) for r in got.collect()) == [(f"C{i}", "CCX") for i in range(3)]
     assert seen[0].count() == 3
+
+
+def test_through_flights_are_dealt_once(spark):
+    at = lambda h: NOON + timedelta(hours=h)
+    rows = [("O", n, at(24 * d + a), at(24 * d + b), o, e) for n in ("1", "2") for d in range(40) for a, b, o, e in ((0, 9, "AAA", "DDD"), (0, 2, "AAA", "BBB"), (3, 5, "BBB", "CCC"), (6, 9, "CCC", "DDD"), (3, 9, "BBB", "DDD"), (3, 9, "BBB", "DDD"))]
+    # one that is in the air all the time, so that all days are one run
+    rows += [("O", "2", at(-1), at(24 * 41), "XXX", "YYY")]
+    told = assembly.same_flight_expand(spark.createDataFrame(rows, "company string, number string, dep timestamp_ntz, arr timestamp_ntz, origin string, dest string"))
+    assert told._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    got = {(r.number, r.flight.dep, r.flight.arr, r.flight.origin): [q.origin + q.dest for q in r.legs] for r in told.collect()}
+    assert len(got) == told.count() == 2 * 40 * 5 + 1
+    for n in ("1", "2"):
+        for d in range(40):
+            assert got[n, at(24 * d), at(24 * d + 9), "AAA"] == ["AAABBB", "BBBCCC", "CCCDDD"]
+            assert got[n, at(24 * d + 3), at(24 * d + 9), "BBB"] == ["BBBCCC", "CCCDDD"]
+            assert got[n, at(24 * d), at(24 * d + 2), "AAA"] == ["AAABBB"]
+    assert got["2", at(-1), at(24 * 41), "XXX"] == ["XXXYYY"]
+
+
+def test_flights_of_unknown_times_stand_for_themselves(spark):
+    at = lambda h: NOON + timedelta(hours=h)
+    rows = [("O", "1", at(0), at(5), "AAA", "CCC"), ("O", "1", at(0), at(2), "AAA", "BBB"), ("O", "1", at(3), at(5), "BBB", "CCC"), ("O", "1", None, at(4), "AAA", "BBB"), ("O", "1", at(3), None, "BBB", "CCC"), ("O", "1", at(4), at(1), "BBB", "CCC")]
+    told = assembly.same_flight_expand(spark.createDataFrame(rows, "company string, number string, dep timestamp_ntz, arr timestamp_ntz, origin string, dest string")).collect()
+    assert sorted(len(r.legs) for r in told) == [1] * 5 + [2]
