@@ -41,7 +41,8 @@ def apply(batch: DataFrame, number: int, path: str, airports: DataFrame) -> None
 def follow(updates: DataFrame, path: str, checkpoint: str, airports: DataFrame) -> StreamingQuery:
     """Starts a query that applies each batch of ``updates`` (rules with ``action`` A or D, in ``rule_pos`` order) and ends when none is left.
 
-    One file a batch (``maxFilesPerTrigger``) makes each file a delta of its own, in order of time.
+    What is there when it starts is one batch, a delta: a large update may be many files, written before. One file a batch
+    (``maxFilesPerTrigger``) makes each file a delta of its own, in order of time.
     """
     write = updates.writeStream.foreachBatch(lambda batch, number: apply(batch, number, path, airports))
     return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from skylattice.operators import assembly, mct, network, rule_index
+from skylattice.operators import assembly, maintenance, mct, network, rule_index
 
 NOON = datetime(2026, 3, 1, 12)
 FLIGHTS = "company string, number string, origin string, dest string, dep timestamp_ntz, arr timestamp_ntz, block int, op_company string, op_number string, duplicates array<string>, departure_terminal string, arrival_terminal string"
@@ -94,3 +94,18 @@ def test_flights_of_unknown_times_stand_for_themselves(spark):
     rows = [("O", "1", at(0), at(5), "AAA", "CCC"), ("O", "1", at(0), at(2), "AAA", "BBB"), ("O", "1", at(3), at(5), "BBB", "CCC"), ("O", "1", None, at(4), "AAA", "BBB"), ("O", "1", at(3), None, "BBB", "CCC"), ("O", "1", at(4), at(1), "BBB", "CCC")]
     told = assembly.same_flight_expand(spark.createDataFrame(rows, "company string, number string, dep timestamp_ntz, arr timestamp_ntz, origin string, dest string")).collect()
     assert sorted(len(r.legs) for r in told) == [1] * 5 + [2]
+
+
+def test_nobodys_rules_are_numbered_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "STRETCH_BITS", 2)
+    rule = lambda ids, time: mct.complete(ids.select(F.col("id").alias("rule_pos"), F.lit("DD").alias("status"), F.concat(F.lit("C"), F.col("id") % 40).alias("arrival_carrier"), F.lit(time).alias("time")))
+    current, adds = maintenance.upserted(rule(spark.range(0), "0100"), rule(spark.range(1, 31), "0100")), rule(spark.range(25, 61), "0200")
+    after = maintenance.upserted(current, adds)
+    got = {r.rule_pos: (r.arrival_carrier, r.time) for r in after.collect()}
+    old = [f"C{i}" for i in range(1, 31)]
+    later = [f"C{i % 40}" for i in range(31, 61) if f"C{i % 40}" not in old]
+    added = {f"C{i % 40}" for i in range(25, 61)}
+    assert got == {n: (c, "0200" if c in added else "0100") for n, c in enumerate([*old, *later], 1)}
+    # no window holds all rules of an owner
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(owner#" in plan and "_stretch#" in plan.split("row_number() windowspecdefinition(")[1].split(" ASC")[0]
