@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skylattice.operators import assembly, maintenance, mct, network, rule_index
+from skylattice.sources import derived
 
 NOON = datetime(2026, 3, 1, 12)
 FLIGHTS = "company string, number string, origin string, dest string, dep timestamp_ntz, arr timestamp_ntz, block int, op_company string, op_number string, duplicates array<string>, departure_terminal string, arrival_terminal string"
@@ -109,3 +110,23 @@ def test_nobodys_rules_are_numbered_over_many_tasks(spark, monkeypatch):
     # no window holds all rules of an owner
     plan = after._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(owner#" in plan and "_stretch#" in plan.split("row_number() windowspecdefinition(")[1].split(" ASC")[0]
+
+
+def test_coded_flights_are_looked_up_alike(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    a, partners = derived.airports(spark, sf), derived.filters(spark, sf)
+    f = derived.flights(spark, sf).unionByName(derived.flights(spark, sf).limit(40).withColumns({"number": F.lit(None).cast("string"), "duplicates": F.array(F.lit("C1"), F.lit("C3"), F.lit("ZZ")), "origin": F.lit("QQX")}))
+    f = f.localCheckpoint()
+    pairs, columns = network.siblings(a), ["company", "number", "origin", "dep", "company2", "number2", "dest2", "dep2"]
+    for passes in (mct.PASS_BYTES, 1):
+        monkeypatch.setattr(mct, "PASS_BYTES", passes)
+        monkeypatch.setattr(mct, "RULES_AT_ONCE", 100)
+        book = mct.RuleBook(derived.rules(spark, sf))
+        assert len(book.indexes) > 1 and (len(book.passes) > 1) == (passes == 1)
+        told = mct.connection_minutes(network.connections(mct.coded(f, book, a), mct.coded(f, book, a, "2"), pairs, 0, 9000), book, partners, a, keep=columns)
+        # the flights' texts stay out of the lookup of a pair
+        assert told.columns == [*columns, "mct"] and (passes == 1 or "MapInArrow" not in told._jdf.queryExecution().optimizedPlan().toString())
+        plain = mct.connection_minutes(network.connections(f, f, pairs, 0, 9000), book, partners, a, keep=columns)
+        want = plain.groupBy(*plain.columns).count()
+        assert want.count() > 500 and want.select("mct").distinct().count() > 5
+        assert told.groupBy(*told.columns).count().exceptAll(want).count() == 0 == want.exceptAll(told.groupBy(*told.columns).count()).count()
