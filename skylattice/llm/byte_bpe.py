@@ -33,8 +33,8 @@ WORD_MASK = (1 << WORD) - 1
 ID_BITS = 32
 #: Bucket size from which a bucket is merged by array arithmetic.
 FULL = 24
-#: Bytes of text that share a queue.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that share a queue: a worker holds about 40 times as many for their code points and keys.
+SLICE_BYTES = 1 << 20
 #: Part at the ends of each pre-token: no pair has it.
 WALL = (1 << 30) - 1
 #: Ids decoded at a time.
@@ -52,6 +52,27 @@ def encoder(path: str) -> Encoder:
     return Encoder(read_ranks(path))
 
 
+@functools.cache
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
+class Decoder:
+    """The bytes of each token, end to end: all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.token_size = np.array([len(t) for t in tokens])
+        self.token_first = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, end to end."""
+        return self.token_bytes[arrays.ragged(self.token_first[ids], self.token_size[ids])]
+
+
 class RankQueue:
     """Places by rank; ``take`` gives the lowest rank and its places, each once, leftmost first."""
 
@@ -116,10 +137,11 @@ class RankQueue:
         return rank, first if len(first) >= FULL else first.tolist()
 
 
-class Encoder:
+class Encoder(Decoder):
     """Encodes and decodes under one rank table."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
         self.ranks = ranks
         self.of_byte = [ranks[bytes([i])] for i in range(256)]
         # rank of the token that two tokens make, for every way to cut a token in two
@@ -136,12 +158,6 @@ class Encoder:
         self.byte_ids = np.array(self.of_byte, np.int32)
         a, b = np.divmod(np.arange(1 << 16), 256)
         self.of_bytes = self.pair_rank(self.byte_ids[a], self.byte_ids[b])
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        self.token_size = np.array([len(t) for t in tokens])
-        self.token_first = np.cumsum(self.token_size) - self.token_size
-        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.memo: dict[str, list[int]] = {}
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -281,10 +297,6 @@ class Encoder:
         np.cumsum(count, out=total[1:])
         return flat[arrays.ragged(first[place], count)], total[np.searchsorted(start, off)]
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of all ids, end to end."""
-        return self.token_bytes[arrays.ragged(self.token_first[ids], self.token_size[ids])]
-
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of each row, over its whole text.
@@ -310,7 +322,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(RANK_FILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = decoder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
