@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ ROWS_PER_LANGUAGE = 1500
 #: Texts of other families that a family's SVM learns from, about.
 OTHERS_PER_FAMILY = 6000
 BUCKETS = 4096
+#: Documents whose dense features are held together, however short they are.
+ROWS_AT_ONCE = 256
 EPOCHS = 60
 DECAY = 1e-3
 
@@ -34,7 +37,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first, last, matrix): per document the square roots of its byte 2- and 3-gram shares, hashed, at unit length."""
     low = np.arange(256, dtype=np.uint32)
     low[65:91] += 32
-    for lo, hi, data, off in arrays.slices(column):
+    for lo, hi, data, off in arrays.slices(column, max_rows=ROWS_AT_ONCE):
         n = hi - lo
         b = low[data]
         doc = np.repeat(np.arange(n), np.diff(off))
@@ -60,7 +63,23 @@ class LinearSVM:
         self.w, self.bias = w, bias
 
 
-def train(x: np.ndarray, positive: np.ndarray, seed: int) -> LinearSVM:
+class Sparse:
+    """Rows of features as places and values end to end; ``x[rows]`` are some rows, dense. So a task holds no dense matrix."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, size: np.ndarray, order: np.ndarray):
+        """Row i is the one that lies at place ``order[i]``."""
+        self.at, self.value, self.count = at, value, size[order]
+        self.first = (np.cumsum(size) - size)[order]
+        self.shape = (len(order), BUCKETS)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        first, count = self.first[rows], self.count[rows]
+        x, some = np.zeros((len(rows), BUCKETS), np.float32), arrays.ragged(first, count)
+        x[np.repeat(np.arange(len(rows)), count), self.at[some]] = self.value[some]
+        return x
+
+
+def train(x: np.ndarray | Sparse, positive: np.ndarray, seed: int) -> LinearSVM:
     """Hinge loss with weight decay, by subgradient steps over shuffled blocks; classes weigh alike."""
     rng = np.random.default_rng(seed)
     y = np.where(positive, 1.0, -1.0)
@@ -168,13 +187,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     own = rows_of.join(F.broadcast(dealt), "lang").filter(~F.col("thinned") | (F.xxhash64("h") / 2.0**64 + 0.5 < few))
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("h").combine_chunks()  # rows in one order whatever the shuffle's
-        x = np.zeros((table.num_rows, BUCKETS), np.float32)
-        at, value = (table.column(c).combine_chunks() for c in ("at", "x"))
-        row = np.repeat(np.arange(table.num_rows), np.diff(at.offsets.to_numpy()))
-        x[row, at.flatten().to_numpy()] = value.flatten().to_numpy()
-        svm = train(x, table.column("positive").to_numpy(), 1)
-        return pa.table({"svm": table.column("svm").slice(0, 1), "w": pa.array([svm.w.astype(np.float32)], pa.list_(pa.float32())), "bias": pa.array([svm.bias])})
+        order = pc.sort_indices(table, sort_keys=[("h", "ascending")]).to_numpy()  # rows in one order whatever the shuffle's
+        size = np.concatenate([pc.list_value_length(c).to_numpy() for c in table.column("at").chunks]).astype(np.int64)
+        at, value = (np.concatenate([c.flatten().to_numpy() for c in table.column(n).chunks]) for n in ("at", "x"))
+        positive = table.column("positive").to_numpy()
+        name, table = table.column("svm").slice(0, 1), None
+        svm = train(Sparse(at, value, size, order), positive[order], 1)
+        return pa.table({"svm": name, "w": pa.array([svm.w.astype(np.float32)], pa.list_(pa.float32())), "bias": pa.array([svm.bias])})
 
     told = own.select("svm", "h", "positive", "at", "x").groupBy("svm").applyInArrow(learn, "svm string, w array<float>, bias double").collect()
     model.svms = {r[0]: LinearSVM(np.array(r[1], np.float32), r[2]) for r in told}

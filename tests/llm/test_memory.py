@@ -1,8 +1,27 @@
 """Bounds on what one Python worker holds."""
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
-from skylattice.llm import byte_bpe
+from skylattice.llm import byte_bpe, language
+
+
+def test_features_of_many_short_texts_are_not_dense_together():
+    column = pa.array(["ab cd"] * 3000)
+    sizes = [x.shape[0] for _, _, x in language.features(column)]
+    assert sum(sizes) == 3000 and max(sizes) <= language.ROWS_AT_ONCE
+
+
+def test_an_svm_learns_alike_from_sparse_rows():
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((200, language.BUCKETS)) < 0.05, rng.random((200, language.BUCKETS)), 0).astype(np.float32)
+    positive = rng.random(200) < 0.5
+    lies = rng.permutation(200)  # the row that lies at each place
+    row, at = np.nonzero(dense[lies])
+    sparse = language.Sparse(at.astype(np.int16), dense[lies][row, at], np.bincount(row, minlength=200), np.argsort(lies))
+    a, b = language.train(dense, positive, 1), language.train(sparse, positive, 1)
+    assert np.array_equal(a.w, b.w) and a.bias == b.bias
 
 
 def test_decoding_holds_no_merges():
