@@ -36,12 +36,15 @@ def routes(flights: DataFrame) -> DataFrame:
     """(origin, dest, companies, flights): sorted sets of one airport pair.
 
     ``flights`` are operating designators, ``company_number``; ``companies`` are all that sell a flight: those that operate it,
-    whose own designator it has, or that a duplicate designator names. Each row's few companies are exploded before the sets
-    are made, so that a pair's many flights are combined on both sides of the shuffle.
+    whose own designator it has, or that a duplicate designator names. Each row's few names are exploded and made distinct before the sets
+    are made: a task keeps each name of a pair once, however many flights it has, and sorts none of them.
     """
     names = F.array_union(F.array("op_company", "company"), F.coalesce("duplicates", F.array().cast("array<string>")))
-    one = flights.select("origin", "dest", F.concat_ws("_", "op_company", "op_number").alias("_flight"), F.explode(names).alias("_company"))
-    return one.groupBy("origin", "dest").agg(F.array_sort(F.collect_set("_company")).alias("companies"), F.array_sort(F.collect_set("_flight")).alias("flights"))
+    sold = F.transform(names, lambda c: F.struct(F.lit(True).alias("sells"), c.alias("x")))
+    own = F.array(F.struct(F.lit(False).alias("sells"), F.concat_ws("_", "op_company", "op_number").alias("x")))
+    one = flights.select("origin", "dest", F.explode(F.concat(sold, own)).alias("t")).select("origin", "dest", "t.sells", "t.x").distinct()
+    of = lambda sells: F.array_sort(F.collect_list(F.when(F.col("sells") == sells, F.col("x"))))  # noqa: E731; Spark would drop distinct() before a set
+    return one.groupBy("origin", "dest").agg(of(True).alias("companies"), of(False).alias("flights"))
 
 
 def merge_flights(flights: DataFrame) -> DataFrame:
