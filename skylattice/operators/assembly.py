@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.geo import day_variation, designator
 from skylattice.operators import lines
+from skylattice.sources.tables import dealt, stored
 
 #: Fields that two legs of one flight agree in.
 SAME_FLIGHT = ["airline", "flight", "variation", "service_type", "frequency"]
@@ -30,11 +31,13 @@ def blocks(legs: DataFrame, keys: list[str], order: str = "line_no") -> DataFram
 
     ``keys`` are the file, or the part of it between two hard borders: a block never crosses them.
     """
-    x = lines.previous(legs, keys, order, [*SAME_FLIGHT, "arrival_station", "leg_sequence"], "_before")
+    legs = stored(legs)  # read four times
+    rows = legs.count()
+    x = lines.previous(legs, keys, order, [*SAME_FLIGHT, "arrival_station", "leg_sequence"], "_before", rows)
     on = F.col("_before.arrival_station").eqNullSafe(F.col("departure_station")) & (F.col("leg_sequence") == F.col("_before.leg_sequence") + 1)
     on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_before." + c)) for c in SAME_FLIGHT], on & F.col("_before").isNotNull())
     x = x.withColumn("_new", (~F.coalesce(on, F.lit(False))).cast("int")).drop("_before")
-    x = lines.running(x, keys, order, "_new", "block")
+    x = dealt(lines.running(x, keys, order, "_new", "block", rows=rows), rows, *keys, "block")
     return x.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "block").orderBy(order))).drop("_new")
 
 

@@ -8,6 +8,7 @@ from skylattice.functions import elements
 from skylattice.operators import assembly
 from skylattice.plans.queries import query
 from skylattice.sources import derived
+from skylattice.sources.tables import dealt
 
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 CODES = "[50, 10, 125, 109, 503, 720]"
@@ -113,7 +114,8 @@ n AS (SELECT *, coalesce(lag(k) OVER w = k AND lag(i) OVER w = i - 1 AND NOT lag
 b AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM n)
 SELECT line_no, CAST(block AS BIGINT) AS block, CAST(row_number() OVER (PARTITION BY block ORDER BY line_no) AS INT) AS pos FROM b""")
 def schedule_blocks(spark, sf):
-    li = derived.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
+    li = derived.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    li = dealt(li, li.count(), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
     legs = li.select(F.expr("l_orderkey * 100 + l_linenumber").alias("line_no"), F.lit("XX").alias("airline"), F.col("l_orderkey").cast("string").alias("flight"), F.lit("01").alias("variation"), F.lit("J").alias("service_type"), F.lit(None).cast("string").alias("frequency"), F.col("l_linenumber").cast("int").alias("leg_sequence"), F.expr("concat('S', l_linenumber)").alias("departure_station"), F.expr("if(l_returnflag = 'R', 'END', concat('S', l_linenumber + 1))").alias("arrival_station"))
     return assembly.blocks(legs, []).select("line_no", "block", "pos")
 

@@ -130,3 +130,30 @@ def test_coded_flights_are_looked_up_alike(spark, monkeypatch):
         want = plain.groupBy(*plain.columns).count()
         assert want.count() > 500 and want.select("mct").distinct().count() > 5
         assert told.groupBy(*told.columns).count().exceptAll(want).count() == 0 == want.exceptAll(told.groupBy(*told.columns).count()).count()
+
+
+def test_more_lines_and_flights_make_more_tasks(spark, monkeypatch):
+    from skylattice.plans import itinerary_queries, schedule_queries
+    from skylattice.sources import tables
+
+    kind, calls = type(spark.range(1)), []
+    before = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by: calls.append(n) or before(self, n, *by))
+
+    def dealt(query):
+        calls.clear()
+        query(spark, "/root/testdata/sf0.001")
+        return len(calls)
+
+    assert dealt(schedule_queries.schedule_blocks) == dealt(itinerary_queries.segment_lookup) == 0
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 500)
+    assert dealt(schedule_queries.schedule_blocks) >= 3 and dealt(itinerary_queries.segment_lookup) == 1
+    rows = schedule_queries.schedule_blocks(spark, "/root/testdata/sf0.001")
+    assert rows.select("block", "pos").distinct().count() == rows.count() > 4000
+
+
+def test_names_of_a_route_are_told_apart_before_they_are_gathered(spark):
+    from skylattice.operators import schedule
+
+    plan = schedule.routes(derived.flights(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
