@@ -9,7 +9,7 @@ task from its own n-grams.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ PROBES = 4
 BITS_PER_ENTRY = 10
 #: Text bytes per block of the filter, about 4 MB of n-grams.
 BYTES_PER_BLOCK = 2 << 20
+#: Text bytes whose equal n-grams are added up in a task before they are sent.
+TALLY_BYTES = 4 << 20
 #: Filter bytes broadcast at a time; a larger filter is used part by part, each with a pass over the documents.
 BROADCAST_BYTES = 128 << 20
 #: Words of the exact count table that are broadcast; the others are joined.
@@ -100,14 +102,14 @@ def build_block(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Filter:
     """Some blocks of the filter laid end to end; ``levels`` gives 0 for n-grams of other blocks and for unseen ones."""
 
-    def __init__(self, n_blocks: int, blocks: list[tuple[int, bytes]]):
+    def __init__(self, n_blocks: int, blocks: Iterable[tuple[int, bytes]]):
         self.size = np.zeros(n_blocks, np.uint64)
         self.first = np.zeros(n_blocks, np.int64)
-        at = 0
+        held = bytearray()
         for b, content in blocks:
-            self.size[b], self.first[b] = len(content) * 8, at * 8
-            at += len(content)
-        self.data = np.frombuffer(b"".join(c for _, c in blocks), np.uint8)
+            self.size[b], self.first[b] = len(content) * 8, len(held) * 8
+            held += content
+        self.data = np.frombuffer(held, np.uint8)
         self.n_blocks = n_blocks
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
@@ -141,18 +143,40 @@ def most(level: np.ndarray) -> np.ndarray:
     return (np.append(THRESHOLDS, THRESHOLDS[-1] * 2)[level] - 1).astype(np.float64)
 
 
+def tallies(column: pa.Array, grams_of: Callable[[np.ndarray, np.ndarray], np.ndarray], together: int = TALLY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-gram, count), ascending, of each ``together`` bytes of text; only a slice of ``arrays.SLICE_BYTES`` is in tokens at a time."""
+    held, size = [], 0
+    for _, _, data, off in arrays.slices(column):
+        held.append(np.unique(grams_of(*tokens(data, off)), return_counts=True))
+        size += len(data)
+        if size >= together:
+            yield _added(held)
+            held, size = [], 0
+    if held:
+        yield _added(held)
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of equal n-grams added up."""
+    g, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(g, kind="stable")
+    g, n = g[order], n[order]
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    return g[first], np.add.reduceat(n, first) if len(g) else n
+
+
 def gather(docs: DataFrame, n_blocks: int) -> DataFrame:
     """(block, bits): the filter over unigrams, contexts and bigrams of all of ``docs``.
 
-    Equal n-grams of about 1 MB of text are added up before the shuffle, so that a very common one makes one row a slice.
+    Equal n-grams of about 4 MB of text are added up before the shuffle, so that a very common one is in few rows.
     """
 
+    def grams_of(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.concatenate([unigram(tok), unigram(np.full(len(at) - 1, START)), bigrams(tok, at)])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, off in arrays.slices(batch.column(0), 4 << 20):
-                tok, at = tokens(data, off)
-                starts = np.full(len(at) - 1, START)
-                g, n = np.unique(np.concatenate([unigram(tok), unigram(starts), bigrams(tok, at)]), return_counts=True)
+            for g, n in tallies(batch.column(0), grams_of):
                 block = block_of(g, n_blocks)  # g is sorted, so are the blocks
                 edge = np.searchsorted(block, np.arange(n_blocks + 1))
                 kind = np.flatnonzero(np.diff(edge))
@@ -180,8 +204,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            for _, _, data, off in arrays.slices(batch.column(0), 4 << 20):
-                w, n = np.unique(tokens(data, off)[0], return_counts=True)
+            for w, n in tallies(batch.column(0), lambda tok, at: tok):
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "n"])
 
     return docs.select("text").mapInArrow(emit, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
@@ -260,9 +283,9 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def _broadcast(blocks: DataFrame, n_blocks: int, numbers: list[int] | None = None):
-    """Bounded by the caller: BROADCAST_BYTES at most."""
+    """The filter of these blocks, bounded by the caller: BROADCAST_BYTES at most. A worker holds it once, and drops it with the broadcast."""
     part = blocks if numbers is None else blocks.filter(F.col("block").between(numbers[0], numbers[-1]))
-    return blocks.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in part.orderBy("block").toLocalIterator()])
+    return blocks.sparkSession.sparkContext.broadcast(Filter(n_blocks, ((r[0], r[1]) for r in part.orderBy("block").toLocalIterator())))
 
 
 def probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, scale: float) -> np.ndarray:
@@ -276,16 +299,6 @@ def probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, scale:
     return WEIGHT * np.minimum(1.0, share) + (1 - WEIGHT) * (least(word) + 0.5) / scale
 
 
-_filters: list[tuple[list, Filter]] = []
-
-
-def _filter(n_blocks: int, blocks: list[tuple[int, bytes]]) -> Filter:
-    """The filter of these blocks; tasks of one worker process that share a broadcast lay it out once."""
-    if not _filters or _filters[0][0] is not blocks:
-        _filters[:] = [(blocks, Filter(n_blocks, blocks))]
-    return _filters[0][1]
-
-
 def token_levels(own: Filter, tok: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Levels of each token's pair with the one before it, of that one, and of itself; 0 where the filter's part has none."""
     kinds, place = np.unique(tok, return_inverse=True)
@@ -300,7 +313,7 @@ def _one_pass(rows: DataFrame, blocks: DataFrame, n_blocks: int, scale: float) -
     shared = _broadcast(blocks, n_blocks)
 
     def run(batches):
-        own = _filter(n_blocks, shared.value)
+        own = shared.value
         for batch in batches:
             for lo, hi, data, off in arrays.slices(batch.column(1)):
                 tok, at = tokens(data, off)
@@ -322,7 +335,7 @@ def _in_parts(rows: DataFrame, blocks: DataFrame, n_blocks: int, scale: float, p
         shared = _broadcast(blocks, n_blocks, numbers)
 
         def run(batches, shared=shared, i=i):
-            own = _filter(n_blocks, shared.value)
+            own = shared.value
             for batch in batches:
                 for lo, hi, data, off in arrays.slices(batch.column(1)):
                     tok, at = tokens(data, off)
