@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,7 +159,7 @@ class Encoder(Decoder):
         self.byte_ids = np.array(self.of_byte, np.int32)
         a, b = np.divmod(np.arange(1 << 16), 256)
         self.of_bytes = self.pair_rank(self.byte_ids[a], self.byte_ids[b])
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of two parts each, -1 if there is none."""
@@ -166,9 +167,9 @@ class Encoder(Decoder):
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(-1))
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token. A merged part's id is the rank of its merge."""
-        out: list[list[int] | None] = [None if whole is None else [whole] for whole in map(self.ranks.get, pieces)]
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, four bytes an id. A merged part's id is the rank of its merge."""
+        out: list[bytes | None] = [None if whole is None else whole.to_bytes(4, sys.byteorder) for whole in map(self.ranks.get, pieces)]
         todo = [i for i, ids in enumerate(out) if ids is None]
         if not todo:
             return out
@@ -195,9 +196,9 @@ class Encoder(Decoder):
                 self._merge_bucket(rank, places, queue, first, parts, after, before, current, views)
         left = np.flatnonzero(parts[:n] >= 0)
         edge = np.searchsorted(left, np.append(first, n)).tolist()
-        ids = parts[left].tolist()
+        ids = parts[left].tobytes()
         for i, a, b in zip(todo, edge, edge[1:]):
-            out[i] = ids[a:b]
+            out[i] = ids[4 * a : 4 * b]
         return out
 
     def _merge_places(self, rank: int, places: list[int], queue: RankQueue, parts, after, before, current) -> None:
@@ -266,7 +267,7 @@ class Encoder(Decoder):
             for r, p in zip(new[some].tolist(), at[some].tolist()):
                 push(r, p)
 
-    def pieces_ids(self, pieces: list[str]) -> list[list[int]]:
+    def pieces_ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pre-tokens, from the memo or by one merge of all others."""
         memo = self.memo
         out = [memo.get(p) for p in pieces]
@@ -289,8 +290,8 @@ class Encoder(Decoder):
         _, example, place = pretokens.distinct(pretokens.span_keys(points, start))
         joined, end = "".join(texts), np.append(start[1:], len(points))
         ids = self.pieces_ids([joined[a:b] for a, b in zip(start[example].tolist(), end[example].tolist())])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         first = np.cumsum(size) - size
         count = size[place]
         total = np.zeros(len(start) + 1, np.int64)
@@ -308,11 +309,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
-            text = batch.column(1).fill_null("")
-            for lo, hi, _, _ in arrays.slices(text, SLICE_BYTES):
-                ids, off = own.encode_texts(text.slice(lo, hi - lo).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), arrays.list_array(pa.array(ids, pa.int32()), off)], ["doc_id", "ids"])
+        try:
+            for batch in batches:
+                text = batch.column(1).fill_null("")
+                for lo, hi, _, _ in arrays.slices(text, SLICE_BYTES):
+                    ids, off = own.encode_texts(text.slice(lo, hi - lo).to_pylist())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), arrays.list_array(pa.array(ids, pa.int32()), off)], ["doc_id", "ids"])
+        finally:  # the memo is the task's: workers go on to other stages
+            own.memo.clear()
+            arrays.release()
 
     return common.documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -332,6 +337,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 for null, i, j in zip(ids.is_null().to_pylist(), at[:-1], at[1:]):
                     data.append(None if null else b"".join(own.decode(flat[x : min(j, x + DECODE_IDS)]).tobytes() for x in range(i, j, DECODE_IDS)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"])
+            arrays.release()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 

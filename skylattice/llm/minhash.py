@@ -115,6 +115,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     inter = int((y[at] == x).sum()) if len(y) else 0
                     keep.append(inter > 0 and 100 * inter >= percent * (len(x) + len(y) - inter))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            arrays.release()
 
     return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 

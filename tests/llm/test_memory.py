@@ -1,5 +1,7 @@
 """Bounds on what one Python worker holds."""
 
+from unittest import mock
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -60,3 +62,17 @@ def test_a_filter_goes_with_its_broadcast(spark):
     shared = bloom_lm._broadcast(spark.createDataFrame(rows, "block long, bits binary"), 3)
     assert isinstance(shared.value, bloom_lm.Filter)
     assert (shared.value.levels(grams) >= 1).all() and len(shared.value.data) == sum(len(x) for _, x in rows)
+
+
+def test_the_memo_of_pre_tokens_goes_with_its_task():
+    docs = mock.Mock()
+    with mock.patch.object(byte_bpe.common, "documents", return_value=docs):
+        byte_bpe.encode(docs)
+    run = docs.mapInArrow.call_args[0][0]
+    own = byte_bpe.encoder(public_tokenizers.path(byte_bpe.RANK_FILE))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["Grüße aus  Köln zzqxv", None, "it's 12345"])], ["doc_id", "text"])
+    rows = run(iter([batch]))
+    first = next(rows)
+    assert own.memo and all(isinstance(x, bytes) for x in own.memo.values())
+    assert [own.decode(np.array(x, np.int32)).tobytes().decode() for x in first.column(1).to_pylist()] == ["Grüße aus  Köln zzqxv", "", "it's 12345"]
+    assert list(rows) == [] and not own.memo
