@@ -169,3 +169,36 @@ def test_effective_dates(spark):
     texts = ["01JAN26", "31dec69", "01Jan70", "29FEB25", "1JAN26", None, "01XXX26"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(effective_date(F.col("t"))).collect()]
     assert got == [date(2026, 1, 1), date(2069, 12, 31), date(1970, 1, 1), None, None, None, None]
+
+
+def test_a_flight_that_meets_many_is_looked_up_once(spark, monkeypatch):
+    """The bits that a flight leaves are worked out per flight of a batch, not per connection; the minutes are the same."""
+    a, book = derived.airports(spark, SF), mct.RuleBook(derived.rules(spark, SF))
+    f = derived.flights(spark, SF)
+    hub = f.groupBy("origin").count().orderBy(F.desc("count"), "origin").first()[0]
+    first, second = f.filter(F.col("dest") == hub).limit(40), f.filter(F.col("origin") == hub).limit(40)
+    met = mct.coded(first, book, a).select("_codes").crossJoin(mct.coded(second, book, a, "2").select(F.col("_codes").alias("_codes2")))
+    table = met.select("_codes", "_codes2", F.lit(False).alias("_partners"), F.lit(9000).cast("long").alias("_day")).toArrow().combine_chunks()
+    whole, index, most = {x: table[x].chunk(0) for x in rule_index.CODED}, book.indexes[0].value, []
+    index.meet(book.names.value)
+    own = rule_index.RuleIndex._fits
+    monkeypatch.setattr(rule_index.RuleIndex, "_fits", lambda self, of, *rest: most.append(len(of)) or own(self, of, *rest))
+    together = index.best(whole)
+    # a group of rules for each side's status, and both flights and whether they are partners
+    assert table.num_rows == 1600 and max(most) <= 40 * 4
+    monkeypatch.undo()
+    each = [index.best({x: c.slice(i, 1) for x, c in whole.items()}) for i in range(0, 1600, 7)]
+    for k in range(3):
+        assert [int(x[k][0]) for x in each] == together[k][::7].tolist()
+
+
+def test_no_row_of_the_first_flights_is_dealt_twice(spark):
+    """A long window touches several buckets: departures go to each of them, the arrivals (chains of flights) to one."""
+    f = spark.createDataFrame([("A", str(i), "XXX", "YYY", NOON + timedelta(hours=i), NOON + timedelta(hours=i + 1), 60) for i in range(40)] + [("B", str(i), "YYY", "ZZZ", NOON + timedelta(hours=i), NOON + timedelta(hours=i + 1), 60) for i in range(40)], "company string, number string, origin string, dest string, dep timestamp_ntz, arr timestamp_ntz, block int")
+    pairs = spark.createDataFrame([(x, x) for x in ("XXX", "YYY", "ZZZ")], "code string, sibling string")
+    met = network.connections(f.filter("origin = 'XXX'"), f.filter("origin = 'YYY'"), pairs)
+    got = {(int(r.number), int(r.number2)) for r in met.collect()}
+    assert got == {(i, j) for i in range(40) for j in range(40) if 3 <= j - i - 1 <= 12} and met.count() == len(got)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(made) == 1 and "dep2" in made[0] and "_low" not in made[0]
