@@ -16,6 +16,9 @@ SAME_FLIGHT = ["airline", "flight", "variation", "service_type", "frequency"]
 #: The data element codes that change a plan.
 OPERATING, DUPLICATES, JOINT, MEAL, SERVICE, TICKETING = 50, 10, 125, 109, 503, 505
 
+#: Flights of a run that are looked through one by one.
+SHORT_RUN = 32
+
 
 def continues(w) -> Column:
     """Whether a leg goes on with the flight of the leg before it in ``w``."""
@@ -180,19 +183,21 @@ def same_flight_expand(flights: DataFrame) -> DataFrame:
     none = F.slice(F.transform("own", lambda q: F.array(q)), 1, 0)
 
     def chain(f: Column) -> Column:
-        low = _before(F.col("deps"), f["dep"], False)
-        part = F.slice("own", low + 1, F.greatest(_before(F.col("deps"), f["arr"], True) - low, F.lit(0)))
-        inside = lambda q: (q["arr"] <= f["arr"]) & ~((q["origin"] == f["origin"]) & (q["dest"] == f["dest"]))
+        # of a long run only what leaves while the flight flies; a short one is looked through sooner than halved
+        between = F.transform(F.array(_before(F.col("deps"), f["dep"], False)), lambda low: F.slice("own", low + 1, F.greatest(_before(F.col("deps"), f["arr"], True) - low, F.lit(0))))
+        part = F.when(F.size("own") <= SHORT_RUN, F.col("own")).otherwise(F.get(between, 0))
+        inside = lambda q: (q["dep"] >= f["dep"]) & (q["dep"] <= f["arr"]) & (q["arr"] <= f["arr"]) & ~((q["origin"] == f["origin"]) & (q["dest"] == f["dest"]))
 
         def longer(chains: Column, q: Column) -> Column:
+            # each begins with another flight, the least with the one added last: nothing is compared, or worked out twice
             after = F.filter(chains, lambda c: (F.get(c, 0)["origin"] == q["dest"]) & (F.get(c, 0)["dep"] >= q["arr"]))
             ends = (q["dest"] == f["dest"]) & (q["arr"] == f["arr"])
-            best = F.when(ends, F.array(q)).when(F.size(after) > 0, F.concat(F.array(q), F.array_min(after)))
-            return F.concat(chains, F.when(best.isNotNull(), F.array(best)).otherwise(F.slice(chains, 1, 0)))
+            best = F.when(ends, F.array(q)).otherwise(F.concat(F.array(q), F.try_element_at(after, F.lit(-1))))
+            return F.concat(chains, F.array_compact(F.array(best)))
 
         found = F.aggregate(F.reverse(F.filter(part, inside)), none, longer)
         whole = F.filter(found, lambda c: (F.get(c, 0)["origin"] == f["origin"]) & (F.get(c, 0)["dep"] == f["dep"]))
-        return F.when(F.col("company").isNotNull() & F.col("number").isNotNull(), F.array_min(whole))
+        return F.when(F.col("company").isNotNull() & F.col("number").isNotNull(), F.try_element_at(whole, F.lit(-1)))
 
     told = runs.select("company", "number", F.explode(F.transform("own", lambda f: F.struct(f.alias("flight"), F.coalesce(chain(f), F.array(f)).alias("legs")))).alias("t"))
     return told.select("company", "number", "t.flight", "t.legs")
